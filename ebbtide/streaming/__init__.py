@@ -1,0 +1 @@
+"""Left empty on purpose: churn analysis here is batch only, nothing it computes is a stream."""
