@@ -90,7 +90,7 @@ _ACTIONS = ", ".join(
 @query("recommended_actions", f"""WITH {IMPORTANCE}, rule AS (SELECT * FROM (VALUES {_ACTIONS}) AS v(position, action, words))
 SELECT position, action, len(words) > 0 AS specific FROM rule
 WHERE len(words) = 0 OR EXISTS (
-  SELECT 1 FROM first_five WHERE len(list_filter(words, w -> NOT contains(first_five.feature, w))) = 0)""")
+  SELECT 1 FROM first_five WHERE len(list_filter(words, lambda w: NOT contains(first_five.feature, w))) = 0)""")
 def recommended_actions(spark, folder):
     return rules.recommended_actions(importance(spark, folder))
 
@@ -104,7 +104,7 @@ _RECOMMENDATIONS = ", ".join(
 @query("retention_recommendations", f"""WITH {IMPORTANCE},
 rule AS (SELECT * FROM (VALUES {_RECOMMENDATIONS}) AS v(rule, title, description, actions, words)),
 hit AS (SELECT *, len(words) > 0 AS specific FROM rule WHERE len(words) = 0 OR EXISTS (
-  SELECT 1 FROM first_five WHERE len(list_filter(words, w -> contains(first_five.feature, w))) > 0)),
+  SELECT 1 FROM first_five WHERE len(list_filter(words, lambda w: contains(first_five.feature, w))) > 0)),
 placed AS (SELECT *, CAST(row_number() OVER (ORDER BY specific DESC, rule) AS INTEGER) AS position FROM hit)
 SELECT position, title, description, actions, specific FROM placed WHERE specific OR position <= 3""")
 def retention_recommendations(spark, folder):
