@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from ebbtide.functions import roles
 from ebbtide.functions.shaping import fan_out, long_numbers, long_texts, present
 from ebbtide.operators.quantiles import exact_quantiles
+from ebbtide.session import stage
 
 # Sizes of the report.
 MIN_ROWS = 10
@@ -22,6 +23,7 @@ WHISKER = 1.5
 HISTOGRAM_BINS = 30  # ours: the charts this stands for leave the bin count to the drawing library
 
 PAIRS_PER_AGGREGATE = 120
+BROADCAST_ROWS = 2_000_000  # hashes of 8 bytes each
 
 
 def validate_table(df: DataFrame, label: str | None = None, time_column: str | None = None) -> DataFrame:
@@ -119,13 +121,28 @@ def missing_columns(df: DataFrame) -> DataFrame:
     return found.select("column", "missing", "missing_pct").orderBy(F.desc("missing"), "column")
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: rows, rows that repeat an earlier one in every column (NULL equals NULL), and their share."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    return groups.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates"),
-    ).withColumn("duplicate_pct", F.try_divide(100.0 * F.col("duplicates"), F.col("n_rows")))
+def duplicate_rows(df: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row: rows, rows that repeat an earlier one in every column (NULL equals NULL), and their share.
+
+    Only a 64-bit hash per row is shuffled at first. Rows whose hash occurs once have no copy; the others are
+    compared in full. Their hashes are broadcast while there are few; beyond that all rows are grouped in full.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(*df.columns))
+    repeated = stage(
+        hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).groupBy(
+            F.when(F.col("n") > 1, F.col("_h")).alias("_h")
+        ).agg(F.sum("n").alias("n")),
+        "hashes",
+    )
+    n_hashes = repeated.where(F.col("_h").isNotNull()).count()
+    if n_hashes <= broadcast_rows:
+        hashed = hashed.join(F.broadcast(repeated.where(F.col("_h").isNotNull()).select("_h")), "_h", "left_semi")
+    groups = hashed.groupBy("_h", *df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    copies = groups.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates"))
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    return copies.select(total.alias("n_rows"), "duplicates").withColumn(
+        "duplicate_pct", F.try_divide(100.0 * F.col("duplicates"), F.col("n_rows"))
+    )
 
 
 def numeric_describe(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
