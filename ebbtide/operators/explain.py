@@ -189,16 +189,18 @@ def shap_tree(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
 
 def shap_summary(shap: DataFrame, max_display: int = MAX_DISPLAY) -> DataFrame:
     """Features by mean absolute attribution, with the spread of their attributions and the direction of effect."""
+    # not corr, which divides by zero for a feature that never varies or never matters
+    direction = F.try_divide(F.covar_pop("value", "shap"), F.stddev_pop("value") * F.stddev_pop("shap"))
     ranked = (
         shap.groupBy("feature")
         .agg(
             F.avg(F.abs("shap")).alias("mean_abs_shap"),
             F.min("shap").alias("min_shap"),
             F.max("shap").alias("max_shap"),
-            F.corr("value", "shap").alias("value_shap_corr"),
+            direction.alias("value_shap_corr"),
         )
         .orderBy(F.desc("mean_abs_shap"), "feature")
         .limit(max_display)
     )
     spread = quartile_columns(exact_quantiles(shap, [0.25, 0.5, 0.75], key="feature", value="shap"), "feature")
-    return ranked.join(spread, "feature", "left")
+    return ranked.join(spread, "feature", "left").orderBy(F.desc("mean_abs_shap"), "feature")

@@ -20,7 +20,7 @@ from ebbtide.functions import roles
 from ebbtide.functions.hashing import unit_hash, wide_hash
 from ebbtide.functions.shaping import long_numbers, long_texts, present
 from ebbtide.operators.profile import cell_counts, distinct_counts, top_values
-from ebbtide.operators.quantiles import exact_quantiles, key_sizes, order_statistics
+from ebbtide.operators.quantiles import column_quantiles, key_sizes, order_statistics
 
 # Share of rows held out.
 TEST_SIZE = 0.25
@@ -38,8 +38,7 @@ def feature_projection(df: DataFrame, key: str, features: list[str], label: str)
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     if not columns:
         return {}
-    found = exact_quantiles(long_numbers(df, columns), [0.5])
-    return {r["column"]: r["value"] for r in found.collect()}
+    return {r["column"]: r["value"] for r in column_quantiles(df, columns, [0.5]).collect()}
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:

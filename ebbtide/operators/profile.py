@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from itertools import combinations_with_replacement
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ebbtide.functions import roles
-from ebbtide.functions.shaping import fan_out, long_numbers, long_texts, present
-from ebbtide.operators.quantiles import exact_quantiles
+from ebbtide.functions.shaping import fan_out, named, number_cells, present, text_cells, unfold
+from ebbtide.operators.quantiles import column_quantiles, exact_quantiles
 from ebbtide.session import stage
 
 # Sizes of the report.
@@ -22,7 +26,8 @@ QUARTILES = [0.25, 0.5, 0.75]
 WHISKER = 1.5
 HISTOGRAM_BINS = 30  # ours: the charts this stands for leave the bin count to the drawing library
 
-PAIRS_PER_AGGREGATE = 120
+PAIRS_PER_AGGREGATE = 9  # up to ten buffers each; a stage of over a hundred fields leaves generated code
+WIDE_COLUMNS = 40
 BROADCAST_ROWS = 2_000_000  # hashes of 8 bytes each
 
 
@@ -79,7 +84,31 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 def cell_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n) over all cells; each task sends a value once, however often it holds it."""
-    return long_texts(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = unfold(df, text_cells(df, columns)).groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
+    return named(cells, columns)
+
+
+def _counted_cells(df: DataFrame) -> DataFrame:
+    """(column, n_rows, missing, distinct_values). Columns of like type are unfolded together and keep that type."""
+    kinds: dict[str, list[str]] = {}
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.IntegralType):
+            kinds.setdefault("bigint", []).append(f.name)
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            kinds.setdefault("double", []).append(f.name)
+        else:
+            kinds.setdefault("string", []).append(f.name)
+    parts = []
+    for kind, columns in kinds.items():
+        cells = unfold(df, [present(df, c).cast(kind) for c in columns])
+        values = cells.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
+        counted = values.groupBy("slot").agg(
+            F.sum("n").alias("n_rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+            F.count("value").alias("distinct_values"),
+        )
+        parts.append(named(counted, columns))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def column_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
@@ -88,11 +117,7 @@ def column_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
     ``distinct`` is "exact", "approx" (one pass, no shuffle of values) or "none".
     """
     if distinct == "exact":
-        cells = cell_counts(df, df.columns).groupBy("column").agg(
-            F.sum("n").alias("n_rows"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
-            F.count("value").alias("distinct_values"),
-        )
+        cells = _counted_cells(df)
     else:
         aggregates = [F.count(F.lit(1)).alias("n_rows")]
         rows = []
@@ -148,7 +173,7 @@ def duplicate_rows(df: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataF
 def numeric_describe(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max). ``exact=False`` takes quartiles from a sketch."""
     columns = columns or roles.numeric_columns(df)
-    aggregates, rows = [], []
+    aggregates = []
     for i, c in enumerate(columns):
         x = present(df, c)
         aggregates += [
@@ -157,17 +182,19 @@ def numeric_describe(df: DataFrame, columns: list[str] | None = None, exact: boo
         ]
         if not exact:
             aggregates.append(F.percentile_approx(x.cast("double"), QUARTILES, 10_000).alias(f"q{i}"))
-        rows.append(F.struct(
-            F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("mean"),
-            F.col(f"s{i}").alias("std"), F.col(f"l{i}").alias("min"), F.col(f"h{i}").alias("max"),
-            *([] if exact else [F.col(f"q{i}").alias("q")]),
-        ))
-    moments = fan_out(df.agg(*aggregates), [], rows)
+    found = df.agg(*aggregates).first()  # one number per column and statistic
+    rows = [
+        (c, found[f"n{i}"], *[found[f"{s}{i}"] for s in "asl"], *([] if exact else found[f"q{i}"] or [None] * 3), found[f"h{i}"])
+        for i, c in enumerate(columns)
+    ]
+    names = ["column string", "count bigint", "mean double", "std double", "min double", "max double"]
+    if not exact:
+        names[5:5] = ["q25 double", "q50 double", "q75 double"]
+    described = df.sparkSession.createDataFrame(rows, ", ".join(f"`{n.split()[0]}` {n.split()[1]}" for n in names))
     if exact:
-        quartiles = quartile_columns(exact_quantiles(long_numbers(df, columns), QUARTILES), "column")
-        described = moments.join(quartiles, "column", "left")
-    else:
-        described = moments.select("*", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(["q25", "q50", "q75"])])
+        sizes = {c: found[f"n{i}"] for i, c in enumerate(columns)}
+        quartiles = quartile_columns(column_quantiles(df, columns, QUARTILES, sizes), "column")
+        described = described.join(F.broadcast(quartiles), "column", "left")  # a row per column on both sides
     return described.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
@@ -250,26 +277,60 @@ def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     )
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_x, column_y, correlation): Pearson over the rows where both are present, for every ordered pair."""
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None, wide: int = WIDE_COLUMNS) -> DataFrame:
+    """(column_x, column_y, correlation): Pearson over the rows where both are present, for every ordered pair.
+
+    NULL where a column does not vary. One pass finds missing values and constant columns; pairs then go out in
+    batches small enough for generated code, each reading only its own columns. From ``wide`` columns on, those
+    without missing values share one matrix product per task instead.
+    """
     columns = columns or roles.numeric_columns(df)
-    wide = df.select(*[present(df, c).cast("double").alias(c) for c in columns])
-    pairs = list(combinations_with_replacement(columns, 2))
+    numbers = df.select(*[x.alias(c) for c, x in zip(columns, number_cells(df, columns))])
+    found = numbers.agg(*[
+        f(c).alias(f"{n}{i}") for i, c in enumerate(columns)
+        for n, f in (("lo", F.min), ("hi", F.max), ("missing", lambda x: F.count_if(F.col(x).isNull())))
+    ]).first()
+    varying = [c for i, c in enumerate(columns) if found[f"lo{i}"] != found[f"hi{i}"]]
+    whole = {c for i, c in enumerate(columns) if c in varying and not found[f"missing{i}"]}
+
+    def pearson(a, b):
+        if whole.issuperset((a, b)):
+            return F.corr(a, b)
+        # corr divides by zero when the rows shared by a pair do not vary
+        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+
+    pairs = list(combinations_with_replacement(varying, 2))
     parts = []
+    fixed = [p for p in combinations_with_replacement(columns, 2) if not set(varying).issuperset(p)]
+    if fixed:
+        parts.append(_pair_rows(df.sparkSession.range(1), fixed, [F.lit(None).cast("double")] * len(fixed)))
+    if len(columns) >= wide and len(whole) > 1:
+        parts.append(_correlation_of_vectors(numbers, [c for c in varying if c in whole]))
+        pairs = [p for p in pairs if not whole.issuperset(p)]
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
         batch = pairs[start:start + PAIRS_PER_AGGREGATE]
-        row = wide.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(batch)])
-        cells = []
-        for i, (a, b) in enumerate(batch):
-            for x, y in {(a, b), (b, a)}:
-                cells.append(F.struct(
-                    F.lit(x).alias("column_x"), F.lit(y).alias("column_y"), F.col(f"c{i}").alias("correlation")
-                ))
-        parts.append(fan_out(row, [], cells))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        row = numbers.agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(batch)])
+        parts.append(_pair_rows(row, batch, [F.col(f"c{i}") for i in range(len(batch))]))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _pair_rows(row: DataFrame, pairs: list[tuple[str, str]], values: list) -> DataFrame:
+    """Both orders of every pair with its value, from a single row."""
+    return fan_out(row, [], [
+        F.struct(F.lit(x).alias("column_x"), F.lit(y).alias("column_y"), value.alias("correlation"))
+        for (a, b), value in zip(pairs, values) for x, y in sorted({(a, b), (b, a)})
+    ])
+
+
+def _correlation_of_vectors(df: DataFrame, columns: list[str]) -> DataFrame:
+    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(df).select("v")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()  # columns squared
+    rows = [
+        (x, y, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
+        for i, x in enumerate(columns) for j, y in enumerate(columns)
+    ]
+    return df.sparkSession.createDataFrame(rows, "column_x string, column_y string, correlation double")
 
 
 def preview(df: DataFrame, key: str, n: int = PREVIEW_ROWS) -> DataFrame:

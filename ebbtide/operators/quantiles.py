@@ -17,23 +17,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ebbtide.functions.shaping import named, number_cells, unfold
+
 WINDOW_ROWS = 1_000_000
 ACCURACY = 10_000
 MAX_KEYS = 10_000
 
 
-@dataclass
+@dataclass(frozen=True)
 class _Bracket:
-    """Rank ``rank`` (0-based) of a key lies in (lo, hi); None is unbounded. ``below`` rows are <= lo."""
+    """Values strictly between ``lo`` and ``hi`` (None is unbounded); ``below`` rows lie under them."""
 
-    rank: int
     lo: float | None
     hi: float | None
     below: int
     inside: int
 
+    def span(self) -> tuple[float, float]:
+        return (-math.inf if self.lo is None else self.lo, math.inf if self.hi is None else self.hi)
+
 
-def key_sizes(long: DataFrame, key: str = "column", value: str = "value") -> dict[str, int]:
+def key_sizes(long: DataFrame, key: str = "column", value: str = "value") -> dict:
     """Non-missing values per key. Keys are columns or report groups, so few; more than that is refused."""
     rows = long.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).limit(MAX_KEYS + 1)
     sizes = {r[key]: r["n"] for r in rows.collect() if r[key] is not None}
@@ -43,43 +47,31 @@ def key_sizes(long: DataFrame, key: str = "column", value: str = "value") -> dic
 
 
 def order_statistics(
-    long: DataFrame, ranks: dict[str, list[int]], sizes: dict[str, int], key: str = "column", value: str = "value",
+    long: DataFrame, ranks: dict, sizes: dict, key: str = "column", value: str = "value",
     window_rows: int = WINDOW_ROWS, accuracy: int = ACCURACY,
 ) -> DataFrame:
     """(key, rank, value) for 0-based ``ranks`` per key of a (key, value) table."""
-    spark = long.sparkSession
-    wanted = [(k, int(r)) for k, rs in ranks.items() for r in sorted(set(rs))]
-    schema = T.StructType([
-        T.StructField(key, T.StringType()), T.StructField("rank", T.LongType()),
-    ])
-    targets = spark.createDataFrame(wanted, schema)
+    wanted = sorted((k, int(r)) for k, rs in ranks.items() for r in set(rs))
+    targets = _local(long, key, [T.StructField("rank", T.LongType())], wanted)
     values = long.select(key, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    brackets = _narrow(values, key, wanted, sizes, window_rows, accuracy)
-    if brackets:
-        outline = spark.createDataFrame(
-            [(k, cuts) for k, cuts in brackets.items()],
-            T.StructType([
-                T.StructField(key, T.StringType()),
-                T.StructField("_cuts", T.ArrayType(T.StructType([
-                    T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
-                ]))),
-            ]),
-        )
-        cuts = F.coalesce("_cuts", F.array())
-        zone = F.size(F.filter(cuts, lambda c: F.col("_v") >= c["lo"])) + F.size(
-            F.filter(cuts, lambda c: F.col("_v") > c["hi"])
+    outline = _narrow(values, key, wanted, sizes, window_rows, accuracy)
+    if outline:
+        cuts = _local(long, key, [T.StructField("_cuts", _SPANS)], sorted(outline.items()))
+        under = F.size(F.filter("_cuts", lambda c: F.col("_v") >= c["lo"]))
+        over = F.size(F.filter("_cuts", lambda c: F.col("_v") > c["hi"]))
+        # cuts is a local table of at most MAX_KEYS rows; a key without cuts is all one odd, kept-apart zone
+        zoned = values.join(F.broadcast(cuts), key, "left").select(
+            key, "_v", F.when(F.col("_cuts").isNull(), 1).otherwise(under + over).alias("_zone")
         )
-        # the outline is a local table of at most MAX_KEYS rows
-        values = values.join(F.broadcast(outline), key, "left").select(
-            key, "_v", F.when(F.col("_cuts").isNull(), 1).otherwise(zone).alias("_zone")
+        inside = F.col("_zone") % 2 == 1
+        runs = zoned.groupBy(key, "_zone", F.when(inside, F.col("_v")).alias("_at")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_v").alias("first"), F.max("_v").alias("last")
         )
+        order = W.partitionBy(key).orderBy("_zone", "_at")
     else:
-        values = values.withColumn("_zone", F.lit(1))
-    inside = F.col("_zone") % 2 == 1
-    runs = values.groupBy(key, "_zone", F.when(inside, F.col("_v")).alias("_at")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("first"), F.max("_v").alias("last")
-    )
-    order = W.partitionBy(key).orderBy("_zone", "_at")
+        runs = values.groupBy(key, "_v").agg(F.count(F.lit(1)).alias("n"))
+        runs = runs.select(key, "n", F.col("_v").alias("first"), F.col("_v").alias("last"))
+        order = W.partitionBy(key).orderBy("first")
     runs = runs.withColumn("end", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
     start = F.col("end") - F.col("n")
     found = (
@@ -97,22 +89,23 @@ def order_statistics(
 
 def exact_quantiles(
     long: DataFrame, probabilities: list[float], key: str = "column", value: str = "value",
-    window_rows: int = WINDOW_ROWS, accuracy: int = ACCURACY,
+    window_rows: int = WINDOW_ROWS, accuracy: int = ACCURACY, sizes: dict | None = None,
 ) -> DataFrame:
-    """(key, q, value): linearly interpolated quantiles of each key's values."""
-    spark = long.sparkSession
-    sizes = key_sizes(long, key, value)
-    plan = []
+    """(key, q, value): linearly interpolated quantiles of each key's values. ``sizes`` saves counting them."""
+    sizes = key_sizes(long, key, value) if sizes is None else sizes
+    plan, ranks = [], {k: [] for k in sizes}
     for k, n in sizes.items():
         for q in probabilities:
             at = q * (n - 1)
             low = math.floor(at)
-            plan.append((k, float(q), low, min(low + 1, n - 1), at - low))
-    ranks = {k: [] for k in sizes}
-    for k, _, low, high, _ in plan:
-        ranks[k] += [low, high]
+            high = min(low + 1, n - 1)
+            plan.append((k, float(q), low, high, at - low))
+            ranks[k] += [low, high]
     stats = order_statistics(long, ranks, sizes, key, value, window_rows, accuracy)
-    wanted = spark.createDataFrame(plan, f"`{key}` string, q double, low bigint, high bigint, share double")
+    wanted = _local(long, key, [
+        T.StructField("q", T.DoubleType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType()),
+        T.StructField("share", T.DoubleType()),
+    ], plan)
     at_rank = F.when(F.col("rank") == F.col("low"), F.col("value"))
     at_next = F.when(F.col("rank") == F.col("high"), F.col("value"))
     return (
@@ -124,75 +117,103 @@ def exact_quantiles(
     )
 
 
-def _narrow(values, key, wanted, sizes, window_rows, accuracy) -> dict[str, list[tuple[float, float]]]:
-    """Merged closed brackets per key; empty when every key is small enough to rank as it is."""
-    large = {k for k, n in sizes.items() if n > window_rows}
-    if not large:
-        return {}
-    states = {(k, r): _Bracket(r, None, None, 0, sizes[k]) for k, r in wanted if k in large}
-    margin = 3.0 / accuracy
-    budget = {k: max(1, window_rows // sum(1 for kk, _ in states if kk == k)) for k in large}
+def column_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
+                     sizes: dict[str, int] | None = None) -> DataFrame:
+    """(column, q, value) for numeric columns."""
+    if sizes is not None:
+        sizes = {columns.index(c): n for c, n in sizes.items() if n}
+    long = unfold(df, number_cells(df, columns))
+    return named(exact_quantiles(long, probabilities, key="slot", sizes=sizes), columns)
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
+
+
+def _local(long: DataFrame, key: str, fields: list[T.StructField], rows: list) -> DataFrame:
+    return long.sparkSession.createDataFrame(rows, T.StructType([T.StructField(key, long.schema[key].dataType), *fields]))
+
+
+def _narrow(values, key, wanted, sizes, window_rows, accuracy) -> dict:
+    """Disjoint closed spans per key around its ranks; no entry for a key that is small enough as it is.
+
+    The rank right after a bracketed one needs no bracket: it is in the same span or the first value after it.
+    """
+    found: dict = {}
+    for k, r in wanted:
+        if sizes[k] > window_rows and (k, r - 1) not in found:
+            found[k, r] = _Bracket(None, None, 0, sizes[k])
+    share = {k: max(1, window_rows // sum(1 for t in found if t[0] == k)) for k, _ in found}
     while True:
-        open_ = {s: b for s, b in states.items() if b.lo != b.hi and b.inside > budget[s[0]]} or None
-        if open_ is None:
+        open_ = {t: b for t, b in found.items() if b.inside > share[t[0]]}
+        if not open_:
             break
-        states.update(_tighten(values, key, open_, margin, accuracy))
-    merged: dict[str, list[tuple[float, float]]] = {}
-    for (k, _), b in states.items():
-        merged.setdefault(k, []).append((-math.inf if b.lo is None else b.lo, math.inf if b.hi is None else b.hi))
-    for k, spans in merged.items():
-        joined: list[tuple[float, float]] = []
-        for lo, hi in sorted(spans):
-            if joined and lo <= joined[-1][1]:
-                joined[-1] = (joined[-1][0], max(hi, joined[-1][1]))
-            else:
-                joined.append((lo, hi))
-        merged[k] = joined
-    return merged
-
-
-def _within(key, state, b):
-    test = F.col(key) == state[0]
-    if b.lo is not None:
-        test = test & (F.col("_v") > b.lo)
-    if b.hi is not None:
-        test = test & (F.col("_v") < b.hi)
-    return test
-
-
-def _tighten(values, key, states, margin, accuracy) -> dict:
-    """Two passes, one row each: approximate ends around every rank, then exact counts at those ends."""
-    items = list(states.items())
-    ends = []
-    for i, (state, b) in enumerate(items):
-        at = (b.rank - b.below) / b.inside
-        around = [max(0.0, at - margin), min(1.0, at + margin + 1.0 / b.inside)]
-        ends.append(
-            F.percentile_approx(F.when(_within(key, state, b), F.col("_v")), around, accuracy).alias(f"e{i}")
-        )
-    cut = values.agg(*ends).first()
+        found.update(_tighten(values, key, open_, accuracy))
+    outline: dict = {}
+    for (k, _), b in sorted(found.items(), key=lambda item: (item[0][0], item[1].span())):
+        lo, hi = b.span()
+        spans = outline.setdefault(k, [])
+        if spans and lo <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
+        else:
+            spans.append((lo, hi))
+    return outline
+
+
+def _tighten(values, key, open_: dict, accuracy: int) -> dict:
+    """Two passes: a grid of approximate quantiles of every open bracket, then exact counts at the chosen ends."""
+    steps = max(32, accuracy // 10)
+    grid = [i / steps for i in range(steps + 1)]
+    brackets = sorted({(k, *b.span()) for (k, _), b in open_.items()})
+    spans: dict = {}
+    for k, lo, hi in brackets:
+        spans.setdefault(k, []).append((lo, hi))
+    inside = values.join(F.broadcast(_local(values, key, [T.StructField("_cuts", _SPANS)], list(spans.items()))), key)
+    within = F.filter("_cuts", lambda c: (F.col("_v") > c["lo"]) & (F.col("_v") < c["hi"]))
+    sketches = (
+        inside.select(key, "_v", F.inline(within))
+        .groupBy(key, "lo", "hi")
+        .agg(F.percentile_approx("_v", grid, accuracy).alias("at"))
+    )
+    curves = {(r[key], r["lo"], r["hi"]): r["at"] for r in sketches.collect()}
+    ends = {}
+    for (k, rank), b in open_.items():
+        curve = curves[(k, *b.span())]
+        place = (rank - b.below) / b.inside * steps
+        ends[k, rank] = (curve[max(0, math.floor(place) - 1)], curve[min(steps, math.ceil(place) + 1)])
+    return _counted(values, key, open_, ends)
+
+
+def _counted(values, key, open_: dict, ends: dict) -> dict:
+    mine: dict = {}
+    for (k, rank), (lo, hi) in ends.items():
+        mine.setdefault(k, []).append((rank, lo, hi))
+    width = max(len(m) for m in mine.values())
+    local = _local(values, key, [T.StructField("_ends", _SPANS)], [(k, [(lo, hi) for _, lo, hi in m]) for k, m in mine.items()])
     counts = []
-    for i, (state, b) in enumerate(items):
-        mine, (lo, hi) = F.col(key) == state[0], cut[f"e{i}"]
+    for i in range(width):
+        lo, hi = F.get("_ends", F.lit(i))["lo"], F.get("_ends", F.lit(i))["hi"]
         counts += [
-            F.count_if(mine & (F.col("_v") < lo)).alias(f"a{i}"),
-            F.count_if(mine & (F.col("_v") <= lo)).alias(f"b{i}"),
-            F.count_if(mine & (F.col("_v") < hi)).alias(f"c{i}"),
-            F.count_if(mine & (F.col("_v") <= hi)).alias(f"d{i}"),
+            F.count_if(F.col("_v") < lo).alias(f"under_lo{i}"), F.count_if(F.col("_v") <= lo).alias(f"upto_lo{i}"),
+            F.count_if(F.col("_v") < hi).alias(f"under_hi{i}"), F.count_if(F.col("_v") <= hi).alias(f"upto_hi{i}"),
         ]
-    seen = values.agg(*counts).first()
     result = {}
-    for i, (state, b) in enumerate(items):
-        lo, hi = cut[f"e{i}"]
-        a, upto_lo, before_hi, d = (seen[f"{c}{i}"] for c in "abcd")
-        if b.rank < a:
-            result[state] = _Bracket(b.rank, b.lo, lo, b.below, a - b.below)
-        elif b.rank < upto_lo:
-            result[state] = _Bracket(b.rank, lo, lo, a, 0)
-        elif b.rank < before_hi:
-            result[state] = _Bracket(b.rank, lo, hi, upto_lo, before_hi - upto_lo)
-        elif b.rank < d:
-            result[state] = _Bracket(b.rank, hi, hi, before_hi, 0)
-        else:
-            result[state] = _Bracket(b.rank, hi, b.hi, d, b.below + b.inside - d)
+    for r in values.join(F.broadcast(local), key).groupBy(key).agg(*counts).collect():
+        for i, (rank, lo, hi) in enumerate(mine[r[key]]):
+            old = open_[r[key], rank]
+            result[r[key], rank] = _placed(
+                rank, old, lo, hi, *[r[f"{c}{i}"] for c in ("under_lo", "upto_lo", "under_hi", "upto_hi")]
+            )
     return result
+
+
+def _placed(rank, old, lo, hi, under_lo, upto_lo, under_hi, upto_hi) -> _Bracket:
+    """The part of the old bracket that holds the rank; a rank on an end is found."""
+    if rank < under_lo:
+        return _Bracket(old.lo, lo, old.below, under_lo - old.below)
+    if rank < upto_lo:
+        return _Bracket(lo, lo, under_lo, 0)
+    if rank < under_hi:
+        return _Bracket(lo, hi, upto_lo, under_hi - upto_lo)
+    if rank < upto_hi:
+        return _Bracket(hi, hi, under_hi, 0)
+    return _Bracket(hi, old.hi, upto_hi, old.below + old.inside - upto_hi)

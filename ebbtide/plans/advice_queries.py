@@ -25,7 +25,7 @@ def association(df: DataFrame, label: str) -> DataFrame:
     n, c = totals["n"].cast("double"), totals["c"].cast("double")
     hot = prep.onehot(df, KEY, TEXTS, fill_mode=False).join(df.select(KEY, label), KEY)
     hot = hot.groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum(label).cast("double").alias("kc"))
-    phi = (n * F.col("kc") - F.col("k") * c) / F.sqrt(F.col("k") * (n - F.col("k")) * c * (n - c))
+    phi = F.try_divide(n * F.col("kc") - F.col("k") * c, F.sqrt(F.col("k") * (n - F.col("k")) * c * (n - c)))
     both = numbers.unionByName(hot.select("feature", F.abs(phi).alias("strength")))
     total = both.agg(F.sum("strength")).scalar()
     return both.select("feature", F.round(F.col("strength") / total, 9).alias("importance"))

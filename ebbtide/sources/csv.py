@@ -17,7 +17,12 @@ MISSING = (
 )
 BOOLEANS = ("true", "false")
 
+# Texts read as numbers.
+WHOLE = r"^[+-]?\d+$"
+DECIMAL = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
+
 CORRUPT = "_corrupt_record"
+BIT_WHOLE, BIT_DECIMAL, BIT_BOOLEAN, BIT_TEXT = 1, 2, 4, 8
 
 
 def _text_rows(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
@@ -38,35 +43,28 @@ def _filled(name: str) -> Column:
     return F.when(trimmed != "", trimmed)
 
 
+def _kind(name: str) -> Column:
+    """One bit per cell for the narrowest type that fits it, 0 for a missing cell."""
+    x = _filled(name)
+    return (
+        F.when(x.isNull(), 0)
+        .when(x.rlike(WHOLE) & x.try_cast("bigint").isNotNull(), BIT_WHOLE)
+        .when(x.rlike(DECIMAL) & ~x.rlike(WHOLE), BIT_DECIMAL)
+        .when(F.lower(x).isin(*BOOLEANS), BIT_BOOLEAN)
+        .otherwise(BIT_TEXT)
+    )
+
+
 def survey(text: DataFrame) -> tuple[dict[str, T.DataType], int]:
     """Narrowest type that fits every cell of a column (BIGINT, DOUBLE, BOOLEAN, else STRING), and malformed lines.
 
     One pass over all rows, one result row: a sample could miss the one text that makes a column a text column.
     """
     names = [c for c in text.columns if c != CORRUPT]
-    counts = [F.count(CORRUPT).alias("malformed")]
-    for i, c in enumerate(names):
-        x = _filled(c)
-        counts += [
-            F.count(x).alias(f"n{i}"),
-            F.count(x.try_cast("bigint")).alias(f"i{i}"),
-            F.count_if(x.rlike(r"^[+-]?\d+$")).alias(f"w{i}"),
-            F.count(x.try_cast("double")).alias(f"d{i}"),
-            F.count_if(F.lower(x).isin(*BOOLEANS)).alias(f"b{i}"),
-        ]
-    row = text.agg(*counts).first()
-    types: dict[str, T.DataType] = {}
-    for i, c in enumerate(names):
-        n = row[f"n{i}"]
-        if n and row[f"i{i}"] == n and row[f"w{i}"] == n:
-            types[c] = T.LongType()
-        elif n and row[f"d{i}"] == n:
-            types[c] = T.DoubleType()
-        elif n and row[f"b{i}"] == n:
-            types[c] = T.BooleanType()
-        else:
-            types[c] = T.StringType()
-    return types, row["malformed"]
+    row = text.agg(F.count(CORRUPT).alias("malformed"), *[F.bit_or(_kind(c)).alias(f"k{i}") for i, c in enumerate(names)]).first()
+    fits = {BIT_WHOLE: T.LongType(), BIT_DECIMAL: T.DoubleType(), BIT_WHOLE | BIT_DECIMAL: T.DoubleType(),
+            BIT_BOOLEAN: T.BooleanType()}
+    return {c: fits.get(row[f"k{i}"], T.StringType()) for i, c in enumerate(names)}, row["malformed"]
 
 
 def _typed(text: DataFrame, types: dict[str, T.DataType]) -> DataFrame:

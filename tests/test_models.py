@@ -153,3 +153,13 @@ def test_auc_agrees_with_the_evaluator(spark):
     rows = planted(spark, FOLDER)
     theirs = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="churn", numBins=0).evaluate(rows)
     assert metrics.roc_auc(rows, "churn", "score").first()[0] == pytest.approx(theirs, abs=1e-12)
+
+
+def test_summary_of_a_feature_that_never_matters(spark):
+    shap = spark.createDataFrame(
+        [(i, "flat", float(i), 0.0, 0.1) for i in range(4)] + [(i, "used", float(i), i * 0.5, 0.1) for i in range(4)],
+        "customer_id int, feature string, value double, shap double, base double")
+    rows = explain.shap_summary(shap).collect()
+    assert [r["feature"] for r in rows] == ["used", "flat"]
+    assert rows[0]["value_shap_corr"] == pytest.approx(1.0) and rows[1]["value_shap_corr"] is None
+    assert [r["feature"] for r in explain.shap_summary(shap, max_display=1).collect()] == ["used"]

@@ -166,6 +166,20 @@ def test_histogram_of_a_constant(spark):
     assert [(r["bin"], r["n"]) for r in row] == [(0, 3)]
 
 
+def test_correlation_of_wide_tables(spark):
+    rows = [(float(i), float(i * i % 17), 2.0, None if i % 5 == 0 else float(-i)) for i in range(60)]
+    df = frame(spark, rows, "a double, b double, flat double, d double")
+    narrow = {(r[0], r[1]): r[2] for r in profile.correlation_matrix(df).collect()}
+    wide = {(r[0], r[1]): r[2] for r in profile.correlation_matrix(df, wide=2).collect()}
+    assert narrow.keys() == wide.keys() and len(narrow) == 16
+    for pair, value in narrow.items():
+        if "flat" not in pair:
+            assert wide[pair] == pytest.approx(value, abs=1e-9)
+        else:
+            assert wide[pair] is None and value is None
+    assert narrow["a", "d"] == pytest.approx(-1)
+
+
 def test_text_profile(spark):
     df = frame(spark, [("s", "b", 1), ("s", "a", 3), ("s", None, 5)], "segment string, c string, x int")
     row = segments.segment_profile(df, "segment", ["x", "c"]).first()
