@@ -1,4 +1,8 @@
-"""Cohort by lifetime churn: month cohorts, time bins, churn and retention cells, and what they show."""
+"""Cohort by lifetime churn: month cohorts, time bins, churn and retention cells, and what they show.
+
+The cells of :func:`cohort_churn` are few (cohorts by periods). Reports that follow read them several
+times, so put them in a stage table first.
+"""
 
 from __future__ import annotations
 
@@ -40,13 +44,11 @@ def time_range(df: DataFrame, time_column: str) -> DataFrame:
     if not isinstance(df.schema[time_column].dataType, T.NumericType):
         raise TypeError(f"time column '{time_column}' must be numeric")
     values = df.select(F.col(time_column).alias("t")).where(F.col("t").isNotNull()).distinct()
-    gate = values.limit(MAX_PERIOD_VALUES + 1).agg(F.count(F.lit(1)).alias("n")).scalar()
-    largest = F.floor(F.max(time_column))
-    return df.agg(largest.alias("max_value")).select(
-        gate.alias("n_values"),
-        "max_value",
-        F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("max_value") / 10)).alias("bin_width"),
+    found = values.agg(
+        F.least(F.count(F.lit(1)), F.lit(MAX_PERIOD_VALUES + 1)).alias("n_values"), F.floor(F.max("t")).alias("max_value")
     )
+    width = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("max_value") / 10))
+    return found.withColumn("bin_width", width)
 
 
 def time_bins(df: DataFrame, time_column: str) -> DataFrame:
@@ -118,7 +120,7 @@ def period_labels(cells: DataFrame) -> list[str]:
 
 
 def churn_pivot(cells: DataFrame, value: Column | None = None) -> DataFrame:
-    """Cohort rows by period columns; an empty cell is NULL."""
+    """Cohort rows by period columns in time order; an empty cell is NULL."""
     rate = F.col("churn_rate") if value is None else value
     return cells.groupBy("cohort").pivot("period", period_labels(cells)).agg(F.first(rate))
 

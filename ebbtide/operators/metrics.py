@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ebbtide.functions.shaping import fan_out
+from ebbtide.functions.shaping import fan_out, number_cells, unfold
 from ebbtide.operators.quantiles import key_sizes, order_statistics
 
 # Decision threshold, class names and the share of customers to reach first.
@@ -174,10 +174,10 @@ def metrics_long(metrics: DataFrame, model: str = "model") -> DataFrame:
 
 def high_risk_customers(scores: DataFrame, score: str, share: float = RISK_SHARE) -> DataFrame:
     """Rows at or above the score that cuts off the given share; the cut is exact and nothing is sorted."""
-    long = scores.select(F.lit(score).alias("column"), F.col(score).cast("double").alias("value"))
-    sizes = key_sizes(long)
+    long = unfold(scores, number_cells(scores, [score]))
+    sizes = key_sizes(long, key="slot")
     if not sizes:
         return scores.limit(0)
-    rank = max(0, math.ceil(round((1.0 - share) * sizes[score], 6)) - 1)
-    cut = order_statistics(long, {score: [rank]}, sizes).select("value").scalar()
+    rank = max(0, math.ceil(round((1.0 - share) * sizes[0], 6)) - 1)
+    cut = order_statistics(long, {0: [rank]}, sizes, key="slot").select("value").scalar()
     return scores.where(F.col(score) >= cut)

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from ebbtide.functions import roles
 from ebbtide.functions.hashing import unit_hash, wide_hash
-from ebbtide.functions.shaping import long_numbers, long_texts, present
-from ebbtide.operators.profile import cell_counts, distinct_counts, top_values
+from ebbtide.functions.shaping import long_numbers, long_texts, number_cells, present
+from ebbtide.operators.profile import cell_counts, top_values
 from ebbtide.operators.quantiles import column_quantiles, key_sizes, order_statistics
 
 # Share of rows held out.
@@ -35,47 +35,67 @@ def feature_projection(df: DataFrame, key: str, features: list[str], label: str)
 # --- fitted numbers ---------------------------------------------------------------------------------
 
 
-def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+@dataclass(frozen=True)
+class Moments:
+    """Present and missing rows, mean and population standard deviation of a column."""
+
+    present: int
+    missing: int
+    mean: float | None
+    std: float | None
+
+    def filled(self, value: float) -> tuple[float, float]:
+        """Mean and deviation once every missing cell holds ``value``."""
+        n, m = self.present, self.missing
+        if not m:
+            return self.mean, self.std
+        mean = (n * self.mean + m * value) / (n + m)
+        square = n * (self.std**2 + (self.mean - mean) ** 2) + m * (value - mean) ** 2
+        return mean, math.sqrt(square / (n + m))
+
+
+def moments(df: DataFrame, columns: list[str]) -> dict[str, Moments]:
+    """One pass over the table for all columns."""
     if not columns:
         return {}
-    return {r["column"]: r["value"] for r in column_quantiles(df, columns, [0.5]).collect()}
+    aggregates = [F.count(F.lit(1)).alias("n")]
+    for i, x in enumerate(number_cells(df, columns)):
+        aggregates += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"s{i}")]
+    row = df.agg(*aggregates).first()
+    return {
+        c: Moments(row[f"n{i}"], row["n"] - row[f"n{i}"], row[f"a{i}"], row[f"s{i}"]) for i, c in enumerate(columns)
+    }
 
 
-def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Most frequent value per column, ties to the smallest."""
+def medians(df: DataFrame, columns: list[str], sizes: dict[str, int] | None = None) -> dict[str, float]:
     if not columns:
         return {}
-    return {r["column"]: r["value"] for r in top_values(df, columns, 1).collect()}
+    return {r["column"]: r["value"] for r in column_quantiles(df, columns, [0.5], sizes).collect()}
 
 
-def moments(df: DataFrame, columns: list[str], fill: dict[str, float] | None = None) -> dict[str, tuple[float, float]]:
-    """Mean and population standard deviation per column, missing values replaced by ``fill`` first."""
+def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Most frequent value per column, ties to the smallest."""
     if not columns:
         return {}
-    aggregates = []
-    for i, c in enumerate(columns):
-        x = present(df, c).cast("double")
-        if fill and c in fill:
-            x = F.coalesce(x, F.lit(fill[c]))
-        aggregates += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"s{i}")]
-    row = df.agg(*aggregates).first()
-    return {c: (row[f"a{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+    return {r["column"]: r["value"] for r in top_values(df, columns, 1).collect()}
 
 
 def category_counts(df: DataFrame, columns: list[str], limit: int | None) -> tuple[dict[str, dict[str, int]], list[str]]:
-    """Rows per category of each column, and the columns left out for having more than ``limit`` categories."""
-    if not columns:
-        return {}, []
-    skipped = []
-    if limit is not None:
-        sizes = {r["column"]: r["distinct_values"] for r in distinct_counts(df, columns).collect()}
-        skipped = [c for c in columns if sizes.get(c, 0) > limit]
-    kept = [c for c in columns if c not in skipped]
+    """Rows per category of each column, and the columns left out for having more than ``limit`` categories.
+
+    A sketch first sets aside columns with far more categories (twice the limit is ten times its error), so that
+    values of id-like columns are never shuffled and what is collected stays small; the limit itself is exact.
+    """
+    kept = list(columns)
+    if kept and limit is not None:
+        sizes = df.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        kept = [c for i, c in enumerate(columns) if sizes[f"n{i}"] <= 2 * limit]
     found: dict[str, dict[str, int]] = {c: {} for c in kept}
     if kept:
         for r in cell_counts(df, kept).where(F.col("value").isNotNull()).collect():
             found[r["column"]][r["value"]] = r["n"]
-    return found, skipped
+    found = {c: n for c, n in found.items() if limit is None or len(n) <= limit}
+    return found, [c for c in columns if c not in found]
 
 
 # --- table operators --------------------------------------------------------------------------------
@@ -102,7 +122,7 @@ def impute_mode(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
-    return _filled(df, {c: mean for c, (mean, _) in moments(df, columns).items() if mean is not None})
+    return _filled(df, {c: m.mean for c, m in moments(df, columns).items() if m.present})
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -110,9 +130,9 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     stats = moments(df, columns)
     cells = []
     for c in df.columns:
-        if c in stats and stats[c][0] is not None:
-            mean, std = stats[c]
-            cells.append(((present(df, c).cast("double") - mean) / (std or 1.0)).alias(c))
+        if c in stats and stats[c].present:
+            scaled = (present(df, c).cast("double") - stats[c].mean) / (stats[c].std or 1.0)
+            cells.append(scaled.alias(c))
         else:
             cells.append(F.col(c))
     return df.select(*cells)
@@ -290,12 +310,13 @@ def fit_features(train: DataFrame, exclude=(), max_categories: int | None = MAX_
     """Median fill and scaling for numbers, mode fill and one-hot for texts, learned from the training rows."""
     numeric, texts = _feature_columns(train, exclude)
     counts, skipped = category_counts(train, texts, max_categories)
-    fill = medians(train, numeric)
-    numeric = [c for c in numeric if c in fill]  # a column without any value has nothing to learn
+    stats = moments(train, numeric)
+    numeric = [c for c in numeric if stats[c].present]  # a column without any value has nothing to learn
+    fill = medians(train, numeric, {c: stats[c].present for c in numeric})
     return FeatureSpec(
         numeric=numeric,
         fill=fill,
-        scale=moments(train, numeric, fill),
+        scale={c: stats[c].filled(fill[c]) for c in numeric},
         categories={c: sorted(n) for c, n in counts.items() if n},
         category_fill={c: min(n, key=lambda v: (-n[v], v)) for c, n in counts.items() if n},
         skipped=skipped,
@@ -311,16 +332,16 @@ def fit_segment_features(df: DataFrame, features: list[str], max_categories: int
     numeric, texts = _feature_columns(chosen, ())
     counts, skipped = category_counts(chosen, texts, max_categories)
     stats = moments(chosen, numeric)
-    numeric = [c for c in numeric if stats[c][0] is not None]
+    numeric = [c for c in numeric if stats[c].present]
     rows = chosen.count() if counts else 0
     categories = {c: sorted(n) for c, n in counts.items() if n}
     weights = {}
     for c, values in categories.items():
         shares = [counts[c][v] / rows for v in values]
         weights[c] = [1.0 / math.sqrt(p * (1 - p)) if 0 < p < 1 else 1.0 for p in shares]
-    fill = {c: stats[c][0] for c in numeric}
     return FeatureSpec(
-        numeric=numeric, fill=fill, scale=moments(chosen, numeric, fill), categories=categories, category_fill={},
+        numeric=numeric, fill={c: stats[c].mean for c in numeric},
+        scale={c: stats[c].filled(stats[c].mean) for c in numeric}, categories=categories, category_fill={},
         category_weight=weights, skipped=skipped,
     )
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.operators import prep, profile, rules
-from ebbtide.plans.model_queries import KEY, TEXTS
+from ebbtide.functions.shaping import named, text_cells, unfold
+from ebbtide.operators import profile, rules
+from ebbtide.plans.model_queries import TEXTS
 from ebbtide.plans.registry import BASE, base, query, shared
 from ebbtide.plans.table_queries import MEASURES
 from ebbtide.session import stage
@@ -23,8 +24,10 @@ def association(df: DataFrame, label: str) -> DataFrame:
     numbers = numbers.select(F.col("column_y").alias("feature"), F.abs("correlation").alias("strength"))
     totals = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(label).alias("c"))).scalar()
     n, c = totals["n"].cast("double"), totals["c"].cast("double")
-    hot = prep.onehot(df, KEY, TEXTS, fill_mode=False).join(df.select(KEY, label), KEY)
-    hot = hot.groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum(label).cast("double").alias("kc"))
+    cells = unfold(df, text_cells(df, TEXTS), [label]).where(F.col("value").isNotNull())
+    hot = named(cells.groupBy("slot", "value").agg(
+        F.count(F.lit(1)).cast("double").alias("k"), F.sum(label).cast("double").alias("kc")
+    ), TEXTS).withColumn("feature", F.concat_ws("_", "column", "value"))
     phi = F.try_divide(n * F.col("kc") - F.col("k") * c, F.sqrt(F.col("k") * (n - F.col("k")) * c * (n - c)))
     both = numbers.unionByName(hot.select("feature", F.abs(phi).alias("strength")))
     total = both.agg(F.sum("strength")).scalar()

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ebbtide.operators import cohort
-from ebbtide.plans.registry import BASE, BINS, base, cells, query, rounded
+from ebbtide.plans.registry import BASE, BINS, base, cells, query, rounded, shared
+from ebbtide.session import stage
 
 TOP, FEW = cells(10), cells(5)
 MAX_PERIODS = 20
 
 
-def _cells(spark, folder, k=cohort.MAX_COHORTS):
+def _churn(spark, folder, k=cohort.MAX_COHORTS):
     rows = cohort.month_cohort(base(spark, folder), "signup_date")
     return cohort.cohort_churn(rows, "cohort", "tenure_days", "churned", k)
 
 
+def _cells(spark, folder, k=cohort.MAX_COHORTS):
+    """The cells as a stage table, computed once for all reports on them."""
+    return shared(spark, folder, f"cells-{k}", lambda: stage(_churn(spark, folder, k), "cells"))
+
+
 @query("month_cohort", f"WITH {BASE} SELECT customer_id, strftime(signup_date, '%Y-%m') AS cohort FROM base")
 def month_cohort(spark, folder):
     return cohort.month_cohort(base(spark, folder), "signup_date").select("customer_id", "cohort")
@@ -46,11 +52,12 @@ def top_cohort_filter(spark, folder):
 
 @query("cohort_churn", f"WITH {TOP} SELECT cohort, bin_lo, period, n, churned, churn_rate FROM cells")
 def cohort_churn(spark, folder):
-    return _cells(spark, folder)
+    return _churn(spark, folder)
 
 
-def _wide(pivoted, periods):
+def _wide(pivoted):
     """Name the period columns by their place in time, so the columns are the same for every table size."""
+    periods = pivoted.columns[1:]
     named = [F.col(f"`{p}`").alias(f"t{i + 1:02d}") for i, p in enumerate(periods)]
     blank = [F.lit(None).cast("double").alias(f"t{i + 1:02d}") for i in range(len(periods), MAX_PERIODS)]
     return pivoted.select("cohort", *named, *blank)
@@ -64,14 +71,12 @@ SELECT cohort, {columns} FROM placed GROUP BY cohort"""
 
 @query("cohort_churn_pivot", _wide_sql("churn_rate"))
 def cohort_churn_pivot(spark, folder):
-    found = _cells(spark, folder)
-    return _wide(cohort.churn_pivot(found), cohort.period_labels(found))
+    return _wide(cohort.churn_pivot(_cells(spark, folder)))
 
 
 @query("cohort_retention_pivot", _wide_sql("1 - churn_rate"))
 def cohort_retention_pivot(spark, folder):
-    found = _cells(spark, folder)
-    return _wide(cohort.retention_pivot(found), cohort.period_labels(found))
+    return _wide(cohort.retention_pivot(_cells(spark, folder)))
 
 
 @query("cohort_trend", f"""WITH {TOP},

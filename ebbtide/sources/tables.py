@@ -129,3 +129,8 @@ def fixed_segments(base: DataFrame) -> DataFrame:
         .otherwise("Segment 3")
     )
     return base.withColumn("segment", band)
+
+
+def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Keep a result: Parquet on any Hadoop file system, replacing what is there."""
+    df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
