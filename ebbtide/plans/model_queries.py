@@ -8,7 +8,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.functions.shaping import fan_out
 from ebbtide.operators import explain, metrics, models, prep, profile
 from ebbtide.plans.registry import BASE, PLANTED, base, customers, planted, query, rounded, shared, unit
 from ebbtide.plans.table_queries import MEASURES
@@ -341,6 +340,14 @@ def feature_importance_boosted(spark, folder):
     return models.feature_importance(found.boosted, found.prepared)
 
 
+@query("feature_importance")
+def feature_importance(spark, folder):
+    """Both models' importances, most important first."""
+    logistic = feature_importance_logistic(spark, folder).withColumn("model", F.lit("logistic"))
+    boosted = feature_importance_boosted(spark, folder).withColumn("model", F.lit("boosted"))
+    return logistic.unionByName(boosted).orderBy("model", F.desc("importance"), "feature")
+
+
 @query("shap_linear_fixed", f"""WITH {BASE}, m AS (SELECT
   {", ".join(f"avg({c}) AS m_{c}" for c in FIXED_COEFFICIENTS)} FROM base),
 b AS (SELECT round({FIXED_INTERCEPT} + {" + ".join(f"{w} * m_{c}" for c, w in FIXED_COEFFICIENTS.items())}, 6) AS base FROM m)

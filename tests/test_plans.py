@@ -17,6 +17,11 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def scans(text: str) -> int:
+    """Table reads of an executed plan: every final plan, subqueries included."""
+    return sum(part.split("Initial Plan")[0].count("FileScan") for part in text.split("Final Plan")[1:])
+
+
 @pytest.mark.parametrize("name", sorted(
     set(contract.oracle_sql()) - {"csv_ingest", "parquet_sink"}
 ))
@@ -79,8 +84,7 @@ def test_global_numbers_are_read_once(spark):
     df = profile.histogram(base(spark, FOLDER), "total_charges")
     df.collect()
     text = df._jdf.queryExecution().executedPlan().toString()
-    final = text.split("Initial Plan")[0]
-    assert final.count("FileScan") <= 2  # the ends, then the bins
+    assert scans(text) <= 2  # the ends, then the bins
 
 
 def test_stage_folder_is_the_cluster_folder(spark):
@@ -97,3 +101,17 @@ def test_rows_survive_the_sink(spark, tmp_path):
     tables.write_parquet(rows, str(tmp_path / "out"), partition_by=["churn"])
     back = tables.read_parquet(spark, str(tmp_path / "out"), ["customer_id", "churn", "signup_date"])
     assert back.exceptAll(rows).count() == 0 and rows.exceptAll(back).count() == 0
+
+
+def test_cohort_churn_reads_the_table_three_times(spark):
+    df = cohort.cohort_churn(base(spark, FOLDER), "signup_month", "tenure_days", "churned")
+    df.collect()
+    assert scans(plan(df)) <= 3  # bin width, largest cohorts, cells
+
+
+def test_label_is_read_twice(spark):
+    from ebbtide.operators.label import normalize_label
+
+    df = normalize_label(base(spark, FOLDER).select("customer_id", "churn"), "churn", "y")
+    df.collect()
+    assert scans(plan(df)) <= 2
