@@ -54,18 +54,21 @@ def time_range(df: DataFrame, time_column: str) -> DataFrame:
 def time_bins(df: DataFrame, time_column: str) -> DataFrame:
     """Add ``bin_lo`` and ``period``.
 
-    Up to ten distinct values are kept as they are. Beyond that the axis is cut into right-closed
+    Up to ten distinct values are kept as they are (``bin_lo`` is DOUBLE for a fractional column). Beyond that the axis is cut into right-closed
     intervals of one tenth of the largest value, the first one closed on both sides and each labelled
     ``lo-(lo+width-1)``. Values below zero and missing values get no bin.
     """
     span = time_range(df, time_column).select(F.struct("n_values", "bin_width").alias("span")).scalar()
     width = span["bin_width"]
-    value = F.floor(F.col(time_column))
-    index = F.greatest(F.ceil(F.col(time_column) / width) - 1, F.lit(0).cast("bigint"))
-    lo = F.when(span["n_values"] <= MAX_PERIOD_VALUES, value).when(F.col(time_column) >= 0, index * width)
+    few = span["n_values"] <= MAX_PERIOD_VALUES
+    time = F.col(time_column)
+    exact = time.cast("double" if isinstance(df.schema[time_column].dataType, T.FractionalType) else "bigint")
+    index = F.greatest(F.ceil(time / width) - 1, F.lit(0).cast("bigint"))
+    lo = F.when(few, exact).when(time >= 0, index * width)
     binned = df.withColumn("bin_lo", lo)
-    label = F.when(span["n_values"] <= MAX_PERIOD_VALUES, F.col("bin_lo").cast("string")).otherwise(
-        F.concat_ws("-", F.col("bin_lo").cast("string"), (F.col("bin_lo") + width - 1).cast("string"))
+    start = F.col("bin_lo").cast("bigint")
+    label = F.when(few, F.col("bin_lo").cast("string")).otherwise(
+        F.concat_ws("-", start.cast("string"), (start + width - 1).cast("string"))
     )
     return binned.withColumn("period", F.when(F.col("bin_lo").isNotNull(), label))
 

@@ -80,21 +80,21 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return {r["column"]: r["value"] for r in top_values(df, columns, 1).collect()}
 
 
-def category_counts(df: DataFrame, columns: list[str], limit: int | None) -> tuple[dict[str, dict[str, int]], list[str]]:
+def category_counts(df: DataFrame, columns: list[str], limit: int) -> tuple[dict[str, dict[str, int]], list[str]]:
     """Rows per category of each column, and the columns left out for having more than ``limit`` categories.
 
     A sketch first sets aside columns with far more categories (twice the limit is ten times its error), so that
     values of id-like columns are never shuffled and what is collected stays small; the limit itself is exact.
     """
     kept = list(columns)
-    if kept and limit is not None:
+    if kept:
         sizes = df.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
         kept = [c for i, c in enumerate(columns) if sizes[f"n{i}"] <= 2 * limit]
     found: dict[str, dict[str, int]] = {c: {} for c in kept}
     if kept:
         for r in cell_counts(df, kept).where(F.col("value").isNotNull()).collect():
             found[r["column"]][r["value"]] = r["n"]
-    found = {c: n for c, n in found.items() if limit is None or len(n) <= limit}
+    found = {c: n for c, n in found.items() if len(n) <= limit}
     return found, [c for c in columns if c not in found]
 
 
@@ -316,7 +316,7 @@ def _feature_columns(df: DataFrame, exclude) -> tuple[list[str], list[str]]:
     return numeric, roles.categorical_columns(df, exclude)
 
 
-def fit_features(train: DataFrame, exclude=(), max_categories: int | None = MAX_CATEGORIES) -> FeatureSpec:
+def fit_features(train: DataFrame, exclude=(), max_categories: int = MAX_CATEGORIES) -> FeatureSpec:
     """Median fill and scaling for numbers, mode fill and one-hot for texts, learned from the training rows."""
     numeric, texts = _feature_columns(train, exclude)
     counts, skipped = category_counts(train, texts, max_categories)
@@ -333,7 +333,7 @@ def fit_features(train: DataFrame, exclude=(), max_categories: int | None = MAX_
     )
 
 
-def fit_segment_features(df: DataFrame, features: list[str], max_categories: int | None = MAX_CATEGORIES) -> FeatureSpec:
+def fit_segment_features(df: DataFrame, features: list[str], max_categories: int = MAX_CATEGORIES) -> FeatureSpec:
     """Mean fill and scaling for numbers; dummies, scaled as well, for texts.
 
     Dummies are not centred: distances between rows stay the same and the vectors stay sparse.

@@ -28,7 +28,8 @@ BIT_WHOLE, BIT_DECIMAL, BIT_BOOLEAN, BIT_TEXT = 1, 2, 4, 8
 def _text_rows(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     header = reader.option("inferSchema", False).csv(path).schema
-    schema = T.StructType([T.StructField(f.name, T.StringType()) for f in header] + [T.StructField(CORRUPT, T.StringType())])
+    names = [f.name.replace(".", "_") for f in header]  # a dot would read as a struct field
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
 
 
@@ -106,4 +107,5 @@ def ingest_csv(spark: SparkSession, path: str, types: dict[str, T.DataType] | No
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

@@ -102,6 +102,12 @@ def test_fractional_time(spark):
     assert found[0.5] == 0 and found[2.5] == 2 and found[29.5] == 28
 
 
+def test_few_fractional_values_stay_apart(spark):
+    df = frame(spark, [(1.2,), (1.8,), (None,)], "t double")
+    found = {(r["bin_lo"], r["period"]) for r in cohort.time_bins(df, "t").collect()}
+    assert found == {(1.2, "1.2"), (1.8, "1.8"), (None, None)}
+
+
 def test_cohort_choice(spark):
     df = frame(spark, [("2020-02-03", "a"), ("nonsense", "b")], "d string, c string")
     assert [r["cohort"] for r in cohort.choose_cohort(df, date="d").orderBy("c").collect()] == ["2020-02", None]
@@ -396,3 +402,21 @@ def test_partitioning_changes_nothing(spark, parts):
         prep.stratified_split(df.coalesce(1), "id", "y").where("split = 'test'").agg(F.sum("id")).first()[0]
     assert prep.medians(df, ["t"]) == {"t": linear([r[2] for r in rows], 0.5)}
     assert long_numbers(df, ["t", "y"]).count() == 1200
+
+
+def test_csv_names_and_blanks_survive(spark, tmp_path):
+    path = tmp_path / "dots.csv"
+    path.write_text("Monthly.Charges,plan,churn\n1.5, a ,Yes\n2,b,No\n")
+    rows = csv.read_csv(spark, str(path))
+    assert rows.columns == ["Monthly_Charges", "plan", "churn"]
+    csv.write_csv(rows, str(tmp_path / "again"))
+    again = csv.read_csv(spark, str(tmp_path / "again"))
+    assert sorted(map(tuple, again.collect())) == [(1.5, " a ", "Yes"), (2.0, "b", "No")]
+
+
+def test_booleans_are_features(spark):
+    df = frame(spark, [(1, True), (2, False), (3, None), (4, False)], "id int, active boolean")
+    spec = prep.fit_features(df, exclude=("id",))
+    assert spec.numeric == ["active"] and spec.fill == {"active": 0.0}
+    rows = spec.pipeline(df).transform(df).orderBy("id").collect()
+    assert rows[0]["features"][0] > 0 and rows[1]["features"][0] == rows[2]["features"][0] < 0
