@@ -26,7 +26,8 @@ QUARTILES = [0.25, 0.5, 0.75]
 WHISKER = 1.5
 HISTOGRAM_BINS = 30  # ours: the charts this stands for leave the bin count to the drawing library
 
-PAIRS_PER_AGGREGATE = 9  # up to ten buffers each; a stage of over a hundred fields leaves generated code
+PAIRS_PER_AGGREGATE = 16  # six buffers each; a stage of over a hundred fields leaves generated code
+GAPPED_PER_AGGREGATE = 9  # ten buffers each
 WIDE_COLUMNS = 40
 BROADCAST_ROWS = 2_000_000  # hashes of 8 bytes each
 
@@ -293,25 +294,24 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, wide: in
     varying = [c for i, c in enumerate(columns) if found[f"lo{i}"] != found[f"hi{i}"]]
     whole = {c for i, c in enumerate(columns) if c in varying and not found[f"missing{i}"]}
 
-    def pearson(a, b):
-        if whole.issuperset((a, b)):
-            return F.corr(a, b)
+    def shared_rows(a, b):
         # corr divides by zero when the rows shared by a pair do not vary
         x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
         return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
 
-    pairs = list(combinations_with_replacement(varying, 2))
-    parts = []
-    fixed = [p for p in combinations_with_replacement(columns, 2) if not set(varying).issuperset(p)]
-    if fixed:
-        parts.append(_pair_rows(df.sparkSession.range(1), fixed, [F.lit(None).cast("double")] * len(fixed)))
+    pairs = list(combinations_with_replacement(columns, 2))
+    fixed = [p for p in pairs if not set(varying).issuperset(p)]
+    parts = [_pair_rows(df.sparkSession.range(1), fixed, [F.lit(None).cast("double")] * len(fixed))] if fixed else []
+    plain = [p for p in pairs if whole.issuperset(p)]
     if len(columns) >= wide and len(whole) > 1:
         parts.append(_correlation_of_vectors(numbers, [c for c in varying if c in whole]))
-        pairs = [p for p in pairs if not whole.issuperset(p)]
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        batch = pairs[start:start + PAIRS_PER_AGGREGATE]
-        row = numbers.agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(batch)])
-        parts.append(_pair_rows(row, batch, [F.col(f"c{i}") for i in range(len(batch))]))
+        plain = []
+    gapped = [p for p in pairs if set(varying).issuperset(p) and not whole.issuperset(p)]
+    for chosen, size, measure in ((plain, PAIRS_PER_AGGREGATE, F.corr), (gapped, GAPPED_PER_AGGREGATE, shared_rows)):
+        for start in range(0, len(chosen), size):
+            batch = chosen[start:start + size]
+            row = numbers.agg(*[measure(a, b).alias(f"c{i}") for i, (a, b) in enumerate(batch)])
+            parts.append(_pair_rows(row, batch, [F.col(f"c{i}") for i in range(len(batch))]))
     return functools.reduce(DataFrame.unionByName, parts)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.operators import explain, metrics, models, prep, profile
-from ebbtide.plans.registry import BASE, PLANTED, base, customers, planted, query, rounded, shared, unit
+from ebbtide.plans.registry import BASE, PLANTED, base, customers, planted, query, rounded, shared
 from ebbtide.plans.table_queries import MEASURES
 from ebbtide.session import stage
 

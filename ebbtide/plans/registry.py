@@ -35,11 +35,6 @@ def shared(spark: SparkSession, folder: str, name: str, build: Callable[[], obje
     return _SHARED[slot]
 
 
-def forget() -> None:
-    """Drop shared results, so that the next query builds its own."""
-    _SHARED.clear()
-
-
 def base(spark: SparkSession, folder: str) -> DataFrame:
     """Stage table of customers with the label normalised once, at ingest."""
     return shared(

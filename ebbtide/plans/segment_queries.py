@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ebbtide.operators import clustering, roi
 from ebbtide.operators import segments as report
 from ebbtide.plans.registry import SEGMENTS, BASE, base, query, rounded, segments, shared
