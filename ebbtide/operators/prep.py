@@ -21,6 +21,7 @@ from ebbtide.functions.hashing import unit_hash, wide_hash
 from ebbtide.functions.shaping import long_numbers, long_texts, number_cells, present
 from ebbtide.operators.profile import cell_counts, top_values
 from ebbtide.operators.quantiles import column_quantiles, order_statistics
+from ebbtide.session import stage
 
 # Share of rows held out.
 TEST_SIZE = 0.25
@@ -180,11 +181,12 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = TES
     statistic, so no class is ever sorted in one task; rows on the cut itself are told apart by key.
     """
     hashed = df.withColumn("_h", wide_hash(F.col(key), salt)).withColumn("_class", F.col(label).cast("string"))
+    narrow = stage(hashed.select(key, "_class", "_h"), "hashes")  # hashed once, read by the passes below
     sizes = {
-        r["_class"]: r["count"] for r in hashed.groupBy("_class").count().collect() if r["_class"] is not None
+        r["_class"]: r["count"] for r in narrow.groupBy("_class").count().collect() if r["_class"] is not None
     }
     quota = _quotas(sizes, test_size)
-    long = hashed.select(F.col("_class").alias("column"), F.col("_h").alias("value"))
+    long = narrow.select(F.col("_class").alias("column"), F.col("_h").alias("value"))
     ranks = {c: [q - 1] for c, q in quota.items() if q > 0}
     cuts = {r["column"]: r["value"] for r in order_statistics(long, ranks, sizes).collect()}
     test = F.lit(False)
@@ -197,12 +199,12 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = TES
                 F.count_if(on_cut).alias(f"ties{i}"),
                 F.max(F.when(on_cut, F.col(key))).alias(f"last{i}"),
             ]
-        row = hashed.agg(*aggregates).first()
+        row = narrow.agg(*aggregates).first()
         for i, (c, cut) in enumerate(cuts.items()):
             mine, last = F.col("_class") == c, row[f"last{i}"]
             room = quota[c] - row[f"below{i}"]
             if room < row[f"ties{i}"]:
-                tied = hashed.where(mine & (F.col("_h") == cut)).select(key)
+                tied = narrow.where(mine & (F.col("_h") == cut)).select(key)
                 last = tied.orderBy(key).limit(room).agg(F.max(key)).first()[0]
             test = test | (mine & ((F.col("_h") < cut) | ((F.col("_h") == cut) & (F.col(key) <= last))))
     return hashed.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h", "_class")
