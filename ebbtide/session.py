@@ -7,8 +7,6 @@ keeps column pruning, filter push-down and true size statistics for whoever read
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,27 +29,29 @@ def build_session(app: str = "ebbtide", master: str | None = None, conf: dict[st
     return builder.getOrCreate()
 
 
-@functools.lru_cache(maxsize=None)
-def _local_root(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix="ebbtide-")
-
-
-def stage_root(spark: SparkSession) -> str:
-    """Folder of this application's stage tables."""
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, else the context's checkpoint folder, else one beside the warehouse's tables."""
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = _local_root(context.applicationId)
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stage"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/ebbtide/{context.applicationId}"
+    return root.rstrip("/")
+
+
+def stage_root(spark: SparkSession) -> str:
+    """Folder of this application's stage tables."""
+    return f"{shared_folder(spark)}/ebbtide/{spark.sparkContext.applicationId}"
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a stage table and return the frame that reads it back."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
