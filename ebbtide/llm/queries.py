@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import exact_dedup, language, near_dedup, packing, quality, tokens
+from ebbtide.llm import exact_dedup, language, near_dedup, packing, quality, rules, tokens
 from ebbtide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op3_minmax_near_dedup(spark, folder):
     return near_dedup.near_classes(table(spark, folder, "documents"), words=3, similar=85)
 
 
+@query("op4_decision_list")
+def op4_decision_list(spark, folder):
+    return rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op5_ppm_language")
 def op5_ppm_language(spark, folder):
     return language.identify(table(spark, folder, "documents"))
