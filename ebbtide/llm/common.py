@@ -61,11 +61,11 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[dict]], Iterator[dict]]
         for columns in function(slices()):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in fields], schema=fields)
 
-    fields = _arrow_schema(schema)
+    fields = arrow_schema(schema)
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ebbtide.llm import exact_dedup, language, near_dedup, packing, quality, rules, tokens
+from ebbtide.llm import (
+    chat, exact_dedup, html_text, language, near_dedup, packing, pieces, quality, rules, token_output, tokens,
+)
 from ebbtide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +27,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_training_order")
+def op1_training_order(spark, folder):
+    """The binary shards themselves."""
+    return token_output.materialise(table(spark, folder, "documents"), public_tokenizers.path(tokens.VOCABULARY))
+
+
 @query("op2_pairwise_quality")
 def op2_pairwise_quality(spark, folder):
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -74,9 +83,46 @@ def op6_pattern_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(tokens.VOCABULARY))
 
 
+@query("op7_quotation_linking", r"""WITH RECURSIVE said AS (
+  SELECT conv_id, turn, min(role) AS role, min(text) AS text,
+    trim(regexp_replace(lower(min(text)), '\s+', ' ', 'g')) AS t FROM conversations GROUP BY conv_id, turn),
+first_said AS (SELECT conv_id, t, min(turn) AS origin FROM said WHERE t <> '' GROUP BY conv_id, t),
+quotes AS (
+  SELECT s.conv_id, s.turn, k.level, p.t FROM said s, (SELECT unnest([1, 2]) AS level) k
+  JOIN said p ON p.conv_id = s.conv_id AND p.turn = s.turn - k.level),
+linked AS (
+  SELECT q.conv_id, q.turn, count(*) AS n_linked, arg_min(f.origin, q.level) AS parent
+  FROM quotes q JOIN first_said f ON f.conv_id = q.conv_id AND f.t = q.t AND f.origin < q.turn GROUP BY q.conv_id, q.turn),
+climb AS (
+  SELECT s.conv_id, s.turn, s.turn AS thread, 0 AS depth, l.parent FROM said s LEFT JOIN linked l USING (conv_id, turn)
+  UNION ALL
+  SELECT c.conv_id, c.turn, c.parent, c.depth + 1, l.parent FROM climb c
+  LEFT JOIN linked l ON l.conv_id = c.conv_id AND l.turn = c.parent WHERE c.parent IS NOT NULL),
+tops AS (SELECT conv_id, turn, thread, CAST(depth AS BIGINT) AS depth FROM climb WHERE parent IS NULL)
+SELECT s.conv_id, s.turn, s.role, l.parent, t.thread, t.depth,
+  row_number() OVER (PARTITION BY s.conv_id, t.thread ORDER BY s.turn) - 1 AS position,
+  (SELECT count(*) FROM quotes q WHERE q.conv_id = s.conv_id AND q.turn = s.turn) AS n_quotes,
+  coalesce(l.n_linked, 0) AS n_linked, s.text, '<|' || s.role || '|>' || chr(10) || s.text || chr(10) AS formatted
+FROM said s JOIN tops t USING (conv_id, turn) LEFT JOIN linked l USING (conv_id, turn)""")
+def op7_quotation_linking(spark, folder):
+    """The turns carry no quotes, so each is first written as a mail that quotes the two turns before it."""
+    return chat.conversations(chat.quoting_messages(table(spark, folder, "conversations")))
+
+
 @query("op8_content_sort", r"""WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256 FROM n""")
 def op8_content_sort(spark, folder):
     return exact_dedup.content_sort(table(spark, folder, "documents"))
+
+
+@query("op9_visible_text")
+def op9_visible_text(spark, folder):
+    found = html_text.extract(table(spark, folder, "pages"))
+    return found.withColumns({"n_chars": F.length("text").cast("long"), "text_sha256": F.sha2("text", 256)})
+
+
+@query("op10_sampled_pieces")
+def op10_sampled_pieces(spark, folder):
+    return pieces.encode(table(spark, folder, "documents"), public_tokenizers.path(pieces.MODEL), with_ids=False)
