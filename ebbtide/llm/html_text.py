@@ -286,6 +286,8 @@ def _close_near(stack: _Stack, tags, barriers):
 
 
 def _end_tag(stack: _Stack, tag: str):
+    if tag == "br" or tag == "p" and not stack.paragraphs[-1]:  # stands for a whole element
+        _start_tag(stack, tag, "")
     if tag in VOID:
         return
     barriers = () if tag in ("table", "body", "html", "td", "th", "tr", "thead", "tbody", "tfoot") else SCOPES - {tag}
