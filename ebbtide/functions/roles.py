@@ -31,18 +31,10 @@ def categorical_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in exclude]
 
 
-def boolean_columns(df: DataFrame, exclude=()) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType) and f.name not in exclude]
-
-
 def cohort_candidates(df: DataFrame) -> list[str]:
     return [c for c in df.columns if matches(c, COHORT_TERMS)]
 
 
-def time_candidates(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if matches(c, TIME_TERMS)]
-
-
 def date_candidates(df: DataFrame) -> list[str]:
     dates = (T.DateType, T.TimestampType, T.TimestampNTZType)
     return [f.name for f in df.schema.fields if isinstance(f.dataType, dates) or matches(f.name, DATE_TERMS)]

@@ -20,10 +20,21 @@ TOL = 1e-4
 
 
 def kmeans_segments(df: DataFrame, key: str, features: list[str], k: int = SEGMENTS, seed: int = SEED) -> DataFrame:
-    """Input rows plus ``segment`` ("Segment 1".."Segment k"), numbered by size, then by centroid."""
+    """Input rows plus ``segment`` ("Segment 1".."Segment k"), numbered by size, then by centroid.
+
+    The seed draws the first centres from the rows as they lie in partitions, so another partitioning of the same rows
+    may end in another local optimum; the same table gives the same segments.
+    """
     return fit_segments(df, key, features, k, seed)[0]
 
 
+def segment_order(model: KMeansModel) -> list[int]:
+    """Clusters by size, then centroid: the first is Segment 1."""
+    sizes = model.summary.clusterSizes
+    centers = [tuple(np.round(c, 9)) for c in model.clusterCenters()]
+    return sorted(range(len(centers)), key=lambda i: (-sizes[i], centers[i]))
+
+
 def fit_segments(df: DataFrame, key: str, features: list[str], k: int = SEGMENTS,
                  seed: int = SEED) -> tuple[DataFrame, KMeansModel]:
     if len(features) < MIN_FEATURES:
@@ -33,10 +44,8 @@ def fit_segments(df: DataFrame, key: str, features: list[str], k: int = SEGMENTS
     pipeline = fit_segment_features(df, features).pipeline(df)
     encoded = stage(pipeline.transform(df.select(key, *[f for f in features if f != key])).select(key, "features"), "segments")
     model = KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=TOL, predictionCol="cluster").fit(encoded)
-    sizes = model.summary.clusterSizes
-    centers = [tuple(np.round(c, 9)) for c in model.clusterCenters()]
-    order = sorted(range(len(centers)), key=lambda i: (-sizes[i], centers[i]))
-    number = F.array(*[F.lit(order.index(i) + 1) for i in range(len(centers))])
+    order = segment_order(model)
+    number = F.array(*[F.lit(order.index(i) + 1) for i in range(len(order))])
     named = F.concat(F.lit("Segment "), F.get(number, F.col("cluster")).cast("string"))
     assigned = model.transform(pipeline.transform(df))
     return assigned.select(*df.columns, named.alias("segment")), model

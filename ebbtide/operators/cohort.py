@@ -27,6 +27,16 @@ def month_cohort(df: DataFrame, date_column: str, out: str = "cohort") -> DataFr
     return df.withColumn(out, F.date_format(day.cast("date"), "yyyy-MM"))
 
 
+def date_check(df: DataFrame, date_column: str) -> DataFrame:
+    """One row: rows, missing dates, and texts that are no date."""
+    found = month_cohort(df, date_column, "_month")
+    return found.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col(date_column).isNull()).alias("missing"),
+        F.count_if(F.col(date_column).isNotNull() & F.col("_month").isNull()).alias("unreadable"),
+    )
+
+
 def choose_cohort(df: DataFrame, existing: str | None = None, date: str | None = None, custom: str | None = None,
                   out: str = "cohort") -> DataFrame:
     """Cohort from an existing column, else the month of a date column, else any column."""

@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ebbtide.functions.shaping import fan_out, number_cells, unfold
-from ebbtide.operators.quantiles import key_sizes, order_statistics
+from ebbtide.functions.ranking import running_total
+from ebbtide.functions.shaping import fan_out, number_cells, present, unfold
+from ebbtide.operators.quantiles import at_rank, value_runs
+from ebbtide.session import stage
 
 # Decision threshold, class names and the share of customers to reach first.
 THRESHOLD = 0.5
 CHURNED, NOT_CHURNED = "Churned", "Not Churned"
 RISK_SHARE = 0.1
 
-SCORE_BUCKETS = 1000
 METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
 REPORT_METRICS = ["precision", "recall", "f1_score", "support"]
 
 
 def threshold_prediction(scores: DataFrame, score: str = "score", threshold: float = THRESHOLD) -> DataFrame:
-    named = F.when(F.col(score) >= threshold, CHURNED).when(F.col(score).isNotNull(), NOT_CHURNED)
+    p = present(scores, score)
+    named = F.when(p >= threshold, CHURNED).when(p.isNotNull(), NOT_CHURNED)
     return scores.withColumn("prediction", named)
 
 
@@ -36,11 +34,16 @@ def _f1(precision: Column, recall: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * precision * recall, precision + recall), F.lit(0.0))
 
 
+def _scored(scores: DataFrame, label: str, score: str) -> DataFrame:
+    """Rows with a label and a score; NaN is no score."""
+    return scores.where(F.col(label).isNotNull() & present(scores, score).isNotNull())
+
+
 def outcome_counts(scores: DataFrame, label: str, score: str, by: str | None = None,
                    threshold: float = THRESHOLD) -> DataFrame:
     """tn, fp, fn and tp in one pass, one row per model."""
     positive, flagged = F.col(label) == 1, F.col(score) >= threshold
-    kept = scores.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    kept = _scored(scores, label, score)
     return kept.groupBy(*([by] if by else [])).agg(
         F.count_if(~positive & ~flagged).alias("tn"),
         F.count_if(~positive & flagged).alias("fp"),
@@ -62,34 +65,19 @@ def confusion_matrix(scores: DataFrame, label: str, score: str, by: str | None =
 def roc_auc(scores: DataFrame, label: str, score: str, by: str | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties counted one half; NULL when a class is missing.
 
-    Scores are cut at approximate quantiles. Within a cut the running count of negatives covers about a
-    thousandth of the distinct scores; across cuts it covers one row per cut. No task sees all scores.
+    Equal scores are counted first; the running count of negatives is found over ranges of scores, so no task sees all
+    of them and nothing is read twice.
     """
     group = [by] if by else []
-    kept = scores.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    kept = _scored(scores, label, score)
     kept = kept.select(*group, F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_s"))
-    steps = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
-    cuts = sorted(set(kept.approxQuantile("_s", steps, 0.25 / SCORE_BUCKETS)))
-    distinct = kept.groupBy(*group, "_s").agg(
+    distinct = stage(kept.groupBy(*group, "_s").agg(
         F.count_if(F.col("_y") == 1).cast("double").alias("pos"),
         F.count_if(F.col("_y") == 0).cast("double").alias("neg"),
-    )
-    splits = [-math.inf, *cuts, math.inf] if cuts else [-math.inf, 0.0, math.inf]
-    bucketed = Bucketizer(splits=splits, inputCol="_s", outputCol="_b").transform(distinct)
-    inner = W.partitionBy(*group, "_b").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(inner), F.lit(0.0))
-    buckets = (
-        bucketed.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
-        .groupBy(*group, "_b")
-        .agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    )
-    outer = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # SCORE_BUCKETS rows a model
-    beaten = F.coalesce(F.sum("neg").over(outer), F.lit(0.0))
-    return (
-        buckets.withColumn("won", F.col("won") + F.col("pos") * beaten)
-        .groupBy(*group)
-        .agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
-    )
+    ), "scores")
+    ranked = running_total(distinct, group, ["_s"], F.col("neg"), "below")
+    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    return ranked.groupBy(*group).agg(F.try_divide(won, F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def classification_metrics(scores: DataFrame, label: str, score: str, by: str | None = None,
@@ -175,9 +163,6 @@ def metrics_long(metrics: DataFrame, model: str = "model") -> DataFrame:
 def high_risk_customers(scores: DataFrame, score: str, share: float = RISK_SHARE) -> DataFrame:
     """Rows at or above the score that cuts off the given share; the cut is exact and nothing is sorted."""
     long = unfold(scores, number_cells(scores, [score]))
-    sizes = key_sizes(long, key="slot")
-    if not sizes:
-        return scores.limit(0)
-    rank = max(0, math.ceil(round((1.0 - share) * sizes[0], 6)) - 1)
-    cut = order_statistics(long, {0: [rank]}, sizes, key="slot").select("value").scalar()
-    return scores.where(F.col(score) >= cut)
+    rank = F.greatest(F.lit(0), F.ceil(F.round((1.0 - share) * F.col("total"), 6)) - 1)
+    cut = at_rank(value_runs(long, key="slot"), rank).select("value").scalar()
+    return scores.where(present(scores, score) >= cut)

@@ -18,16 +18,15 @@ from pyspark.sql import types as T
 
 from ebbtide.functions import roles
 from ebbtide.functions.hashing import unit_hash, wide_hash
+from ebbtide.functions.ranking import running_total
 from ebbtide.functions.shaping import long_numbers, long_texts, number_cells, present
 from ebbtide.operators.profile import cell_counts, top_values
-from ebbtide.operators.quantiles import column_quantiles, order_statistics
+from ebbtide.operators.quantiles import column_quantiles
 from ebbtide.session import stage
 
 # Share of rows held out.
 TEST_SIZE = 0.25
 
-MAX_CATEGORIES = 1000
-
 
 def feature_projection(df: DataFrame, key: str, features: list[str], label: str) -> DataFrame:
     return df.select(key, *features, label)
@@ -68,10 +67,10 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, Moments]:
     }
 
 
-def medians(df: DataFrame, columns: list[str], sizes: dict[str, int] | None = None) -> dict[str, float]:
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     if not columns:
         return {}
-    return {r["column"]: r["value"] for r in column_quantiles(df, columns, [0.5], sizes).collect()}
+    return {r["column"]: r["value"] for r in column_quantiles(df, columns, [0.5]).collect()}
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
@@ -81,22 +80,14 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return {r["column"]: r["value"] for r in top_values(df, columns, 1).collect()}
 
 
-def category_counts(df: DataFrame, columns: list[str], limit: int) -> tuple[dict[str, dict[str, int]], list[str]]:
-    """Rows per category of each column, and the columns left out for having more than ``limit`` categories.
-
-    A sketch first sets aside columns with far more categories (twice the limit is ten times its error), so that
-    values of id-like columns are never shuffled and what is collected stays small; the limit itself is exact.
-    """
-    kept = list(columns)
-    if kept:
-        sizes = df.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-        kept = [c for i, c in enumerate(columns) if sizes[f"n{i}"] <= 2 * limit]
-    found: dict[str, dict[str, int]] = {c: {} for c in kept}
-    if kept:
-        for r in cell_counts(df, kept).where(F.col("value").isNotNull()).collect():
+def category_counts(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
+    """Rows per category of each column. As many numbers reach the driver as the encoded rows have features, which
+    is what a model fitted to them holds per feature anyway."""
+    found: dict[str, dict[str, int]] = {c: {} for c in columns}
+    if columns:
+        for r in cell_counts(df, columns).where(F.col("value").isNotNull()).toLocalIterator():
             found[r["column"]][r["value"]] = r["n"]
-    found = {c: n for c, n in found.items() if len(n) <= limit}
-    return found, [c for c in columns if c not in found]
+    return found
 
 
 # --- table operators --------------------------------------------------------------------------------
@@ -175,53 +166,34 @@ def hash_split(df: DataFrame, key: str, test_size: float = TEST_SIZE, salt: str
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = TEST_SIZE, salt: str = "-42") -> DataFrame:
-    """Add ``split`` with exact class quotas: ceil(test_size * rows) test rows, shared out in proportion.
+    """Add ``split`` with exact class quotas: ceil(test_size * rows) test rows, shared out by largest remainders.
 
-    Within a class the rows with the smallest key hashes are the test rows. The cut hash is an exact order
-    statistic, so no class is ever sorted in one task; rows on the cut itself are told apart by key.
+    Within a class the rows with the smallest key hashes, then keys, are the test rows. Ranks come from ranges of
+    (class, hash, key), so no class is ever in one task and ties need nothing special. Rows without a label have no
+    split.
     """
     hashed = df.withColumn("_h", wide_hash(F.col(key), salt)).withColumn("_class", F.col(label).cast("string"))
-    narrow = stage(hashed.select(key, "_class", "_h"), "hashes")  # hashed once, read by the passes below
-    sizes = {
-        r["_class"]: r["count"] for r in narrow.groupBy("_class").count().collect() if r["_class"] is not None
-    }
-    quota = _quotas(sizes, test_size)
-    long = narrow.select(F.col("_class").alias("column"), F.col("_h").alias("value"))
-    ranks = {c: [q - 1] for c, q in quota.items() if q > 0}
-    cuts = {r["column"]: r["value"] for r in order_statistics(long, ranks, sizes).collect()}
-    test = F.lit(False)
-    if cuts:
-        aggregates = []
-        for i, (c, cut) in enumerate(cuts.items()):
-            on_cut = (F.col("_class") == c) & (F.col("_h") == cut)
-            aggregates += [
-                F.count_if((F.col("_class") == c) & (F.col("_h") < cut)).alias(f"below{i}"),
-                F.count_if(on_cut).alias(f"ties{i}"),
-                F.max(F.when(on_cut, F.col(key))).alias(f"last{i}"),
-            ]
-        row = narrow.agg(*aggregates).first()
-        for i, (c, cut) in enumerate(cuts.items()):
-            mine, last = F.col("_class") == c, row[f"last{i}"]
-            room = quota[c] - row[f"below{i}"]
-            if room < row[f"ties{i}"]:
-                tied = narrow.where(mine & (F.col("_h") == cut)).select(key)
-                last = tied.orderBy(key).limit(room).agg(F.max(key)).first()[0]
-            test = test | (mine & ((F.col("_h") < cut) | ((F.col("_h") == cut) & (F.col(key) <= last))))
-    return hashed.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h", "_class")
-
-
-def _quotas(sizes: dict[str, int], test_size: float) -> dict[str, int]:
-    """Largest remainders: every class gets the floor of its share, the biggest fractions get the rest."""
-    total = sum(sizes.values())
-    if not total:
-        return {}
-    wanted = math.ceil(test_size * total)
-    shares = {c: wanted * n / total for c, n in sizes.items()}
-    quota = {c: math.floor(s) for c, s in shares.items()}
-    by_fraction = sorted(shares, key=lambda c: (quota[c] - shares[c], c))
-    for c in by_fraction[: wanted - sum(quota.values())]:
-        quota[c] += 1
-    return quota
+    narrow = hashed.where(F.col("_class").isNotNull()).select("_class", "_h", F.col(key).alias("_key"))
+    ranked = stage(running_total(narrow, ["_class"], ["_h", "_key"], F.lit(1).cast("long"), "_rank"), "ranked")
+    last = ranked.join(_quotas(ranked, test_size), "_class").where(F.col("_rank") == F.col("quota") - 1)
+    last = last.select("_class", F.col("_h").alias("_cut"), F.col("_key").alias("_last"))
+    placed = hashed.join(last, "_class", "left")
+    first = (F.col("_h") < F.col("_cut")) | ((F.col("_h") == F.col("_cut")) & (F.col(key) <= F.col("_last")))
+    split = F.when(F.col("_class").isNotNull(), F.when(first, "test").otherwise("train"))
+    return placed.withColumn("split", split).select(*df.columns, "split")
+
+
+def _quotas(ranked: DataFrame, test_size: float) -> DataFrame:
+    """(_class, quota): the floor of every class's share; the biggest fractions get the rest, ties to the smaller class."""
+    sizes = stage(ranked.groupBy("_class").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    total = sizes.agg(F.sum("size")).scalar()
+    wanted = F.ceil(test_size * total)
+    exact = wanted * F.col("size") / total
+    shares = stage(sizes.select("_class", F.floor(exact).alias("low"), (F.floor(exact) - exact).alias("_rest"), wanted.alias("wanted")), "shares")
+    given = shares.agg(F.sum("low")).scalar()
+    placed = running_total(shares, [], ["_rest", "_class"], F.lit(1).cast("long"), "_place")
+    extra = (F.col("_place") < F.col("wanted") - given).cast("long")
+    return placed.select("_class", (F.col("low") + extra).alias("quota"))
 
 
 def split_integrity(whole: DataFrame, train: DataFrame, test: DataFrame, key: str) -> DataFrame:
@@ -259,7 +231,6 @@ class FeatureSpec:
     categories: dict[str, list[str]]
     category_fill: dict[str, str]
     category_weight: dict[str, list[float]] = field(default_factory=dict)
-    skipped: list[str] = field(default_factory=list)
 
     def pipeline(self, df: DataFrame) -> PipelineModel:
         exprs = []
@@ -278,15 +249,17 @@ class FeatureSpec:
         scratch = list(parts)
         if texts:
             indexed, coded = [f"idx__{c}" for c in texts], [f"hot__{c}" for c in texts]
-            indexer = StringIndexerModel.from_arrays_of_labels(
-                [self.categories[c] for c in texts], [f"cat__{c}" for c in texts], indexed, handleInvalid="keep"
-            )
+            # one indexer per column: label arrays of unequal length in one would be padded with NULL labels
+            indexers = [
+                StringIndexerModel.from_labels(self.categories[c], f"cat__{c}", i, handleInvalid="keep")
+                for c, i in zip(texts, indexed)
+            ]
             # an unseen or missing value takes the slot after the last label, which is the one dropped
             encoder = OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True)
             empty = df.limit(0)
-            for stage in (*stages, indexer):
+            for stage in (*stages, *indexers):
                 empty = stage.transform(empty)
-            stages += [indexer, encoder.fit(empty)]
+            stages += [*indexers, encoder.fit(empty)]
             parts += coded
             scratch += [f"cat__{c}" for c in texts] + indexed + coded
         weighted = bool(self.category_weight)
@@ -318,31 +291,30 @@ def _feature_columns(df: DataFrame, exclude) -> tuple[list[str], list[str]]:
     return numeric, roles.categorical_columns(df, exclude)
 
 
-def fit_features(train: DataFrame, exclude=(), max_categories: int = MAX_CATEGORIES) -> FeatureSpec:
+def fit_features(train: DataFrame, exclude=()) -> FeatureSpec:
     """Median fill and scaling for numbers, mode fill and one-hot for texts, learned from the training rows."""
     numeric, texts = _feature_columns(train, exclude)
-    counts, skipped = category_counts(train, texts, max_categories)
+    counts = category_counts(train, texts)
     stats = moments(train, numeric)
     numeric = [c for c in numeric if stats[c].present]  # a column without any value has nothing to learn
-    fill = medians(train, numeric, {c: stats[c].present for c in numeric})
+    fill = medians(train, numeric)
     return FeatureSpec(
         numeric=numeric,
         fill=fill,
         scale={c: stats[c].filled(fill[c]) for c in numeric},
         categories={c: sorted(n) for c, n in counts.items() if n},
         category_fill={c: min(n, key=lambda v: (-n[v], v)) for c, n in counts.items() if n},
-        skipped=skipped,
     )
 
 
-def fit_segment_features(df: DataFrame, features: list[str], max_categories: int = MAX_CATEGORIES) -> FeatureSpec:
+def fit_segment_features(df: DataFrame, features: list[str]) -> FeatureSpec:
     """Mean fill and scaling for numbers; dummies, scaled as well, for texts.
 
     Dummies are not centred: distances between rows stay the same and the vectors stay sparse.
     """
     chosen = df.select(*features)
     numeric, texts = _feature_columns(chosen, ())
-    counts, skipped = category_counts(chosen, texts, max_categories)
+    counts = category_counts(chosen, texts)
     stats = moments(chosen, numeric)
     numeric = [c for c in numeric if stats[c].present]
     rows = chosen.count() if counts else 0
@@ -354,7 +326,7 @@ def fit_segment_features(df: DataFrame, features: list[str], max_categories: int
     return FeatureSpec(
         numeric=numeric, fill={c: stats[c].mean for c in numeric},
         scale={c: stats[c].filled(stats[c].mean) for c in numeric}, categories=categories, category_fill={},
-        category_weight=weights, skipped=skipped,
+        category_weight=weights,
     )
 
 

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import functools
-import math
-from itertools import combinations_with_replacement
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +13,7 @@ from pyspark.sql import Window as W
 
 from ebbtide.functions import roles
 from ebbtide.functions.shaping import fan_out, named, number_cells, present, text_cells, unfold
-from ebbtide.operators.quantiles import column_quantiles, exact_quantiles
-from ebbtide.session import stage
+from ebbtide.operators.quantiles import column_quantiles, quantiles_of, value_runs
 
 # Sizes of the report.
 MIN_ROWS = 10
@@ -26,10 +23,7 @@ QUARTILES = [0.25, 0.5, 0.75]
 WHISKER = 1.5
 HISTOGRAM_BINS = 30  # ours: the charts this stands for leave the bin count to the drawing library
 
-PAIRS_PER_AGGREGATE = 16  # six buffers each; a stage of over a hundred fields leaves generated code
-GAPPED_PER_AGGREGATE = 9  # ten buffers each
-WIDE_COLUMNS = 40
-BROADCAST_ROWS = 2_000_000  # hashes of 8 bytes each
+FLAT = 1e-11  # share of the squares that rounding may leave as spread where a pair's rows are all equal
 
 
 def validate_table(df: DataFrame, label: str | None = None, time_column: str | None = None) -> DataFrame:
@@ -108,7 +102,9 @@ def _counted_cells(df: DataFrame) -> DataFrame:
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
             F.count("value").alias("distinct_values"),
         )
-        parts.append(named(counted, columns))
+        slots = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("slot"))
+        whole = slots.join(counted, "slot", "left").na.fill(0, ["n_rows", "missing", "distinct_values"])
+        parts.append(named(whole, columns))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -136,7 +132,7 @@ def column_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
     return cells.select(
         "column",
         "missing",
-        (100.0 * F.col("missing") / F.col("n_rows")).alias("missing_pct"),
+        F.try_divide(100.0 * F.col("missing"), F.col("n_rows")).alias("missing_pct"),
         "distinct_values",
     )
 
@@ -147,28 +143,14 @@ def missing_columns(df: DataFrame) -> DataFrame:
     return found.select("column", "missing", "missing_pct").orderBy(F.desc("missing"), "column")
 
 
-def duplicate_rows(df: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row: rows, rows that repeat an earlier one in every column (NULL equals NULL), and their share.
-
-    Only a 64-bit hash per row is shuffled at first. Rows whose hash occurs once have no copy; the others are
-    compared in full. Their hashes are broadcast while there are few; beyond that all rows are grouped in full.
-    """
-    hashed = df.withColumn("_h", F.xxhash64(*df.columns))
-    repeated = stage(
-        hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).groupBy(
-            F.when(F.col("n") > 1, F.col("_h")).alias("_h")
-        ).agg(F.sum("n").alias("n")),
-        "hashes",
-    )
-    n_hashes = repeated.where(F.col("_h").isNotNull()).count()
-    if n_hashes <= broadcast_rows:
-        hashed = hashed.join(F.broadcast(repeated.where(F.col("_h").isNotNull()).select("_h")), "_h", "left_semi")
-    groups = hashed.groupBy("_h", *df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    copies = groups.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates"))
-    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    return copies.select(total.alias("n_rows"), "duplicates").withColumn(
-        "duplicate_pct", F.try_divide(100.0 * F.col("duplicates"), F.col("n_rows"))
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """One row: rows, rows that repeat an earlier one in every column (NULL equals NULL), and their share."""
+    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    copies = groups.agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates"),
     )
+    return copies.withColumn("duplicate_pct", F.try_divide(100.0 * F.col("duplicates"), F.col("n_rows")))
 
 
 def numeric_describe(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
@@ -193,8 +175,7 @@ def numeric_describe(df: DataFrame, columns: list[str] | None = None, exact: boo
         names[5:5] = ["q25 double", "q50 double", "q75 double"]
     described = df.sparkSession.createDataFrame(rows, ", ".join(f"`{n.split()[0]}` {n.split()[1]}" for n in names))
     if exact:
-        sizes = {c: found[f"n{i}"] for i, c in enumerate(columns)}
-        quartiles = quartile_columns(column_quantiles(df, columns, QUARTILES, sizes), "column")
+        quartiles = quartile_columns(column_quantiles(df, columns, QUARTILES), "column")
         described = described.join(F.broadcast(quartiles), "column", "left")  # a row per column on both sides
     return described.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
@@ -257,82 +238,79 @@ def histogram(df: DataFrame, column: str, by: str | None = None, bins: int = HIS
 def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     """Per group: quartiles (linear), whiskers at the last values within 1.5 interquartile ranges, outliers.
 
-    Groups are classes or segments; :func:`exact_quantiles` refuses an unbounded number of them.
+    Whiskers and outliers come from the counted values that the quartiles are found in, not from the rows again.
     """
     long = df.select(F.col(by).cast("string").alias("group"), present(df, column).cast("double").alias("value"))
     long = long.where(F.col("group").isNotNull() & F.col("value").isNotNull())
-    quartiles = quartile_columns(exact_quantiles(long, QUARTILES, key="group"), "group")
+    runs = value_runs(long, key="group")
+    quartiles = quartile_columns(quantiles_of(runs, QUARTILES, key="group"), "group")
     reach = WHISKER * (F.col("q75") - F.col("q25"))
     fenced = quartiles.withColumn("low_fence", F.col("q25") - reach).withColumn("high_fence", F.col("q75") + reach)
     x = F.col("value")
     within = (x >= F.col("low_fence")) & (x <= F.col("high_fence"))
     return (
-        long.join(F.broadcast(fenced), "group")  # as many rows as groups, checked above
+        runs.join(fenced, "group")
         .groupBy("group", "q25", "q50", "q75")
         .agg(
-            F.count(F.lit(1)).alias("n"),
+            F.sum("n").alias("n"),
             F.min(F.when(within, x)).alias("low_whisker"),
             F.max(F.when(within, x)).alias("high_whisker"),
-            F.count_if(~within).alias("outliers"),
+            F.coalesce(F.sum(F.when(~within, F.col("n"))), F.lit(0)).alias("outliers"),
         )
     )
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None, wide: int = WIDE_COLUMNS) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_x, column_y, correlation): Pearson over the rows where both are present, for every ordered pair.
 
-    NULL where a column does not vary. One pass finds missing values and constant columns; pairs then go out in
-    batches small enough for generated code, each reading only its own columns. From ``wide`` columns on, those
-    without missing values share one matrix product per task instead.
+    NULL where a column does not vary over the rows of a pair. One pass finds means and constant columns; a second one
+    adds up, in every task, the products of all pairs of centred columns as matrices over Arrow batches. What a task
+    sends is one row per pair, whatever the number of rows.
     """
     columns = columns or roles.numeric_columns(df)
-    numbers = df.select(*[x.alias(c) for c, x in zip(columns, number_cells(df, columns))])
+    numbers = df.select(*[x.alias(f"c{i}") for i, x in enumerate(number_cells(df, columns))])
     found = numbers.agg(*[
-        f(c).alias(f"{n}{i}") for i, c in enumerate(columns)
-        for n, f in (("lo", F.min), ("hi", F.max), ("missing", lambda x: F.count_if(F.col(x).isNull())))
+        f(f"c{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("lo", F.min), ("hi", F.max), ("mean", F.avg))
     ]).first()
-    varying = [c for i, c in enumerate(columns) if found[f"lo{i}"] != found[f"hi{i}"]]
-    whole = {c for i, c in enumerate(columns) if c in varying and not found[f"missing{i}"]}
-
-    def shared_rows(a, b):
-        # corr divides by zero when the rows shared by a pair do not vary
-        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
-
-    pairs = list(combinations_with_replacement(columns, 2))
-    fixed = [p for p in pairs if not set(varying).issuperset(p)]
-    parts = [_pair_rows(df.sparkSession.range(1), fixed, [F.lit(None).cast("double")] * len(fixed))] if fixed else []
-    plain = [p for p in pairs if whole.issuperset(p)]
-    if len(columns) >= wide and len(whole) > 1:
-        parts.append(_correlation_of_vectors(numbers, [c for c in varying if c in whole]))
-        plain = []
-    gapped = [p for p in pairs if set(varying).issuperset(p) and not whole.issuperset(p)]
-    for chosen, size, measure in ((plain, PAIRS_PER_AGGREGATE, F.corr), (gapped, GAPPED_PER_AGGREGATE, shared_rows)):
-        for start in range(0, len(chosen), size):
-            batch = chosen[start:start + size]
-            row = numbers.agg(*[measure(a, b).alias(f"c{i}") for i, (a, b) in enumerate(batch)])
-            parts.append(_pair_rows(row, batch, [F.col(f"c{i}") for i in range(len(batch))]))
-    return functools.reduce(DataFrame.unionByName, parts)
-
-
-def _pair_rows(row: DataFrame, pairs: list[tuple[str, str]], values: list) -> DataFrame:
-    """Both orders of every pair with its value, from a single row."""
-    return fan_out(row, [], [
-        F.struct(F.lit(x).alias("column_x"), F.lit(y).alias("column_y"), value.alias("correlation"))
-        for (a, b), value in zip(pairs, values) for x, y in sorted({(a, b), (b, a)})
+    varying = np.array([found[f"lo{i}"] != found[f"hi{i}"] for i in range(len(columns))])
+    means = np.array([0.0 if found[f"mean{i}"] is None else found[f"mean{i}"] for i in range(len(columns))])
+    i, j, sums = "i int, j int", range(len(columns)), ["n", "x", "y", "xx", "yy", "xy"]
+
+    def products(batches):
+        total = np.zeros((6, len(j), len(j)))
+        for batch in batches:
+            cells = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = ~np.isnan(cells)
+            x, here = np.where(there, cells - means, 0.0), there.astype(float)
+            s, q = x.T @ here, (x * x).T @ here
+            total += np.stack([here.T @ here, s, s.T, q, q.T, x.T @ x])
+        a, b = np.indices(total.shape[1:]).reshape(2, -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *map(pa.array, total.reshape(6, -1))], names=["i", "j", *sums])
+
+    parts = numbers.mapInArrow(products, f"{i}, {', '.join(f'{s} double' for s in sums)}")
+    whole = parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
+    spread_x = F.col("n") * F.col("xx") - F.col("x") * F.col("x")
+    spread_y = F.col("n") * F.col("yy") - F.col("y") * F.col("y")
+    moves = F.array(*[F.lit(bool(v)) for v in varying])
+    varies = F.get(moves, F.col("i")) & F.get(moves, F.col("j"))
+    varies = varies & (spread_x > FLAT * F.col("n") * F.col("xx")) & (spread_y > FLAT * F.col("n") * F.col("yy"))
+    product = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(spread_x * spread_y)
+    pairs = whole.select("i", "j", F.when(varies, product).alias("correlation"))
+    return named(named(pairs, columns, "i", "column_x"), columns, "j", "column_y")
+
+
+def correlation_with(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """(column, correlation) of each column with one other, in a single aggregate; as in :func:`correlation_matrix`."""
+    y = present(df, target).cast("double")
+    measures = []
+    for i, x in enumerate(number_cells(df, columns)):
+        a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        measures.append(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r{i}"))
+    return fan_out(df.agg(*measures), [], [
+        F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("correlation")) for i, c in enumerate(columns)
     ])
 
 
-def _correlation_of_vectors(df: DataFrame, columns: list[str]) -> DataFrame:
-    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(df).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()  # columns squared
-    rows = [
-        (x, y, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
-        for i, x in enumerate(columns) for j, y in enumerate(columns)
-    ]
-    return df.sparkSession.createDataFrame(rows, "column_x string, column_y string, correlation double")
-
-
 def preview(df: DataFrame, key: str, n: int = PREVIEW_ROWS) -> DataFrame:
     """First rows by key: a distributed table has no row order of its own."""
     return df.orderBy(key).limit(n)

@@ -1,219 +1,61 @@
-"""Exact order statistics and interpolated quantiles for tables of any size.
+"""Exact order statistics and interpolated quantiles for tables of any size and any number of keys.
 
-Spark's ``percentile`` merges one value-to-count map per group in a single task, which does not hold
-for columns with many distinct values. Here a bracket around each wanted rank is narrowed with
-``percentile_approx`` until few values lie strictly inside; only those are kept apart, everything
-between brackets collapses to one (count, min, max) row per task, and a running count over the rest
-finds the exact value.
+Equal values are counted first, so a value that a third of all rows share is one row. The counted values are dealt by
+range of (key, value) and their running totals found partition by partition (:mod:`ebbtide.functions.ranking`): no task
+needs a whole column, the source is read once, and nothing depends on how many rows or keys there are.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
+from ebbtide.functions.ranking import running_total
 from ebbtide.functions.shaping import named, number_cells, unfold
+from ebbtide.session import stage
 
-WINDOW_ROWS = 1_000_000
-ACCURACY = 10_000
-MAX_KEYS = 10_000
-
-
-@dataclass(frozen=True)
-class _Bracket:
-    """Values strictly between ``lo`` and ``hi`` (None is unbounded); ``below`` rows lie under them."""
-
-    lo: float | None
-    hi: float | None
-    below: int
-    inside: int
-
-    def span(self) -> tuple[float, float]:
-        return (-math.inf if self.lo is None else self.lo, math.inf if self.hi is None else self.hi)
-
-
-def key_sizes(long: DataFrame, key: str = "column", value: str = "value") -> dict:
-    """Non-missing values per key. Keys are columns or report groups, so few; more than that is refused."""
-    rows = long.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).limit(MAX_KEYS + 1)
-    sizes = {r[key]: r["n"] for r in rows.collect() if r[key] is not None}
-    if len(sizes) > MAX_KEYS:
-        raise ValueError(f"quantiles by '{key}' are meant for at most {MAX_KEYS} groups")
-    return sizes
-
-
-def order_statistics(
-    long: DataFrame, ranks: dict, sizes: dict, key: str = "column", value: str = "value",
-    window_rows: int = WINDOW_ROWS, accuracy: int = ACCURACY,
-) -> DataFrame:
-    """(key, rank, value) for 0-based ``ranks`` per key of a (key, value) table."""
-    wanted = sorted((k, int(r)) for k, rs in ranks.items() for r in set(rs))
-    targets = _local(long, key, [T.StructField("rank", T.LongType())], wanted)
-    values = long.select(key, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    outline = _narrow(values, key, wanted, sizes, window_rows, accuracy)
-    if outline:
-        cuts = _local(long, key, [T.StructField("_cuts", _SPANS)], sorted(outline.items()))
-        under = F.size(F.filter("_cuts", lambda c: F.col("_v") >= c["lo"]))
-        over = F.size(F.filter("_cuts", lambda c: F.col("_v") > c["hi"]))
-        # cuts is a local table of at most MAX_KEYS rows; a key without cuts is all one odd, kept-apart zone
-        zoned = values.join(F.broadcast(cuts), key, "left").select(
-            key, "_v", F.when(F.col("_cuts").isNull(), 1).otherwise(under + over).alias("_zone")
-        )
-        inside = F.col("_zone") % 2 == 1
-        runs = zoned.groupBy(key, "_zone", F.when(inside, F.col("_v")).alias("_at")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("_v").alias("first"), F.max("_v").alias("last")
-        )
-        order = W.partitionBy(key).orderBy("_zone", "_at")
-    else:
-        runs = values.groupBy(key, "_v").agg(F.count(F.lit(1)).alias("n"))
-        runs = runs.select(key, "n", F.col("_v").alias("first"), F.col("_v").alias("last"))
-        order = W.partitionBy(key).orderBy("first")
-    runs = runs.withColumn("end", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    start = F.col("end") - F.col("n")
-    found = (
-        F.when(F.col("first") == F.col("last"), F.col("first"))
-        .when(F.col("rank") == start, F.col("first"))
-        .when(F.col("rank") == F.col("end") - 1, F.col("last"))
-        .otherwise(F.raise_error(F.lit("rank fell outside its bracket")).cast("double"))
-    )
-    return (
-        runs.join(F.broadcast(targets), key)
-        .where((F.col("rank") >= start) & (F.col("rank") < F.col("end")))
-        .select(key, "rank", found.alias("value"))
-    )
 
+def value_runs(long: DataFrame, key: str = "column", value: str = "value") -> DataFrame:
+    """(key, value, n, before, total): each distinct value with its rows, the rows below it and those of its key.
 
-def exact_quantiles(
-    long: DataFrame, probabilities: list[float], key: str = "column", value: str = "value",
-    window_rows: int = WINDOW_ROWS, accuracy: int = ACCURACY, sizes: dict | None = None,
-) -> DataFrame:
-    """(key, q, value): linearly interpolated quantiles of each key's values. ``sizes`` saves counting them."""
-    sizes = key_sizes(long, key, value) if sizes is None else sizes
-    plan, ranks = [], {k: [] for k in sizes}
-    for k, n in sizes.items():
-        for q in probabilities:
-            at = q * (n - 1)
-            low = math.floor(at)
-            high = min(low + 1, n - 1)
-            plan.append((k, float(q), low, high, at - low))
-            ranks[k] += [low, high]
-    stats = order_statistics(long, ranks, sizes, key, value, window_rows, accuracy)
-    wanted = _local(long, key, [
-        T.StructField("q", T.DoubleType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType()),
-        T.StructField("share", T.DoubleType()),
-    ], plan)
-    at_rank = F.when(F.col("rank") == F.col("low"), F.col("value"))
-    at_next = F.when(F.col("rank") == F.col("high"), F.col("value"))
-    return (
-        stats.join(F.broadcast(wanted), key)
-        .where((F.col("rank") == F.col("low")) | (F.col("rank") == F.col("high")))
-        .groupBy(key, "q", "share")
-        .agg(F.max(at_rank).alias("a"), F.max(at_next).alias("b"))
-        .select(key, "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("value"))
-    )
+    Missing values are left out; a NULL key is a key.
+    """
+    present = long.select(key, F.col(value).alias("value")).where(F.col("value").isNotNull())
+    counted = stage(present.groupBy(key, "value").agg(F.count(F.lit(1)).alias("n")), "counted")
+    runs = stage(running_total(counted, [key], ["value"], F.col("n")), "runs")
+    totals = counted.groupBy(F.col(key).alias("_key")).agg(F.sum("n").alias("total"))
+    return runs.join(totals, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
-def column_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
-                     sizes: dict[str, int] | None = None) -> DataFrame:
-    """(column, q, value) for numeric columns."""
-    if sizes is not None:
-        sizes = {columns.index(c): n for c, n in sizes.items() if n}
-    long = unfold(df, number_cells(df, columns))
-    return named(exact_quantiles(long, probabilities, key="slot", sizes=sizes), columns)
+def at_rank(runs: DataFrame, rank: Column) -> DataFrame:
+    """The runs that hold a 0-based rank, which may depend on ``total``."""
+    return runs.where((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")))
 
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
+def quantiles_of(runs: DataFrame, probabilities: list[float], key: str = "column") -> DataFrame:
+    """(key, q, value): linearly interpolated quantiles of each key's runs."""
+    each = runs.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in probabilities])))
+    place = F.col("q") * (F.col("total") - 1)
+    low = F.floor(place)
+    high = F.least(low + 1, F.col("total") - 1)
 
+    def holds(rank):
+        return (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
 
-def _local(long: DataFrame, key: str, fields: list[T.StructField], rows: list) -> DataFrame:
-    return long.sparkSession.createDataFrame(rows, T.StructType([T.StructField(key, long.schema[key].dataType), *fields]))
+    ends = each.where(holds(low) | holds(high)).groupBy(key, "q").agg(
+        F.max(F.when(holds(low), F.col("value"))).alias("a"),
+        F.max(F.when(holds(high), F.col("value"))).alias("b"),
+        F.max(place - low).alias("share"),
+    )
+    return ends.select(key, "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("value"))
 
 
-def _narrow(values, key, wanted, sizes, window_rows, accuracy) -> dict:
-    """Disjoint closed spans per key around its ranks; no entry for a key that is small enough as it is.
+def exact_quantiles(long: DataFrame, probabilities: list[float], key: str = "column", value: str = "value") -> DataFrame:
+    """(key, q, value) of a (key, value) table."""
+    return quantiles_of(value_runs(long, key, value), probabilities, key)
 
-    The rank right after a bracketed one needs no bracket: it is in the same span or the first value after it.
-    """
-    found: dict = {}
-    for k, r in wanted:
-        if sizes[k] > window_rows and (k, r - 1) not in found:
-            found[k, r] = _Bracket(None, None, 0, sizes[k])
-    share = {k: max(1, window_rows // sum(1 for t in found if t[0] == k)) for k, _ in found}
-    while True:
-        open_ = {t: b for t, b in found.items() if b.inside > share[t[0]]}
-        if not open_:
-            break
-        found.update(_tighten(values, key, open_, accuracy))
-    outline: dict = {}
-    for (k, _), b in sorted(found.items(), key=lambda item: (item[0][0], item[1].span())):
-        lo, hi = b.span()
-        spans = outline.setdefault(k, [])
-        if spans and lo <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
-        else:
-            spans.append((lo, hi))
-    return outline
-
-
-def _tighten(values, key, open_: dict, accuracy: int) -> dict:
-    """Two passes: a grid of approximate quantiles of every open bracket, then exact counts at the chosen ends."""
-    steps = max(32, accuracy // 10)
-    grid = [i / steps for i in range(steps + 1)]
-    brackets = sorted({(k, *b.span()) for (k, _), b in open_.items()})
-    spans: dict = {}
-    for k, lo, hi in brackets:
-        spans.setdefault(k, []).append((lo, hi))
-    inside = values.join(F.broadcast(_local(values, key, [T.StructField("_cuts", _SPANS)], list(spans.items()))), key)
-    within = F.filter("_cuts", lambda c: (F.col("_v") > c["lo"]) & (F.col("_v") < c["hi"]))
-    sketches = (
-        inside.select(key, "_v", F.inline(within))
-        .groupBy(key, "lo", "hi")
-        .agg(F.percentile_approx("_v", grid, accuracy).alias("at"))
-    )
-    curves = {(r[key], r["lo"], r["hi"]): r["at"] for r in sketches.collect()}
-    ends = {}
-    for (k, rank), b in open_.items():
-        curve = curves[(k, *b.span())]
-        place = (rank - b.below) / b.inside * steps
-        ends[k, rank] = (curve[max(0, math.floor(place) - 1)], curve[min(steps, math.ceil(place) + 1)])
-    return _counted(values, key, open_, ends)
-
-
-def _counted(values, key, open_: dict, ends: dict) -> dict:
-    mine: dict = {}
-    for (k, rank), (lo, hi) in ends.items():
-        mine.setdefault(k, []).append((rank, lo, hi))
-    width = max(len(m) for m in mine.values())
-    local = _local(values, key, [T.StructField("_ends", _SPANS)], [(k, [(lo, hi) for _, lo, hi in m]) for k, m in mine.items()])
-    counts = []
-    for i in range(width):
-        lo, hi = F.get("_ends", F.lit(i))["lo"], F.get("_ends", F.lit(i))["hi"]
-        counts += [
-            F.count_if(F.col("_v") < lo).alias(f"under_lo{i}"), F.count_if(F.col("_v") <= lo).alias(f"upto_lo{i}"),
-            F.count_if(F.col("_v") < hi).alias(f"under_hi{i}"), F.count_if(F.col("_v") <= hi).alias(f"upto_hi{i}"),
-        ]
-    result = {}
-    for r in values.join(F.broadcast(local), key).groupBy(key).agg(*counts).collect():
-        for i, (rank, lo, hi) in enumerate(mine[r[key]]):
-            old = open_[r[key], rank]
-            result[r[key], rank] = _placed(
-                rank, old, lo, hi, *[r[f"{c}{i}"] for c in ("under_lo", "upto_lo", "under_hi", "upto_hi")]
-            )
-    return result
-
-
-def _placed(rank, old, lo, hi, under_lo, upto_lo, under_hi, upto_hi) -> _Bracket:
-    """The part of the old bracket that holds the rank; a rank on an end is found."""
-    if rank < under_lo:
-        return _Bracket(old.lo, lo, old.below, under_lo - old.below)
-    if rank < upto_lo:
-        return _Bracket(lo, lo, under_lo, 0)
-    if rank < under_hi:
-        return _Bracket(lo, hi, upto_lo, under_hi - upto_lo)
-    if rank < upto_hi:
-        return _Bracket(hi, hi, under_hi, 0)
-    return _Bracket(hi, old.hi, upto_hi, old.below + old.inside - upto_hi)
+
+def column_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
+    """(column, q, value) for numeric columns."""
+    long = unfold(df, number_cells(df, columns))
+    return named(exact_quantiles(long, probabilities, key="slot"), columns)

@@ -1,7 +1,7 @@
-"""Advice from feature names: keyword rules against a (feature, importance) table.
+"""Advice as evidence: which keyword rules the features of a (feature, importance) table set off, and by what.
 
-Keywords and rule order are fixed values; the wording is ours. Rules are constants of the query, so
-they are unfolded against the (at most as many as there are features) rows instead of joined.
+Keywords, rule order and list lengths are fixed values. Rules are constants of the query, so they are unfolded against
+the features instead of joined. Texts for people are left to whoever shows the result.
 """
 
 from __future__ import annotations
@@ -15,54 +15,16 @@ TOP_CHART = 15
 TOP_RULES = 5
 MIN_RECOMMENDATIONS = 3
 
-# Themes in report order.
-INSIGHTS = (
-    ("contract", "The kind of contract is tied to churn; short terms usually lose customers faster than long ones."),
-    ("tenure", "Time as a customer matters; the newest customers are usually the likeliest to go."),
-    ("monthly", "What a customer pays each month matters; a high bill often comes before a cancellation."),
-    ("service", "Which services are used, and how well they work, is tied to churn."),
-    ("support", "Contacts with support point to trouble that may end in a cancellation."),
-    ("payment", "How customers pay, and whether payment is automatic, is tied to churn."),
-    ("dependents", "Households with dependents leave at a different rate than single customers."),
-)
+# Insight keywords in report order.
+THEMES = ("contract", "tenure", "monthly", "service", "support", "payment", "dependents")
 
 # Keywords that must all be in one feature name, in report order; no keywords means always.
-ACTIONS = (
-    (("contract",), "Reward longer contracts"),
-    (("tenure",), "Guide new customers through their first months"),
-    (("monthly", "charge"), "Rework price levels and bundles"),
-    (("service",), "Get customers to use the services that keep them"),
-    (("support",), "Raise support quality, at-risk segments first"),
-    ((), "Contact high-risk customers one by one"),
-    ((), "Ask lost customers why they left and act on it"),
-)
+ACTIONS = (("contract",), ("tenure",), ("monthly", "charge"), ("service",), ("support",), (), ())
 
 # Keywords of which any may be in a feature name, in report order; no keywords marks a general rule.
 RECOMMENDATIONS = (
-    (("contract",), "Better contract terms", "Short contracts lose more customers",
-     ("Give a benefit for committing longer", "Invite month-by-month customers to switch",
-      "Explain what a longer term brings")),
-    (("tenure",), "Stronger start for new customers", "The first months carry the most risk",
-     ("Tighten the onboarding steps", "Check in regularly during the first half year",
-      "Send usage advice early")),
-    (("price", "charge", "cost"), "Price review", "Customers react to what they pay",
-     ("Compare prices with the market", "Tie price levels to value", "Give long-standing customers a discount",
-      "Offer fixed prices to those who commit")),
-    (("service", "support", "ticket"), "Better service", "Service trouble goes together with churn",
-     ("Go through the support process", "Call at-risk customers before they call", "Set and follow service targets",
-      "Make good on failures")),
-    (("use", "usage", "activity"), "More engagement", "Falling use comes before leaving",
-     ("Win back inactive users", "Teach features to those who would gain", "Raise an alert when use drops",
-      "Map how users find features")),
-    ((), "Listen to customers", "Regular feedback keeps customers",
-     ("Survey satisfaction regularly", "Decide who acts on answers", "Follow up with unhappy customers",
-      "Let feedback set priorities")),
-    ((), "Show the value", "Customers stay when they see what they get",
-     ("Review results with large accounts", "Send each customer a usage summary", "Report returns and results",
-      "Share success stories")),
-    ((), "Watch risk early", "See risk before the customer decides",
-     ("Score churn risk and warn early", "Name a team for risky accounts", "Agree how cases are escalated",
-      "Alert on changes in account health")),
+    ("contract",), ("tenure",), ("price", "charge", "cost"), ("service", "support", "ticket"),
+    ("use", "usage", "activity"), (), (), (),
 )
 
 
@@ -70,61 +32,69 @@ def top_features(importance: DataFrame, n: int = TOP_CHART) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def keyword_match(importance: DataFrame, keywords: list[str]) -> DataFrame:
+def keyword_match(importance: DataFrame, keywords) -> DataFrame:
     """(feature, keyword) for every keyword contained in a feature name, whatever the case."""
     each = importance.select("feature", F.explode(F.array(*[F.lit(k) for k in keywords])).alias("keyword"))
     return each.where(F.contains(F.lower("feature"), F.col("keyword")))
 
 
 def feature_insights(importance: DataFrame) -> DataFrame:
-    """(position, theme, title, insight, n_features) of the themes named by any feature."""
+    """(rule, theme, title, n_features, importance, top_feature) of the themes named by any feature."""
     themes = F.array(*[
-        F.struct(F.lit(i + 1).alias("position"), F.lit(t).alias("theme"), F.lit(s).alias("insight"))
-        for i, (t, s) in enumerate(INSIGHTS)
+        F.struct(F.lit(i + 1).alias("rule"), F.lit(t).alias("theme")) for i, t in enumerate(THEMES)
+    ])
+    each = importance.select("feature", "importance", F.inline(themes))
+    named = each.where(F.contains(F.lower("feature"), F.col("theme")))
+    return named.groupBy("rule", "theme", F.initcap("theme").alias("title")).agg(
+        F.count_distinct("feature").alias("n_features"),
+        F.sum("importance").alias("importance"),
+        F.min(F.struct((-F.col("importance")).alias("least"), "feature"))["feature"].alias("top_feature"),
+    )
+
+
+def _ranked(importance: DataFrame, n: int) -> DataFrame:
+    """The n most important features with their rank."""
+    order = W.orderBy(F.desc("importance"), "feature")  # n rows
+    return top_features(importance, n).withColumn("rank", F.row_number().over(order))
+
+
+def _evidence(importance: DataFrame, n: int, rules, met) -> DataFrame:
+    """(rule, keywords, feature, importance, rank): every rule once, with the best leading feature that ``met`` accepts."""
+    table = F.array(*[
+        F.struct(F.lit(i + 1).alias("rule"), F.array(*[F.lit(w) for w in words]).cast("array<string>").alias("words"))
+        for i, words in enumerate(rules)
     ])
-    each = importance.select("feature", F.inline(themes)).where(F.contains(F.lower("feature"), F.col("theme")))
-    return each.groupBy("position", "theme", F.initcap("theme").alias("title"), "insight").agg(
-        F.count_distinct("feature").alias("n_features")
+    leading = _ranked(importance, n).agg(F.collect_list(F.struct("rank", "feature", "importance")).alias("leading"))
+    each = leading.select("leading", F.inline(table))
+    hits = F.filter("leading", lambda f: (F.size("words") > 0) & met(F.lower(f["feature"])))
+    best = each.withColumn("best", F.array_min(hits))
+    return best.select(
+        "rule", F.array_join("words", " ").alias("keywords"), (F.size("words") > 0).alias("specific"),
+        F.col("best.feature").alias("feature"), F.col("best.importance").alias("importance"), F.col("best.rank").alias("rank"),
     )
 
 
-def _leading(importance: DataFrame, n: int) -> DataFrame:
-    """One row holding the names of the n most important features."""
-    return top_features(importance, n).agg(F.collect_list(F.lower("feature")).alias("features"))
+def _all_words(name: Column) -> Column:
+    return F.forall("words", lambda w: F.contains(name, w))
 
 
-def _texts(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+def _any_word(name: Column) -> Column:
+    return F.exists("words", lambda w: F.contains(name, w))
 
 
 def recommended_actions(importance: DataFrame, n: int = TOP_RULES) -> DataFrame:
-    """(position, action, specific): rules whose keywords all occur in one of the leading features, then the rest."""
-    rules = F.array(*[
-        F.struct(
-            F.lit(i + 1).alias("position"), F.lit(title).alias("action"),
-            F.lit(bool(words)).alias("specific"), _texts(words).alias("words"),
-        )
-        for i, (words, title) in enumerate(ACTIONS)
-    ])
-    each = _leading(importance, n).select("features", F.inline(rules))
-    hit = F.exists("features", lambda f: F.forall("words", lambda w: F.contains(f, w)))
-    return each.where(~F.col("specific") | hit).select("position", "action", "specific")
+    """(rule, keywords, specific, feature, importance, rank): rules whose keywords all occur in one of the leading
+    features, the best such feature beside them, and the rules that always hold."""
+    return _evidence(importance, n, ACTIONS, _all_words).where(~F.col("specific") | F.col("feature").isNotNull())
 
 
 def retention_recommendations(importance: DataFrame, n: int = TOP_RULES) -> DataFrame:
-    """(position, title, description, actions, specific): matching rules, topped up to three with general ones."""
-    rules = F.array(*[
-        F.struct(
-            F.lit(i + 1).alias("rule"), F.lit(title).alias("title"), F.lit(text).alias("description"),
-            _texts(actions).alias("actions"), F.lit(bool(words)).alias("specific"), _texts(words).alias("words"),
-        )
-        for i, (words, title, text, actions) in enumerate(RECOMMENDATIONS)
-    ])
-    each = _leading(importance, n).select("features", F.inline(rules))
-    hit = F.exists("features", lambda f: F.exists("words", lambda w: F.contains(f, w)))
-    chosen = each.where(~F.col("specific") | hit)
+    """(position, rule, keywords, specific, feature, importance, rank): the rules met, topped up to three with general
+    ones."""
+    found = _evidence(importance, n, RECOMMENDATIONS, _any_word)
+    chosen = found.where(~F.col("specific") | F.col("feature").isNotNull())
     order = W.orderBy(F.desc("specific"), "rule")  # eight rows at most
     ranked = chosen.withColumn("position", F.row_number().over(order))
     return ranked.where(F.col("specific") | (F.col("position") <= MIN_RECOMMENDATIONS)).select(
-        "position", "title", "description", "actions", "specific"
+        "position", "rule", "keywords", "specific", "feature", "importance", "rank"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ebbtide.functions.shaping import named, text_cells, unfold
 from ebbtide.operators import profile, rules
 from ebbtide.plans.model_queries import TEXTS
-from ebbtide.plans.registry import BASE, base, query, shared
+from ebbtide.plans.registry import BASE, base, query, rounded, shared
 from ebbtide.plans.table_queries import MEASURES
 from ebbtide.session import stage
 
@@ -19,9 +19,8 @@ def association(df: DataFrame, label: str) -> DataFrame:
     A stand-in for model importances that SQL can recompute. A category's correlation follows from its row
     and churn counts, so no indicator columns are built.
     """
-    numbers = profile.correlation_matrix(df.select(*MEASURES, label), [*MEASURES, label])
-    numbers = numbers.where((F.col("column_x") == label) & (F.col("column_y") != label))
-    numbers = numbers.select(F.col("column_y").alias("feature"), F.abs("correlation").alias("strength"))
+    numbers = profile.correlation_with(df, MEASURES, label)
+    numbers = numbers.select(F.col("column").alias("feature"), F.abs("correlation").alias("strength"))
     totals = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(label).alias("c"))).scalar()
     n, c = totals["n"].cast("double"), totals["c"].cast("double")
     cells = unfold(df, text_cells(df, TEXTS), [label]).where(F.col("value").isNotNull())
@@ -48,69 +47,61 @@ _STRENGTHS = " UNION ALL ".join(
 
 IMPORTANCE = f"""{BASE}, strengths AS ({_STRENGTHS}),
 importance AS (SELECT feature, round(strength / (SELECT sum(strength) FROM strengths), 9) AS importance FROM strengths),
-first_five AS (SELECT lower(feature) AS feature FROM importance ORDER BY importance DESC, importance.feature LIMIT 5)"""
+ranked AS (
+  SELECT feature, importance, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM importance),
+first_five AS (SELECT * FROM ranked WHERE rank <= 5)"""
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
+def _list(values) -> str:
+    return "CAST([" + ", ".join(f"'{v}'" for v in values) + "] AS VARCHAR[])"
 
 
-def _list(values) -> str:
-    return "CAST([" + ", ".join(_text(v) for v in values) + "] AS VARCHAR[])"
+def _rules_sql(rules) -> str:
+    rows = ", ".join(f"({i + 1}, {_list(words)})" for i, words in enumerate(rules))
+    return f"rule AS (SELECT * FROM (VALUES {rows}) AS v(rule, words))"
 
 
-@query("top_features", f"WITH {IMPORTANCE} SELECT feature, importance FROM importance ORDER BY importance DESC, feature LIMIT 15")
-def top_features(spark, folder):
-    return rules.top_features(importance(spark, folder))
+def _evidence_sql(rules, lacking: str) -> str:
+    """Best leading feature per rule; ``lacking`` is 0 for a feature that meets it."""
+    return f"""{_rules_sql(rules)},
+hits AS (SELECT rule, f.*, row_number() OVER (PARTITION BY rule ORDER BY rank) AS k
+  FROM rule, first_five f WHERE len(words) > 0 AND {lacking} = 0),
+evidence AS (
+  SELECT rule, array_to_string(words, ' ') AS keywords, len(words) > 0 AS specific, feature, importance, rank
+  FROM rule LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (rule) WHERE len(words) = 0 OR feature IS NOT NULL)"""
 
 
-KEYWORDS = [theme for theme, _ in rules.INSIGHTS]
+@query("top_features", f"WITH {IMPORTANCE} SELECT feature, importance FROM ranked WHERE rank <= 15")
+def top_features(spark, folder):
+    return rules.top_features(importance(spark, folder))
 
 
-@query("feature_keyword_match", f"""WITH {IMPORTANCE}, words AS (SELECT unnest({_list(KEYWORDS)}) AS keyword)
+@query("feature_keyword_match", f"""WITH {IMPORTANCE}, words AS (SELECT unnest({_list(rules.THEMES)}) AS keyword)
 SELECT feature, keyword FROM importance JOIN words ON contains(lower(feature), keyword)""")
 def feature_keyword_match(spark, folder):
-    return rules.keyword_match(importance(spark, folder), KEYWORDS)
+    return rules.keyword_match(importance(spark, folder), rules.THEMES)
 
 
-_THEMES = ", ".join(
-    f"({i + 1}, {_text(t)}, {_text(t[0].upper() + t[1:])}, {_text(s)})" for i, (t, s) in enumerate(rules.INSIGHTS)
-)
-
-
-@query("feature_insights", f"""WITH {IMPORTANCE}, rule AS (SELECT * FROM (VALUES {_THEMES}) AS v(position, theme, title, insight))
-SELECT position, theme, title, insight, count(DISTINCT feature) AS n_features
-FROM rule JOIN importance ON contains(lower(feature), theme) GROUP BY position, theme, title, insight""")
+@query("feature_insights", f"""WITH {IMPORTANCE}, {_rules_sql([(t,) for t in rules.THEMES])}
+SELECT rule, words[1] AS theme, upper(words[1][1]) || words[1][2:] AS title, count(DISTINCT feature) AS n_features,
+  round(sum(importance), 6) AS importance, arg_min(feature, rank) AS top_feature
+FROM rule JOIN ranked ON contains(lower(feature), words[1]) GROUP BY rule, words""")
 def feature_insights(spark, folder):
-    return rules.feature_insights(importance(spark, folder))
+    return rounded(rules.feature_insights(importance(spark, folder)), 6, "importance")
 
 
-_ACTIONS = ", ".join(
-    f"({i + 1}, {_text(title)}, {_list(words)})" for i, (words, title) in enumerate(rules.ACTIONS)
-)
+_MISSED = "len(list_filter(words, lambda w: NOT contains(lower(f.feature), w)))"
+_MET = "(CASE WHEN len(list_filter(words, lambda w: contains(lower(f.feature), w))) > 0 THEN 0 ELSE 1 END)"
 
 
-@query("recommended_actions", f"""WITH {IMPORTANCE}, rule AS (SELECT * FROM (VALUES {_ACTIONS}) AS v(position, action, words))
-SELECT position, action, len(words) > 0 AS specific FROM rule
-WHERE len(words) = 0 OR EXISTS (
-  SELECT 1 FROM first_five WHERE len(list_filter(words, lambda w: NOT contains(first_five.feature, w))) = 0)""")
+@query("recommended_actions", f"""WITH {IMPORTANCE}, {_evidence_sql(rules.ACTIONS, _MISSED)}
+SELECT rule, keywords, specific, feature, importance, rank FROM evidence""")
 def recommended_actions(spark, folder):
     return rules.recommended_actions(importance(spark, folder))
 
 
-_RECOMMENDATIONS = ", ".join(
-    f"({i + 1}, {_text(title)}, {_text(text)}, {_text('; '.join(actions))}, {_list(words)})"
-    for i, (words, title, text, actions) in enumerate(rules.RECOMMENDATIONS)
-)
-
-
-@query("retention_recommendations", f"""WITH {IMPORTANCE},
-rule AS (SELECT * FROM (VALUES {_RECOMMENDATIONS}) AS v(rule, title, description, actions, words)),
-hit AS (SELECT *, len(words) > 0 AS specific FROM rule WHERE len(words) = 0 OR EXISTS (
-  SELECT 1 FROM first_five WHERE len(list_filter(words, lambda w: contains(first_five.feature, w))) > 0)),
-placed AS (SELECT *, CAST(row_number() OVER (ORDER BY specific DESC, rule) AS INTEGER) AS position FROM hit)
-SELECT position, title, description, actions, specific FROM placed WHERE specific OR position <= 3""")
+@query("retention_recommendations", f"""WITH {IMPORTANCE}, {_evidence_sql(rules.RECOMMENDATIONS, _MET)},
+placed AS (SELECT *, CAST(row_number() OVER (ORDER BY specific DESC, rule) AS INTEGER) AS position FROM evidence)
+SELECT position, rule, keywords, specific, feature, importance, rank FROM placed WHERE specific OR position <= 3""")
 def retention_recommendations(spark, folder):
-    return rules.retention_recommendations(importance(spark, folder)).withColumn(
-        "actions", F.array_join("actions", "; ")
-    )
+    return rules.retention_recommendations(importance(spark, folder))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ebbtide.plans import advice_queries, cohort_queries, model_queries, segment_queries, table_queries  # noqa: F401
+from ebbtide.plans import (  # noqa: F401
+    advice_queries, check_queries, cohort_queries, flow_queries, model_queries, segment_queries, table_queries,
+)
 from ebbtide.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -27,6 +27,36 @@ def month_cohort(spark, folder):
     return cohort.month_cohort(base(spark, folder), "signup_date").select("customer_id", "cohort")
 
 
+_TEXT_MONTH = "CASE WHEN customer_id % 19 <> 0 THEN strftime(signup_date, '%Y-%m') END"
+
+
+def _text_dates(spark, folder):
+    """Customers whose sign-up dates are texts, one in 19 unreadable."""
+    day = F.col("signup_date").cast("string")
+    return base(spark, folder).withColumn("signup_date", F.when(F.col("customer_id") % 19 == 0, F.concat(day, F.lit("x"))).otherwise(day))
+
+
+@query("month_cohort_text", f"WITH {BASE} SELECT customer_id, {_TEXT_MONTH} AS cohort FROM base")
+def month_cohort_text(spark, folder):
+    return cohort.month_cohort(_text_dates(spark, folder), "signup_date").select("customer_id", "cohort")
+
+
+@query("unreadable_dates", f"""WITH {BASE} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS missing,
+  count(*) FILTER (WHERE customer_id % 19 = 0) AS unreadable FROM base""")
+def unreadable_dates(spark, folder):
+    return cohort.date_check(_text_dates(spark, folder), "signup_date")
+
+
+@query("cohort_choice", f"""WITH {BASE} SELECT customer_id, region AS existing, {_TEXT_MONTH} AS by_date,
+  CAST(order_count AS VARCHAR) AS custom FROM base""")
+def cohort_choice(spark, folder):
+    """The three ways to a cohort side by side."""
+    rows = cohort.choose_cohort(_text_dates(spark, folder), existing="region", date="signup_date", out="existing")
+    rows = cohort.choose_cohort(rows, date="signup_date", custom="order_count", out="by_date")
+    rows = cohort.choose_cohort(rows, custom="order_count", out="custom")
+    return rows.select("customer_id", "existing", "by_date", F.col("custom").cast("string").alias("custom"))
+
+
 @query("binned_time_range", f"WITH {BINS} SELECT least(n, 11) AS n_values, mx AS max_value, w AS bin_width FROM span")
 def binned_time_range(spark, folder):
     return cohort.time_range(base(spark, folder), "tenure_days")

@@ -29,20 +29,19 @@ class Trained:
     test: DataFrame
 
 
-def train_both(spark, folder) -> Trained:
+def train_both(rows: DataFrame, label: str, exclude=()) -> Trained:
     """Prepare once, fit both classifiers on the training rows, score the test rows once."""
-    rows = planted(spark, folder)
     train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
-    prepared = models.prepare(train, KEY, "churn", exclude=NOT_FEATURES)
+    prepared = models.prepare(train, KEY, label, exclude=exclude)
     logistic, boosted = models.train_logistic(prepared), models.train_boosted(prepared)
-    scores = models.score(logistic, test, KEY, "churn", "logistic").unionByName(
-        models.score(boosted, test, KEY, "churn", "boosted")
+    scores = models.score(logistic, test, KEY, label, "logistic").unionByName(
+        models.score(boosted, test, KEY, label, "boosted")
     )
     return Trained(prepared, logistic, boosted, stage(scores, "scores"), test)
 
 
 def trained(spark, folder) -> Trained:
-    return shared(spark, folder, "models", lambda: train_both(spark, folder))
+    return shared(spark, folder, "models", lambda: train_both(planted(spark, folder), "churn", NOT_FEATURES))
 
 
 # --- preparation ------------------------------------------------------------------------------------
@@ -129,9 +128,8 @@ SELECT CAST(row_number() OVER (ORDER BY block, feature) - 1 AS INTEGER) AS posit
 def feature_names(spark, folder):
     rows = planted(spark, folder).where(F.col("split") == "train")
     spec = prep.fit_features(rows, exclude=(KEY, "churn", *NOT_FEATURES))
-    encoded = spec.pipeline(rows).transform(rows)
-    names = F.array(*[F.lit(n) for n in prep.feature_names(encoded)])
-    return encoded.limit(1).select(F.posexplode(names).alias("position", "feature"))
+    names = prep.feature_names(spec.pipeline(rows).transform(rows))
+    return spark.createDataFrame(list(enumerate(names)), "position int, feature string")
 
 
 @query("stratified_split", f"WITH {PLANTED} SELECT customer_id, churn, split FROM planted")

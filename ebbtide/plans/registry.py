@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.operators.label import normalize_label
+from ebbtide.plans import fixtures
 from ebbtide.session import stage
 from ebbtide.sources import tables
 
@@ -27,9 +28,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+SHARED_TABLES = ["customer", "nation", "region", "orders", "events"]
+
+
+def version(spark: SparkSession, folder: str) -> tuple:
+    """Paths, sizes and times of the files behind the shared results; only the listing is read."""
+    paths = [f"{folder}/{t}.parquet" for t in SHARED_TABLES]
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
+    return tuple(sorted((r["path"], r["length"], str(r["modificationTime"])) for r in files.collect()))
+
+
 def shared(spark: SparkSession, folder: str, name: str, build: Callable[[], object]):
-    """Result of ``build``, made once per application and table folder."""
-    slot = (spark.sparkContext.applicationId, folder, name)
+    """Result of ``build``, made once per application and state of the table files."""
+    slot = (spark.sparkContext.applicationId, version(spark, folder), name)
     if slot not in _SHARED:
         _SHARED[slot] = build()
     return _SHARED[slot]
@@ -39,7 +50,7 @@ def base(spark: SparkSession, folder: str) -> DataFrame:
     """Stage table of customers with the label normalised once, at ingest."""
     return shared(
         spark, folder, "customers",
-        lambda: stage(normalize_label(tables.customer_base(spark, folder), "churn"), "customers"),
+        lambda: stage(normalize_label(fixtures.with_gaps(tables.customer_table(spark, folder)), "churn"), "customers"),
     )
 
 
@@ -48,11 +59,11 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def planted(spark: SparkSession, folder: str) -> DataFrame:
-    return shared(spark, folder, "planted", lambda: stage(tables.planted_signal(base(spark, folder)), "planted"))
+    return shared(spark, folder, "planted", lambda: stage(fixtures.planted_signal(base(spark, folder)), "planted"))
 
 
 def segments(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.fixed_segments(base(spark, folder))
+    return fixtures.fixed_segments(base(spark, folder))
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -75,26 +86,27 @@ priority AS (
   FROM pre GROUP BY o_custkey, o_orderpriority),
 later AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-02-01'),
 errors AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id),
-base AS (
+star AS (
   SELECT c.c_custkey AS customer_id, c.c_mktsegment AS segment_name, r.r_name AS region, h.signup_date,
          strftime(h.signup_date, '%Y-%m') AS signup_month,
          CAST(date_diff('day', h.signup_date, DATE '2001-02-01') AS INTEGER) AS tenure_days,
          h.order_count, h.total_charges,
          h.total_charges * 30.0 / date_diff('day', h.signup_date, DATE '2001-02-01') AS monthly_charges,
          h.urgent_orders,
-         CASE WHEN c.c_custkey % 23 <> 0 THEN p.o_orderpriority END AS contract_type,
-         coalesce(e.n, 0) AS support_events,
-         CASE WHEN c.c_custkey % 17 <> 0 THEN c.c_acctbal END AS acct_balance,
-         CASE WHEN l.o_custkey IS NULL THEN 'Yes' ELSE 'No' END AS churn,
-         c.c_acctbal AS raw_balance,
-         CASE WHEN l.o_custkey IS NULL THEN 1 ELSE 0 END AS churned
+         p.o_orderpriority AS contract_type, coalesce(e.n, 0) AS support_events, c.c_acctbal AS acct_balance,
+         CASE WHEN l.o_custkey IS NULL THEN 'Yes' ELSE 'No' END AS churn
   FROM customer c
   JOIN history h ON h.o_custkey = c.c_custkey
   JOIN priority p ON p.o_custkey = c.c_custkey AND p.rn = 1
   JOIN nation n ON n.n_nationkey = c.c_nationkey
   JOIN region r ON r.r_regionkey = n.n_regionkey
   LEFT JOIN later l ON l.o_custkey = c.c_custkey
-  LEFT JOIN errors e ON e.user_id = c.c_custkey)"""
+  LEFT JOIN errors e ON e.user_id = c.c_custkey),
+base AS (
+  SELECT * REPLACE (CASE WHEN customer_id % 23 <> 0 THEN contract_type END AS contract_type,
+                    CASE WHEN customer_id % 17 <> 0 THEN acct_balance END AS acct_balance),
+         acct_balance AS raw_balance, CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END AS churned
+  FROM star)"""
 
 
 def unit(salt: str) -> str:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import functions as F
 
 from ebbtide.operators import label, prep, profile
 from ebbtide.plans.registry import BASE, base, customers, planted, query, rounded, PLANTED
-from ebbtide.session import stage, stage_root
+from ebbtide.session import stage_path
 from ebbtide.sources import csv, tables
 
 COLUMNS = tables.CUSTOMER_COLUMNS
@@ -58,7 +58,7 @@ WHERE position <= {k}"""
 # --- sources ----------------------------------------------------------------------------------------
 
 
-@query("customer_star_join", f"WITH {BASE} SELECT {', '.join(COLUMNS)} FROM base")
+@query("customer_star_join", f"WITH {BASE} SELECT {', '.join(COLUMNS)} FROM star")
 def customer_star_join(spark, folder):
     return tables.customer_table(spark, folder)
 
@@ -70,18 +70,67 @@ def parquet_source(spark, folder):
 
 @query("parquet_sink", f"WITH {PLANTED} SELECT customer_id, order_count, churn, score, split FROM planted")
 def parquet_sink(spark, folder):
-    return stage(planted(spark, folder).select("customer_id", "order_count", "churn", "score", "split"), "sink")
+    path = stage_path(spark, "sink")
+    rows = planted(spark, folder).select("customer_id", "order_count", "churn", "score", "split")
+    tables.write_parquet(rows, path, partition_by=["split", "churn"])
+    return tables.read_parquet(spark, path, rows.columns)
 
 
-@query("csv_ingest", f"""WITH {BASE} SELECT customer_id, segment_name, region,
+_CSV_ROWS = """customer_id, segment_name, region,
   CAST(signup_date AS VARCHAR) AS signup_date, signup_month, CAST(tenure_days AS BIGINT) AS tenure_days, order_count,
-  total_charges, monthly_charges, urgent_orders, contract_type, support_events, acct_balance, churn FROM base""")
+  total_charges, monthly_charges, urgent_orders, contract_type, support_events, acct_balance, churn"""
+
+
+@query("csv_ingest", f"WITH {BASE} SELECT {_CSV_ROWS} FROM base")
 def csv_ingest(spark, folder):
-    path = f"{stage_root(spark)}/csv-{uuid.uuid4().hex}"
+    path = stage_path(spark, "csv")
     csv.write_csv(customers(spark, folder), path)
     return csv.read_csv(spark, path)
 
 
+def dirty_files(spark, folder) -> str:
+    """Customer files as they arrive: two column orders, gaps spelt out, unreadable dates, short and long lines."""
+    path = stage_path(spark, "dirty")
+    rows = customers(spark, folder)
+    key = F.col("customer_id")
+    rows = rows.withColumns({
+        "signup_date": F.when(key % 19 == 0, F.concat(F.col("signup_date").cast("string"), F.lit("x"))).otherwise(
+            F.col("signup_date").cast("string")),
+        "acct_balance": F.coalesce(F.col("acct_balance").cast("string"), F.lit("NA")),
+        "contract_type": F.coalesce("contract_type", F.lit("")),
+    })
+    csv.write_csv(rows.where(key % 2 == 0), f"{path}/even")
+    csv.write_csv(rows.where(key % 2 == 1).select(*reversed(rows.columns)), f"{path}/odd")
+    broken = rows.where(key % 29 == 0).select(F.concat_ws(",", key.cast("string"), F.lit("short")).alias("line"))
+    broken = broken.unionByName(rows.where(key % 31 == 0).select(F.repeat(F.lit("9,"), 20).alias("line")))
+    broken = broken.unionByName(spark.createDataFrame([(",".join(rows.columns),)], "line string"))
+    broken.coalesce(1).sortWithinPartitions(F.desc("line")).write.text(f"{path}/broken")  # letters sort behind digits
+    return path
+
+
+@query("csv_rows", f"""WITH {BASE}, t AS (SELECT * REPLACE (
+  CASE WHEN customer_id % 19 = 0 THEN CAST(signup_date AS VARCHAR) || 'x' ELSE CAST(signup_date AS VARCHAR) END AS signup_date) FROM base)
+SELECT {_CSV_ROWS} FROM t""")
+def csv_rows(spark, folder):
+    return csv.ingest_csv(spark, dirty_files(spark, folder))[0]
+
+
+@query("csv_checks", f"""WITH {BASE}, n AS (
+  SELECT count(*) FILTER (WHERE customer_id % 29 = 0) + count(*) FILTER (WHERE customer_id % 31 = 0) AS bad FROM base)
+SELECT 'min_rows' AS "check", true AS passed, 'at least 10 rows' AS detail
+UNION ALL SELECT 'target_column', true, 'churn'
+UNION ALL SELECT 'well_formed', bad = 0, bad || ' malformed lines' FROM n
+UNION ALL SELECT 'label_values', true, '2 distinct values'""")
+def csv_checks(spark, folder):
+    return csv.ingest_csv(spark, dirty_files(spark, folder))[1]
+
+
+@query("csv_bad_lines", f"""WITH {BASE} SELECT customer_id || ',short' AS line FROM base WHERE customer_id % 29 = 0
+UNION ALL SELECT repeat('9,', 20) FROM base WHERE customer_id % 31 = 0""")
+def csv_bad_lines(spark, folder):
+    return csv.bad_lines(spark, dirty_files(spark, folder)).select("line")
+
+
 @query("validate_table", f"""WITH {BASE}, counted AS (SELECT least(count(*), 10) AS n FROM base)
 SELECT 'min_rows' AS "check", n >= 10 AS passed,
        CASE WHEN n >= 10 THEN 'at least 10 rows' ELSE n || ' rows, 10 needed' END AS detail FROM counted

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 from ebbtide.functions.roles import target_column
 from ebbtide.operators.label import label_check
 from ebbtide.operators.profile import validate_table
+from ebbtide.session import stage
 
 # Texts read as a missing value.
 MISSING = (
@@ -25,12 +29,45 @@ CORRUPT = "_corrupt_record"
 BIT_WHOLE, BIT_DECIMAL, BIT_BOOLEAN, BIT_TEXT = 1, 2, 4, 8
 
 
-def _text_rows(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    header = reader.option("inferSchema", False).csv(path).schema
-    names = [f.name.replace(".", "_") for f in header]  # a dot would read as a struct field
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by their first line; one row per file reaches the driver, as Spark's own listing does."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+    found: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", "place").alias("head")).orderBy("file").collect():
+        found.setdefault(r["head"], []).append(r["file"])
+    return found
+
+
+def _names(header: str) -> list[str]:
+    names = [n.replace(".", "_") for n in next(csv.reader([header.lstrip("\ufeff")]))]  # a dot would read as a struct field
+    if len(set(names)) < len(names) or CORRUPT in names:
+        raise ValueError(f"column names repeat: {', '.join(names)}")
+    return names
+
+
+def _text_rows(spark: SparkSession, path: str, multi_line: bool, mode: str = "PERMISSIVE") -> DataFrame:
+    """All cells as text, by column name whatever their order in a file.
+
+    ``mode`` says what becomes of malformed lines: PERMISSIVE puts them into CORRUPT, DROPMALFORMED leaves them out,
+    FAILFAST fails.
+    """
+    parts = []
+    for header, files in _headers(spark, path).items():
+        names = [*_names(header), *([CORRUPT] if mode == "PERMISSIVE" else [])]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line)
+        reader = reader.option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT)
+        # with pruning on, the parser would not see how many fields a line has
+        parts.append(reader.option("enforceSchema", True).option("columnPruning", False).csv(files))
+    if not parts:
+        raise ValueError(f"no CSV file at {path}")
+    names = {c for p in parts for c in p.columns}
+    for p in parts[1:]:
+        if set(p.columns) != names:
+            raise ValueError(f"files differ in their columns: {sorted(names - set(p.columns))} are not in all")
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _value(name: str) -> Column:
@@ -62,7 +99,10 @@ def survey(text: DataFrame) -> tuple[dict[str, T.DataType], int]:
     One pass over all rows, one result row: a sample could miss the one text that makes a column a text column.
     """
     names = [c for c in text.columns if c != CORRUPT]
-    row = text.agg(F.count(CORRUPT).alias("malformed"), *[F.bit_or(_kind(c)).alias(f"k{i}") for i, c in enumerate(names)]).first()
+    whole = F.col(CORRUPT).isNull()
+    row = text.agg(F.count(CORRUPT).alias("malformed"), *[
+        F.bit_or(F.when(whole, _kind(c)).otherwise(0)).alias(f"k{i}") for i, c in enumerate(names)
+    ]).first()
     fits = {BIT_WHOLE: T.LongType(), BIT_DECIMAL: T.DoubleType(), BIT_WHOLE | BIT_DECIMAL: T.DoubleType(),
             BIT_BOOLEAN: T.BooleanType()}
     return {c: fits.get(row[f"k{i}"], T.StringType()) for i, c in enumerate(names)}, row["malformed"]
@@ -81,20 +121,31 @@ def _typed(text: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, types: dict[str, T.DataType] | None = None,
              multi_line: bool = False) -> DataFrame:
-    """Typed customer rows. Give ``types`` to pin the schema and skip the pass that finds it.
+    """Typed customer rows of one file or all files below a folder; malformed lines are an error.
 
-    ``multi_line`` allows line breaks inside quotes; such a file cannot be split among tasks.
+    Give ``types`` to pin the schema: then a malformed line fails the job that meets it, and no pass is needed to find
+    types. ``multi_line`` allows line breaks inside quotes; such a file cannot be split among tasks.
     """
+    if types:
+        return _typed(_text_rows(spark, path, multi_line, "FAILFAST"), types)
+    found, malformed = survey(_text_rows(spark, path, multi_line))
+    if malformed:
+        raise ValueError(f"{malformed} malformed lines; ingest_csv leaves them out and bad_lines shows them")
+    return _typed(_text_rows(spark, path, multi_line, "DROPMALFORMED"), found)
+
+
+def bad_lines(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(file, line) of the lines with too few or too many fields."""
     text = _text_rows(spark, path, multi_line)
-    return _typed(text, types or survey(text)[0])
+    kept = stage(text.where(F.col(CORRUPT).isNotNull()).withColumn("_file", F.input_file_name()), "bad")
+    return kept.select(F.col("_file").alias("file"), F.col(CORRUPT).alias("line"))
 
 
 def ingest_csv(spark: SparkSession, path: str, types: dict[str, T.DataType] | None = None,
                multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, checks): the typed rows and a (check, passed, detail) table that says whether they can be used."""
-    text = _text_rows(spark, path, multi_line)
-    found, malformed = survey(text)
-    rows = _typed(text, types or found)
+    """(rows, checks): the typed well-formed rows and a (check, passed, detail) table that says whether they can be used."""
+    found, malformed = survey(_text_rows(spark, path, multi_line))
+    rows = _typed(_text_rows(spark, path, multi_line, "DROPMALFORMED"), types or found)
     well_formed = spark.range(1).select(
         F.lit("well_formed").alias("check"), F.lit(malformed == 0).alias("passed"),
         F.lit(f"{malformed} malformed lines").alias("detail"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.functions.hashing import unit_hash
 from ebbtide.functions.shaping import present
 
 CUTOFF = "2001-02-01"
@@ -56,11 +55,8 @@ def order_history(orders: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
     )
 
 
-def customer_base(spark: SparkSession, folder: str, cutoff: str = CUTOFF) -> DataFrame:
-    """Customer table plus the raw balance and the 0/1 label.
-
-    The modulo terms only plant missing values for the null-handling operators; no row is left out by them.
-    """
+def customer_table(spark: SparkSession, folder: str, cutoff: str = CUTOFF) -> DataFrame:
+    """Customers with an order before the cutoff, as CUSTOMER_COLUMNS."""
     customer = read_table(spark, folder, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
     nation = read_table(spark, folder, "nation", ["n_nationkey", "n_regionkey"])
     region = read_table(spark, folder, "region", ["r_regionkey", "r_name"])
@@ -91,44 +87,12 @@ def customer_base(spark: SparkSession, folder: str, cutoff: str = CUTOFF) -> Dat
             "total_charges",
             (F.col("total_charges") * 30.0 / tenure).alias("monthly_charges"),
             "urgent_orders",
-            F.when(F.col("customer_id") % 23 != 0, F.col("contract_type")).alias("contract_type"),
+            "contract_type",
             F.coalesce("support_events", F.lit(0)).alias("support_events"),
-            F.when(F.col("customer_id") % 17 != 0, F.col("c_acctbal")).alias("acct_balance"),
+            F.col("c_acctbal").alias("acct_balance"),
             F.when(F.col("active") == 1, "No").otherwise("Yes").alias("churn"),
-            F.col("c_acctbal").alias("raw_balance"),
-        )
-    )
-
-
-def customer_table(spark: SparkSession, folder: str, cutoff: str = CUTOFF) -> DataFrame:
-    return customer_base(spark, folder, cutoff).select(*CUSTOMER_COLUMNS)
-
-
-def planted_signal(base: DataFrame) -> DataFrame:
-    """Customers with a label that follows a known score, for learning and metric operators."""
-    key = F.col("customer_id")
-    machinery = (F.col("segment_name") == "MACHINERY").cast("int")
-    z = (9 - F.col("order_count")) + machinery - (F.col("raw_balance") / 5000.0 - 1.0)
-    noisy = F.col("z") + unit_hash(key, "-9") - 0.5
-    return (
-        base.select(
-            "customer_id", "order_count", F.col("raw_balance").alias("acct_balance_raw"),
-            machinery.alias("is_machinery"), "segment_name", "region", z.alias("z"),
         )
-        .withColumn("churn", (unit_hash(key, "-7") < 1.0 / (1.0 + F.exp(-F.col("z")))).cast("int"))
-        .withColumn("score", F.round(1.0 / (1.0 + F.exp(-noisy)), 6))
-        .withColumn("split", F.when(unit_hash(key, "-42") < 0.25, "test").otherwise("train"))
-    )
-
-
-def fixed_segments(base: DataFrame) -> DataFrame:
-    """Customers with a segment set by balance bands, so segment reports can be checked exactly."""
-    band = (
-        F.when(F.col("raw_balance") < 3000, "Segment 1")
-        .when(F.col("raw_balance") < 6000, "Segment 2")
-        .otherwise("Segment 3")
     )
-    return base.withColumn("segment", band)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -115,10 +115,17 @@ def test_unseen_and_missing_categories_are_all_zero(spark):
     assert list(rows[0]["v"])[1:] == [0.0, 0.0] and list(rows[2]["v"])[1:] == [0.0, 0.0]
 
 
-def test_id_like_texts_are_reported_not_encoded(spark):
-    rows = spark.range(50).select("id", F.concat(F.lit("n"), "id").alias("name"), (F.col("id") % 2).cast("string").alias("kind"))
-    spec = prep.fit_features(rows, exclude=("id",), max_categories=10)
-    assert spec.skipped == ["name"] and list(spec.categories) == ["kind"]
+@pytest.mark.parametrize("n", [1_500, 50_000])
+def test_every_category_is_encoded(spark, n):
+    rows = spark.range(n).select(
+        "id", F.concat(F.lit("n"), "id").alias("name"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") * 1.5).alias("x"))
+    prepared = models.prepare(rows, "id", "y")
+    assert len(prepared.names) == n + 1 and {"x", "name_n0", f"name_n{n - 1}"} <= set(prepared.names)
+    hot = prepared.train.select(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, v: a + (v == 1.0).cast("double")).alias("k"))
+    if n == 1_500:
+        assert prepared.train.count() == n and hot.where("k < 1").count() == 0
+        segments, _ = clustering.fit_segments(rows, "id", ["x", "name"], 2)
+        assert segments.count() == n and len(prep.fit_segment_features(rows, ["x", "name"]).categories["name"]) == n
 
 
 def test_feature_names_must_match(spark):

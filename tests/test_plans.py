@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from ebbtide.operators import cohort, metrics, prep, profile, segments
+from ebbtide.plans import fixtures
 from ebbtide.plans.registry import base, planted
 from ebbtide.sources import tables
 
@@ -41,7 +42,7 @@ def test_star_join_scans(spark):
 
 def test_reports_read_their_columns_only(spark):
     rows = base(spark, FOLDER)
-    text = plan(segments.segment_summary(tables.fixed_segments(rows), "segment", "churned"))
+    text = plan(segments.segment_summary(fixtures.fixed_segments(rows), "segment", "churned"))
     assert "ReadSchema: struct<raw_balance:double,churned:int>" in text
     text = plan(profile.category_by_target(rows, "contract_type", "churn"))
     assert "ReadSchema: struct<contract_type:string,churn:string>" in text

@@ -1,12 +1,13 @@
 """Small frames with known answers."""
 
 import math
+import statistics
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from ebbtide.functions import roles
+from ebbtide.functions import ranking, roles
 from ebbtide.functions.shaping import long_numbers
 from ebbtide.operators import cohort, label, metrics, prep, profile, quantiles, roi, rules, segments
 from ebbtide.sources import csv
@@ -141,11 +142,10 @@ def test_null_safe_duplicates(spark):
     assert profile.duplicate_rows(df).first()["duplicates"] == 2
 
 
-@pytest.mark.parametrize("limit", [0, 1, 1000])
-def test_duplicates_whichever_way(spark, limit):
+def test_duplicates_of_mixed_columns(spark):
     rows = [(i % 7, None if i % 5 == 0 else f"v{i % 5}", -0.0 if i % 2 else 0.0) for i in range(200)]
     df = frame(spark, rows, "a int, b string, c double")
-    assert profile.duplicate_rows(df, broadcast_rows=limit).first()["duplicates"] == 200 - 35
+    assert profile.duplicate_rows(df).first()["duplicates"] == 200 - 35
 
 
 def test_empty_table(spark):
@@ -172,18 +172,28 @@ def test_histogram_of_a_constant(spark):
     assert [(r["bin"], r["n"]) for r in row] == [(0, 3)]
 
 
-def test_correlation_of_wide_tables(spark):
-    rows = [(float(i), float(i * i % 17), 2.0, None if i % 5 == 0 else float(-i)) for i in range(60)]
-    df = frame(spark, rows, "a double, b double, flat double, d double")
-    narrow = {(r[0], r[1]): r[2] for r in profile.correlation_matrix(df).collect()}
-    wide = {(r[0], r[1]): r[2] for r in profile.correlation_matrix(df, wide=2).collect()}
-    assert narrow.keys() == wide.keys() and len(narrow) == 16
-    for pair, value in narrow.items():
-        if "flat" not in pair:
-            assert wide[pair] == pytest.approx(value, abs=1e-9)
+def test_correlation_with_gaps_and_constants(spark):
+    rows = [(float(i), float(i * i % 17), 2.0, None if i % 5 == 0 else float(-i), 1e9 + i % 3,
+             float("nan") if i > 3 else 7.0, None) for i in range(60)]
+    df = frame(spark, rows, "a double, b double, flat double, d double, far double, e double, none double").repartition(4)
+    found = {(r[0], r[1]): r[2] for r in profile.correlation_matrix(df).collect()}
+    assert len(found) == 49
+    columns = dict(zip(df.columns, zip(*rows)))
+    for (x, y), value in found.items():
+        both = [(p, q) for p, q in zip(columns[x], columns[y]) if None not in (p, q) and p == p and q == q]
+        if len({p for p, _ in both}) < 2 or len({q for _, q in both}) < 2:
+            assert value is None, (x, y)
         else:
-            assert wide[pair] is None and value is None
-    assert narrow["a", "d"] == pytest.approx(-1)
+            assert value == pytest.approx(statistics.correlation(*zip(*both)), abs=1e-6), (x, y)
+    assert found["a", "d"] == pytest.approx(-1)
+    single = {r["column"]: r["correlation"] for r in profile.correlation_with(df, ["b", "flat", "d"], "a").collect()}
+    assert single["flat"] is None and all(single[c] == pytest.approx(found[c, "a"], abs=1e-9) for c in "bd")
+
+
+def test_profile_of_an_empty_table(spark):
+    rows = profile.column_profile(frame(spark, [], "a int, b string, c double, d double")).collect()
+    assert sorted((r["column"], r["missing"], r["missing_pct"], r["distinct_values"]) for r in rows) == [
+        (c, 0, None, 0) for c in "abcd"]
 
 
 def test_text_profile(spark):
@@ -203,29 +213,42 @@ def linear(values, q):
     return values[low] + (values[high] - values[low]) * (at - low)
 
 
-@pytest.mark.parametrize("window_rows,accuracy", [(10**6, 10_000), (200, 100), (20, 50), (1, 20)])
-def test_quantiles_by_narrowing(spark, window_rows, accuracy):
+def test_quantiles_by_ranges(spark):
     data = {
         "even": [float(i) for i in range(1000)],
         "skewed": [0.0] * 700 + [float(i * i) for i in range(500)],
         "constant": [4.0] * 300,
         "tiny": [1.0, 2.0, 3.0, 10.0],
         "negative": [(-1.0) ** i * i / 7 for i in range(801)],
+        None: [float(i % 13) for i in range(100)],
     }
-    long = frame(spark, [(k, v) for k, vs in data.items() for v in vs] + [("tiny", None)], "column string, value double")
+    rows = [(k, v) for k, vs in data.items() for v in vs] + [("tiny", None), ("nothing", None)]
+    long = frame(spark, rows, "column string, value double")
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    found = quantiles.exact_quantiles(long.repartition(8), probabilities, window_rows=window_rows, accuracy=accuracy)
-    got = {(r["column"], r["q"]): r["value"] for r in found.collect()}
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps all ranges apart
+    try:
+        got = {(r["column"], r["q"]): r["value"] for r in quantiles.exact_quantiles(long.repartition(8), probabilities).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
     assert len(got) == len(data) * len(probabilities)
     for (k, q), value in got.items():
         assert value == pytest.approx(linear(data[k], q), abs=1e-9), (k, q)
 
 
-def test_quantiles_refuse_unbounded_groups(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "MAX_KEYS", 5)
-    long = spark.range(20).select(F.col("id").cast("string").alias("column"), F.lit(1.0).alias("value"))
-    with pytest.raises(ValueError):
-        quantiles.exact_quantiles(long, [0.5])
+def test_quantiles_of_many_groups(spark):
+    long = spark.range(60_000).selectExpr("string(id % 20000) as column", "double(id) as value")
+    rows = quantiles.exact_quantiles(long, [0.5]).collect()
+    assert len(rows) == 20_000 and all(r["value"] == int(r["column"]) + 20_000 for r in rows)
+
+
+def test_running_totals(spark):
+    rows = [("a" if i % 3 else None, i, i % 7) for i in range(500)]
+    df = frame(spark, rows, "g string, t int, w int").repartition(6)
+    found = {r["t"]: r["before"] for r in ranking.running_total(df, ["g"], ["t"], F.col("w")).collect()}
+    assert len(found) == 500
+    for g, t, _ in rows:
+        assert found[t] == sum(w for h, u, w in rows if h == g and u < t)
 
 
 def test_even_median(spark):
@@ -263,6 +286,27 @@ def test_exact_quota(spark, size):
     assert abs(counts[1, "test"] - tests * 335 / 1003) < 1
 
 
+def test_rows_without_a_class_have_no_split(spark):
+    df = frame(spark, [(i, None if i % 4 == 0 else i % 2) for i in range(80)], "id long, y int")
+    rows = prep.stratified_split(df, "id", "y").collect()
+    assert len(rows) == 80 and all((r["split"] is None) == (r["y"] is None) for r in rows)
+    assert sum(r["split"] == "test" for r in rows) == 15
+
+
+def test_many_classes_share_the_quota(spark):
+    df = spark.range(3000).selectExpr("id", "concat('c', id % 700) as y")
+    found = {r["split"]: r["count"] for r in prep.stratified_split(df, "id", "y").groupBy("split").count().collect()}
+    assert found == {"test": 750, "train": 2250}
+
+
+def test_nan_is_no_score(spark):
+    df = frame(spark, [(1, 0.9), (0, 0.1), (1, float("nan")), (0, None)], "y int, s double")
+    row = metrics.classification_metrics(df, "y", "s").first()
+    assert (row["accuracy"], row["roc_auc"]) == (1.0, 1.0)
+    assert metrics.high_risk_customers(df, "s").count() == 1
+    assert [r["prediction"] for r in metrics.threshold_prediction(df, "s").collect()] == ["Churned", "Not Churned", None, None]
+
+
 def test_split_with_equal_hashes(spark, monkeypatch):
     monkeypatch.setattr(prep, "wide_hash", lambda key, salt: F.lit(1.0))
     df = spark.range(100).select("id", (F.col("id") % 2).cast("int").alias("y"))
@@ -332,7 +376,8 @@ def test_actions_need_all_words_in_one_feature(spark):
     table = frame(spark, [("monthly_x", 0.5), ("charge_y", 0.4)], "feature string, importance double")
     assert not any(r["specific"] for r in rules.recommended_actions(table).collect())
     table = frame(spark, [("MonthlyCharges", 0.5)], "feature string, importance double")
-    assert [r["position"] for r in rules.recommended_actions(table).collect() if r["specific"]] == [3]
+    found = [r for r in rules.recommended_actions(table).collect() if r["specific"]]
+    assert [(r["rule"], r["keywords"], r["feature"], r["rank"]) for r in found] == [(3, "monthly charge", "MonthlyCharges", 1)]
 
 
 def test_return_by_hand(spark):
@@ -377,6 +422,22 @@ def test_malformed_lines_are_reported(spark, tmp_path):
     path.write_text("a,churn\n1,Yes\n2,No,extra\n")
     checks = {r["check"]: (r["passed"], r["detail"]) for r in csv.ingest_csv(spark, str(path))[1].collect()}
     assert checks["well_formed"] == (False, "1 malformed lines")
+    rows = csv.ingest_csv(spark, str(path))[0]
+    assert rows.count() == 1 and [tuple(r) for r in rows.collect()] == [(1, "Yes")]
+    assert [r["line"] for r in csv.bad_lines(spark, str(path)).collect()] == ["2,No,extra"]
+    with pytest.raises(ValueError, match="1 malformed"):
+        csv.read_csv(spark, str(path))
+
+
+def test_columns_are_matched_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,plan,churn\n1,x,Yes\n2,y,No\n")
+    (tmp_path / "b.csv").write_text("plan,churn,id\nz,No,3\nshort\n")
+    rows, checks = csv.ingest_csv(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in rows.select("id", "plan", "churn").collect()) == [(1, "x", "Yes"), (2, "y", "No"), (3, "z", "No")]
+    assert [r["line"] for r in csv.bad_lines(spark, str(tmp_path)).collect()] == ["short"]
+    (tmp_path / "c.csv").write_text("id,other\n4,w\n")
+    with pytest.raises(ValueError, match="differ"):
+        csv.ingest_csv(spark, str(tmp_path))
 
 
 def test_pinned_types(spark, tmp_path):
