@@ -6,7 +6,9 @@ signature values become bucket keys; the number of bands follows from the thresh
 allowed. Equal sets are one representative from the start. Inside a bucket every member is held against the bucket's
 smallest one, on full sets, and confirmed links are joined to components. Members of a bucket that are then still in
 different components are held against each other, so every pair that shares a bucket is either confirmed, refuted, or
-already connected. No bucket is cut and no member is left out.
+already connected. No bucket is cut and no member is left out. Before full sets are compared, one bit per minimum and
+maximum of further permutations estimates the similarity; a pair goes on unless its estimate lies so far below the
+threshold that chance explains it less than once in millions.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from ebbtide.llm.common import map_rows
 from ebbtide.session import stage
 
 WORDS, SIMILAR = 5, 80
-ROWS = 6
+ROWS = 7
 MISS = 1e-6
+SKETCH_WORDS = 32  # 64 bits each, from half as many permutations
+SPREAD = 5.5  # standard deviations below the expected agreement that a pair at the threshold may have
 BLOCK = 4096  # shingles hashed at a time
 
 
@@ -40,12 +44,7 @@ class Banding:
 
     def keys(self, shingles: np.ndarray) -> np.ndarray:
         """One bucket key per band of a non-empty set."""
-        low, high = np.full(len(self.add), np.uint64(2**64 - 1)), np.zeros(len(self.add), np.uint64)
-        for at in range(0, len(shingles), BLOCK):
-            hashed = np.multiply.outer(self.multiply, shingles[at : at + BLOCK]) + self.add[:, None]
-            np.minimum(low, hashed.min(1), out=low)
-            np.maximum(high, hashed.max(1), out=high)
-        signature = mixed(np.concatenate([low, high])).reshape(self.rows, self.bands)
+        signature = min_max(shingles, self.multiply, self.add).reshape(self.rows, self.bands)
         key = np.arange(1, self.bands + 1, dtype=np.uint64)
         for value in signature:
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + value)
@@ -64,6 +63,30 @@ def banding(similar: int, rows: int = ROWS, miss: float = MISS, seed: int = 17)
     return Banding(rng.integers(0, 2**64, n, np.uint64) | np.uint64(1), rng.integers(0, 2**64, n, np.uint64), rows, bands)
 
 
+def min_max(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """Minima, then maxima, of a non-empty set under each permutation; long sets are hashed in blocks."""
+    low, high = np.full(len(add), np.uint64(2**64 - 1)), np.zeros(len(add), np.uint64)
+    for at in range(0, len(shingles), BLOCK):
+        hashed = np.multiply.outer(multiply, shingles[at : at + BLOCK]) + add[:, None]
+        np.minimum(low, hashed.min(1), out=low)
+        np.maximum(high, hashed.max(1), out=high)
+    return mixed(np.concatenate([low, high]))
+
+
+def sketch(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """The lowest bits of ``min_max`` in 64-bit words."""
+    bits = (min_max(shingles, multiply, add) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
+def _sketch_fits(x: str, y: str, similar: int) -> Column:
+    """Bits agree with probability (1 + similarity) / 2."""
+    bits, share = 64 * SKETCH_WORDS, (1 + similar / 100) / 2
+    least = bits * share - SPREAD * math.sqrt(bits * share * (1 - share))
+    differ = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0))
+    return differ <= math.floor(bits - least)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Scatter the bits of unsigned 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -106,14 +129,25 @@ def _sketches(rows: DataFrame, words: int, scheme: Banding) -> DataFrame:
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Stage table (id, shingles) of the wanted ids; repeated rows of an id count once."""
+    """Stage table (id, sketch, shingles) of the wanted ids, which have non-empty sets."""
     kind = rows.schema["id"].dataType.simpleString()
+    rng = np.random.default_rng(23)
+    multiply, add = (rng.integers(0, 2**64, 32 * SKETCH_WORDS, np.uint64) for _ in range(2))
+    multiply |= np.uint64(1)
 
     def run(slices):
         for part in slices:
-            yield {"id": part["id"], "shingles": [shingle_set(t, words).view(np.int64) for t in part["text"]]}
+            out = {"id": [], "sketch": [], "shingles": []}
+            for node, text in zip(part["id"], part["text"]):
+                shingles = shingle_set(text, words)
+                if len(shingles):
+                    out["id"].append(node)
+                    out["sketch"].append(sketch(shingles, multiply, add))
+                    out["shingles"].append(shingles.view(np.int64))
+            yield out
 
-    return stage(map_rows(rows.join(wanted, "id", "left_semi"), run, f"id {kind}, shingles array<long>"), "sets")
+    schema = f"id {kind}, sketch array<long>, shingles array<long>"
+    return stage(map_rows(rows.join(wanted, "id", "left_semi"), run, schema), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -165,16 +199,16 @@ def near_classes(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, id
     classes = stage(named.groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
     same = classes.withColumnRenamed("rep", "id")
     reps = named.join(same, ["set_key", "id"], "left_semi")
-    members = reps.select("id", "n", F.explode("bands").alias("key"))
+    members = reps.select("id", F.explode("bands").alias("key"))
     crowded = members.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     crowded = crowded.where("first <> last").select("key", F.col("first").alias("pivot"))
     shared = stage(members.join(crowded, "key"), "buckets")
-    sizes = shared.groupBy("id").agg(F.max("n").alias("n"))
-    nodes = stage(sizes, "nodes")
-    sets = _sets(texts, nodes.select("id"), words)
-    stars = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "n").distinct()
-    first = nodes.select(F.col("id").alias("a"), F.col("n").alias("m"))
-    stars = stars.join(first, "a").where(_size_fits(F.col("n"), F.col("m"), similar)).select("a", "b")
+    sets = _sets(texts, shared.select("id").distinct(), words)
+    outline = sets.select("id", "sketch", F.size("shingles").alias("size"))
+    stars = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stars.join(outline.select(F.col("id").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("m")), "b")
+    stars = stars.join(outline.select(F.col("id").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("n")), "a")
+    stars = stars.where(_size_fits(F.col("n"), F.col("m"), similar) & _sketch_fits("x", "y", similar)).select("a", "b")
     links = stage(_confirmed(stars, sets, similar), "confirmed")
     found = components(links)
 
@@ -183,9 +217,11 @@ def near_classes(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, id
     placed = stage(placed.withColumn("component", F.coalesce("component", "id")).where("id <> pivot"), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_ = placed.join(mixed_keys.where("lo <> hi").select("key"), "key", "left_semi")
-    x = open_.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = x.join(y, "key").where((F.col("ca") < F.col("cb")) & _size_fits(F.col("na"), F.col("nb"), similar))
+    open_ = open_.join(outline, "id").select("key", "id", "component", "size", "sketch")
+    x = open_.toDF("key", "a", "ca", "n", "x")
+    y = open_.toDF("key", "b", "cb", "m", "y")
+    pairs = x.join(y, "key").where(
+        (F.col("ca") < F.col("cb")) & _size_fits(F.col("n"), F.col("m"), similar) & _sketch_fits("x", "y", similar))
     pairs = pairs.select("a", "b").distinct()
     more = stage(_confirmed(pairs, sets, similar), "confirmed")
     if not more.isEmpty():
