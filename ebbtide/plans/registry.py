@@ -46,6 +46,11 @@ def shared(spark: SparkSession, folder: str, name: str, build: Callable[[], obje
     return _SHARED[slot]
 
 
+def forget() -> None:
+    """Build shared results anew from now on."""
+    _SHARED.clear()
+
+
 def base(spark: SparkSession, folder: str) -> DataFrame:
     """Stage table of customers with the label normalised once, at ingest."""
     return shared(

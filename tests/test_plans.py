@@ -1,5 +1,7 @@
 """What the physical plans must and must not contain."""
 
+import glob
+import os
 import re
 
 import pytest
@@ -88,15 +90,49 @@ def test_global_numbers_are_read_once(spark):
     assert scans(text) <= 2  # the ends, then the bins
 
 
-def test_stage_folder_is_the_cluster_folder(spark):
+def test_stage_folder_is_the_shared_folder(spark):
     from ebbtide.session import stage_root
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        assert stage_root(spark).startswith(root.rstrip("/"))
+    assert stage_root(spark).startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
     assert spark.sparkContext.applicationId in stage_root(spark)
 
 
+def test_nothing_uses_local_scratch_folders():
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    for path in glob.glob(f"{root}/ebbtide/**/*.py", recursive=True):
+        with open(path) as source:
+            text = source.read()
+        assert "tempfile" not in text and "localCheckpoint" not in text and ".cache()" not in text, path
+
+
+def test_changed_files_give_changed_answers(spark, tmp_path):
+    folder = str(tmp_path / "tables")
+    for name in ("customer", "nation", "region", "orders", "events"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    before = base(spark, folder).count()
+    assert base(spark, folder).count() == before
+    fewer = spark.read.parquet(f"{FOLDER}/customer.parquet").where("c_custkey <= 20")
+    fewer.write.mode("overwrite").parquet(f"{folder}/customer.parquet")
+    assert 0 < base(spark, folder).count() <= 20 < before
+
+
+@pytest.mark.parametrize("n", [8, 50])
+def test_correlation_reads_twice_whatever_the_width(spark, tmp_path, n):
+    cells = [F.when(F.pmod(F.hash("id", F.lit(i)), 5) > 0, F.rand(i)).alias(f"c{i}") for i in range(n)]
+    spark.range(400).select(*cells).write.parquet(str(tmp_path / "wide"))
+    found = profile.correlation_matrix(spark.read.parquet(str(tmp_path / "wide")))
+    rows = found.collect()
+    assert len(rows) == n * n and scans(plan(found)) == 1  # beside the pass for means
+
+
+def test_quantiles_read_their_source_once(spark):
+    from ebbtide.operators.quantiles import exact_quantiles
+
+    found = exact_quantiles(base(spark, FOLDER).selectExpr("region as column", "double(tenure_days) as value"), [0.5])
+    text = plan(found)
+    assert all("customers-" not in line for line in text.splitlines() if "FileScan" in line)  # only counted values
+
+
 def test_rows_survive_the_sink(spark, tmp_path):
     rows = base(spark, FOLDER).select("customer_id", "churn", F.col("signup_date"))
     tables.write_parquet(rows, str(tmp_path / "out"), partition_by=["churn"])
