@@ -55,3 +55,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(staged: DataFrame) -> None:
+    """Delete the folder of a stage table that nothing will read again."""
+    spark = staged.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        if f"/ebbtide/{spark.sparkContext.applicationId}/" not in folder:
+            raise ValueError(f"{folder} is not a stage table")
+        _delete(spark, folder)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete all stage tables of this application, at its end."""
+    _delete(spark, stage_root(spark))

@@ -6,7 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from ebbtide.session import build_session  # noqa: E402
+from ebbtide.session import build_session, clear_stages  # noqa: E402
 
 TEST_DATA = "/root/testdata"
 
@@ -19,4 +19,5 @@ def spark(tmp_path_factory):
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_stages(session)
     session.stop()
