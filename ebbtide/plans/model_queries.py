@@ -12,6 +12,7 @@ from ebbtide.operators import explain, metrics, models, prep, profile
 from ebbtide.plans.registry import BASE, PLANTED, base, customers, planted, query, rounded, shared
 from ebbtide.plans.table_queries import MEASURES
 from ebbtide.session import stage
+from ebbtide.sources.tables import read_table
 
 KEY = "customer_id"
 NOT_FEATURES = ("z", "score", "split")
@@ -132,6 +133,25 @@ def feature_names(spark, folder):
     return spark.createDataFrame(list(enumerate(names)), "position int, feature string")
 
 
+@query("feature_names_wide", """WITH n AS (SELECT 0 AS block, 'c_acctbal' AS feature
+  UNION ALL SELECT DISTINCT 1, 'c_mktsegment_' || c_mktsegment FROM customer
+  UNION ALL SELECT DISTINCT 2, 'c_name_' || c_name FROM customer)
+SELECT CAST(row_number() OVER (ORDER BY block, feature) - 1 AS INTEGER) AS position, feature FROM n""")
+def feature_names_wide(spark, folder):
+    """A text column with a category per customer is encoded like any other."""
+    rows = read_table(spark, folder, "customer", ["c_custkey", "c_acctbal", "c_mktsegment", "c_name"])
+    names = prep.feature_names(prep.fit_features(rows, exclude=("c_custkey",)).pipeline(rows).transform(rows))
+    return spark.createDataFrame(list(enumerate(names)), "position int, feature string")
+
+
+@query("onehot_orders", """SELECT o_orderkey, 'customer_' || o_custkey AS feature, CAST(1 AS DOUBLE) AS value FROM orders
+UNION ALL SELECT o_orderkey, 'o_orderpriority_' || o_orderpriority, 1 FROM orders""")
+def onehot_orders(spark, folder):
+    rows = read_table(spark, folder, "orders", ["o_orderkey", "o_custkey", "o_orderpriority"])
+    rows = rows.withColumn("customer", F.col("o_custkey").cast("string"))
+    return prep.onehot(rows, "o_orderkey", ["customer", "o_orderpriority"])
+
+
 @query("stratified_split", f"WITH {PLANTED} SELECT customer_id, churn, split FROM planted")
 def stratified_split(spark, folder):
     return prep.hash_split(planted(spark, folder).select(KEY, "churn"), KEY)

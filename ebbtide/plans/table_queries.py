@@ -329,6 +329,18 @@ def correlation_matrix_lineitem(spark, folder):
     return rounded(profile.correlation_matrix(lines, LINE_NUMBERS), 6, "correlation")
 
 
+_GAPPED = [f"{c}_{i}" for c in LINE_NUMBERS[3:] for i in (2, 3, 7)]
+_GAPS = ", ".join(f"CASE WHEN l_orderkey % {c[-1]} <> 1 THEN CAST({c[:-2]} AS DOUBLE) END AS {c}" for c in _GAPPED)
+
+
+@query("correlation_matrix_gapped", f"WITH gapped AS (SELECT {_GAPS} FROM lineitem) " + _correlation_sql("gapped", _GAPPED))
+def correlation_matrix_gapped(spark, folder):
+    """Fifteen columns, each with its own gaps."""
+    rows = tables.read_table(spark, folder, "lineitem", LINE_NUMBERS)
+    cells = [F.when(F.col("l_orderkey") % int(c[-1]) != 1, F.col(c[:-2])).alias(c) for c in _GAPPED]
+    return rounded(profile.correlation_matrix(rows.select(*cells), _GAPPED), 6, "correlation")
+
+
 @query("preview", f"WITH {BASE} SELECT {', '.join(COLUMNS)} FROM base ORDER BY customer_id LIMIT 10")
 def preview(spark, folder):
     return profile.preview(customers(spark, folder), "customer_id")
