@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from ebbtide.functions import roles
 from ebbtide.functions.shaping import fan_out, named, number_cells, present, text_cells, unfold
 from ebbtide.operators.quantiles import column_quantiles, quantiles_of, value_runs
+from ebbtide.session import stage
 
 # Sizes of the report.
 MIN_ROWS = 10
@@ -242,7 +243,7 @@ def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     """
     long = df.select(F.col(by).cast("string").alias("group"), present(df, column).cast("double").alias("value"))
     long = long.where(F.col("group").isNotNull() & F.col("value").isNotNull())
-    runs = value_runs(long, key="group")
+    runs = stage(value_runs(long, key="group"), "runs")  # read for the quartiles, then for the whiskers
     quartiles = quartile_columns(quantiles_of(runs, QUARTILES, key="group"), "group")
     reach = WHISKER * (F.col("q75") - F.col("q25"))
     fenced = quartiles.withColumn("low_fence", F.col("q25") - reach).withColumn("high_fence", F.col("q75") + reach)

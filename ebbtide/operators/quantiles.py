@@ -22,7 +22,7 @@ def value_runs(long: DataFrame, key: str = "column", value: str = "value") -> Da
     """
     present = long.select(key, F.col(value).alias("value")).where(F.col("value").isNotNull())
     counted = stage(present.groupBy(key, "value").agg(F.count(F.lit(1)).alias("n")), "counted")
-    runs = stage(running_total(counted, [key], ["value"], F.col("n")), "runs")
+    runs = running_total(counted, [key], ["value"], F.col("n"))
     totals = counted.groupBy(F.col(key).alias("_key")).agg(F.sum("n").alias("total"))
     return runs.join(totals, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
