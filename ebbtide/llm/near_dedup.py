@@ -217,11 +217,14 @@ def near_classes(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, id
     placed = stage(placed.withColumn("component", F.coalesce("component", "id")).where("id <> pivot"), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_ = placed.join(mixed_keys.where("lo <> hi").select("key"), "key", "left_semi")
-    open_ = open_.join(outline, "id").select("key", "id", "component", "size", "sketch")
-    x = open_.toDF("key", "a", "ca", "n", "x")
-    y = open_.toDF("key", "b", "cb", "m", "y")
+    # every pair once, in the first bucket that both are in; an id has as many buckets as there are bands
+    own = open_.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    open_ = open_.join(outline, "id").join(own, "id").select("key", "id", "component", "size", "sketch", "keys")
+    x = open_.toDF("key", "a", "ca", "n", "x", "p")
+    y = open_.toDF("key", "b", "cb", "m", "y", "q")
     pairs = x.join(y, "key").where(
-        (F.col("ca") < F.col("cb")) & _size_fits(F.col("n"), F.col("m"), similar) & _sketch_fits("x", "y", similar))
+        (F.col("ca") < F.col("cb")) & _size_fits(F.col("n"), F.col("m"), similar) & _sketch_fits("x", "y", similar)
+        & (F.array_min(F.array_intersect("p", "q")) == F.col("key")))
     pairs = pairs.select("a", "b").distinct()
     more = stage(_confirmed(pairs, sets, similar), "confirmed")
     if not more.isEmpty():
