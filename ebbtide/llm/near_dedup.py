@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import map_rows
-from ebbtide.session import stage
+from ebbtide.session import release, stage
 
 WORDS, SIMILAR = 5, 80
 ROWS = 7
@@ -178,9 +178,12 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
         new = stage(hop.join(jump, "component", "left").select(
             "node", "old", F.least("component", "next").alias("component")), "labels")
-        if new.where("component <> old").isEmpty():
-            return new.select("node", "component")
+        settled = new.where("component <> old").isEmpty()
+        release(labels)
         labels = new.select("node", "component")
+        if settled:
+            release(both)
+            return labels
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, id_col: str = "doc_id",
@@ -189,8 +192,8 @@ def near_classes(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, id
 
     Two documents are linked when 100 * |intersection| >= similar * |union| of their sets of ``words``-word shingles;
     a component has its smallest id as name, and that document is kept. NULL, empty and blank texts have no shingles
-    and are alone. Repeated rows of one id and text are in one component and each says kept; rows of one id with
-    different texts stand for one document that has the links of all of them. A NULL id is never linked, its
+    and are alone. Repeated rows of one id and text are in one component and each says the same; rows of one id with
+    different texts are each classed by their own text. A NULL id is never linked, its
     component is NULL and it is kept. An empty table gives an empty one. Other columns are not read.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -242,7 +245,7 @@ def near_classes(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, id
 
 def drop_near(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, id_col: str = "doc_id",
               text_col: str = "text", rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """Rows of ``docs`` whose document is kept; odd cases as in ``near_classes``."""
+    """Rows of ``docs`` whose document is kept; an id goes if none of its rows is kept. Odd cases as in ``near_classes``."""
     classes = near_classes(docs, words, similar, id_col, text_col, rows, miss)
-    dropped = classes.where(~F.col("kept")).select(F.col(id_col).alias("_dropped")).distinct()
+    dropped = classes.groupBy(F.col(id_col).alias("_dropped")).agg(F.max("kept").alias("kept")).where(~F.col("kept"))
     return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")

@@ -77,6 +77,14 @@ def test_near_odd_rows(odd, nothing):
     assert near_dedup.near_classes(nothing).count() == 0 == near_dedup.drop_near(nothing).count()
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    plain, other = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    docs = spark.createDataFrame([(1, plain), (5, plain), (5, other), (6, plain)], "doc_id long, text string")
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_classes(docs).collect()}
+    assert found == {(1, 1, True), (5, 1, False), (5, 5, True), (6, 1, False)}
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near(docs).collect()) == [1, 5, 5]
+
+
 @pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
 def test_signature_values_agree_as_often_as_sets_overlap(share):
     rng = np.random.default_rng(3)
