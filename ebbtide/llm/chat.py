@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions.ranking import running_total
-from ebbtide.session import stage
+from ebbtide.session import release, stage
 
 PREFIX = r"^(?:[ \t]*>)+"
 
@@ -74,14 +74,19 @@ def threads(links: DataFrame, scope: str, order: str) -> DataFrame:
     state = stage(links.select(
         scope, order, F.col("parent").alias("up"), F.coalesce("parent", order).alias("thread"),
         F.col("parent").isNotNull().cast("long").alias("depth")), "threads")
+    columns = [scope, order, "up", "thread", "depth"]
     while not state.where("up is not null").isEmpty():
         above = state.select(
             F.col(scope).alias("_scope"), F.col(order).alias("_at"), F.col("up").alias("_up"),
             F.col("thread").alias("_thread"), F.col("depth").alias("_depth"))
-        met = state.join(above, (F.col(scope) == F.col("_scope")) & (F.col("up") == F.col("_at")), "left")
-        state = stage(met.select(
+        climbing = state.where("up is not null")  # whoever sees the root already is not joined again
+        met = climbing.join(above, (F.col(scope) == F.col("_scope")) & (F.col("up") == F.col("_at")), "left")
+        met = met.select(
             scope, order, F.col("_up").alias("up"), F.coalesce("_thread", "thread").alias("thread"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "threads")
+            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))
+        further = stage(met.unionByName(state.where("up is null").select(*columns)), "threads")
+        release(state)
+        state = further
     return state.drop("up")
 
 
