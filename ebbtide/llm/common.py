@@ -65,6 +65,18 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[dict]], Iterator[dict]]
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_col: str, wanted: Callable[[list], list[bool]], slice_rows: int = 512) -> DataFrame:
+    """Rows of ``df`` whose text ``wanted`` accepts; it gets the texts of one slice at a time."""
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for start in range(0, batch.num_rows, slice_rows):
+                piece = batch.slice(start, slice_rows)
+                yield piece.filter(pa.array(wanted(piece.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

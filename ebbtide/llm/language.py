@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import hash_share, held_out, learnable, map_rows
+from ebbtide.llm.common import hash_share, held_out, keep_rows, learnable, map_rows
 
 LEARN_ROWS = 3_000  # texts per language that the counts may see, in expectation; drawn by a hash of the id
 UNKNOWN = "und"
@@ -91,6 +91,12 @@ def build_trees(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]
     return ContextTrees(list(languages), lookup, size, bits)
 
 
+def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of two (sorted distinct keys, counts)."""
+    key, place = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    return key, np.bincount(place, np.concatenate([a[1], b[1]])).astype(np.int64)
+
+
 def learn(docs: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang") -> ContextTrees:
     """Trees of every language met on learnable rows; beyond ``rows`` texts a hash of the id draws that many.
@@ -107,17 +113,14 @@ def learn(docs: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_
         share = F.when(F.col("lang") == lang, min(1.0, rows / n)).otherwise(share)
 
     def count(slices):
-        tally: dict[str, np.ndarray] = {}
+        tally: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for part in slices:
             for lang, text in zip(part["lang"], part["text"]):
                 c = codes(text).astype(np.int64)
-                key, n = np.unique((c[:-2] * BASE + c[1:-1]) * BASE + c[2:], return_counts=True)
-                if lang not in tally:
-                    tally[lang] = np.zeros(BASE**3, np.int32)
-                tally[lang][key] += n.astype(np.int32)
-        for lang, n in tally.items():
-            key = np.flatnonzero(n)
-            yield {"lang": [lang] * len(key), "key": key, "n": n[key]}
+                found = np.unique((c[:-2] * BASE + c[1:-1]) * BASE + c[2:], return_counts=True)
+                tally[lang] = _added(tally[lang], found) if lang in tally else found
+        for lang, (key, n) in tally.items():
+            yield {"lang": [lang] * len(key), "key": key, "n": n}
 
     drawn = known.where(hash_share("id", 5) < share).select("lang", "text")
     grams = map_rows(drawn, count, "lang string, key int, n int").groupBy("lang", "key").agg(F.sum("n").alias("n"))
@@ -176,12 +179,8 @@ def keep_identified(docs: DataFrame, trees: ContextTrees | None = None, least: f
     trees = trees or learn(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            lang, score = predict_texts(model.value, texts)
-            yield batch.filter(pa.array([l != UNKNOWN and s >= least for l, s in zip(lang, score)], pa.bool_()))
+    def wanted(texts):
+        lang, score = predict_texts(model.value, texts)
+        return [known != UNKNOWN and share >= least for known, share in zip(lang, score)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, text_col, wanted)

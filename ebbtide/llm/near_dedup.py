@@ -30,7 +30,7 @@ ROWS = 7
 MISS = 1e-6
 SKETCH_WORDS = 32  # 64 bits each, from half as many permutations
 SPREAD = 5.5  # standard deviations below the expected agreement that a pair at the threshold may have
-BLOCK = 4096  # shingles hashed at a time
+CELLS = 1 << 18  # hashes held at a time
 
 
 @dataclass(frozen=True)
@@ -66,8 +66,9 @@ def banding(similar: int, rows: int = ROWS, miss: float = MISS, seed: int = 17)
 def min_max(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
     """Minima, then maxima, of a non-empty set under each permutation; long sets are hashed in blocks."""
     low, high = np.full(len(add), np.uint64(2**64 - 1)), np.zeros(len(add), np.uint64)
-    for at in range(0, len(shingles), BLOCK):
-        hashed = np.multiply.outer(multiply, shingles[at : at + BLOCK]) + add[:, None]
+    block = max(1, CELLS // len(add))
+    for at in range(0, len(shingles), block):
+        hashed = np.multiply.outer(multiply, shingles[at : at + block]) + add[:, None]
         np.minimum(low, hashed.min(1), out=low)
         np.maximum(high, hashed.max(1), out=high)
     return mixed(np.concatenate([low, high]))
