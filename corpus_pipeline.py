@@ -15,7 +15,7 @@ from ebbtide.session import stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those no language claims with a share of one half."""
+    """Drops texts without letters, those no language claims with a share of one half, and those that fit it badly."""
     return language.keep_identified(docs)
 
 

@@ -22,6 +22,11 @@ LEARN_ROWS = 3_000  # texts per language that the counts may see, in expectation
 UNKNOWN = "und"
 START, BASE = 256, 257  # code of the places before the first byte; number of codes
 CHUNK = 1 << 22
+SIZES = 2 ** np.arange(2, 13)  # bytes of the stretches that limits are learnt on
+STRETCHES = 8  # of one size from the start of a text
+LEAST_STRETCHES = 20
+SPREAD = 5.0
+BINS = 32  # per bit, of the histograms that limits are read from
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -52,6 +57,11 @@ class ContextTrees:
     size: int
     bits: np.ndarray
 
+    def byte_bits(self, text: str, language: int, most: int) -> np.ndarray:
+        """Bits of each of the first ``most`` bytes of a text under one language."""
+        c = self.lookup[codes(text)[: most + 2]]
+        return self.bits[(c[:-2] * self.size + c[1:-1]) * self.size + c[2:], language].astype(np.float64)
+
     def code_lengths(self, texts: list[str]) -> np.ndarray:
         """Bits of every text under every language, over the whole text."""
         total = np.zeros((len(texts), len(self.languages)))
@@ -97,42 +107,110 @@ def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -
     return key, np.bincount(place, np.concatenate([a[1], b[1]])).astype(np.int64)
 
 
-def learn(docs: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str = "lang") -> ContextTrees:
-    """Trees of every language met on learnable rows; beyond ``rows`` texts a hash of the id draws that many.
+def _tally(docs: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str):
+    """(drawn texts with their fold, sorted languages, counts of three bytes by (lang, fold)); None without rows.
 
-    Returns no languages if no row can be learnt from.
+    The fold is a bit of a hash of the text, so copies of a text share one.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(learnable("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = sorted((r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
     if not sizes:
-        return ContextTrees([], np.zeros(BASE, np.int32), 1, np.zeros((1, 0), np.float32))
+        return None
     share = F.lit(0.0)
     for lang, n in sizes:
         share = F.when(F.col("lang") == lang, min(1.0, rows / n)).otherwise(share)
 
     def count(slices):
-        tally: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        tally: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
         for part in slices:
-            for lang, text in zip(part["lang"], part["text"]):
+            for lang, fold, text in zip(part["lang"], part["fold"], part["text"]):
                 c = codes(text).astype(np.int64)
                 found = np.unique((c[:-2] * BASE + c[1:-1]) * BASE + c[2:], return_counts=True)
-                tally[lang] = _added(tally[lang], found) if lang in tally else found
-        for lang, (key, n) in tally.items():
-            yield {"lang": [lang] * len(key), "key": key, "n": n}
-
-    drawn = known.where(hash_share("id", 5) < share).select("lang", "text")
-    grams = map_rows(drawn, count, "lang string, key int, n int").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    found = grams.toPandas()  # at most 257 ** 3 rows per language, and no more than the drawn texts have bytes
-    languages = [lang for lang, _ in sizes]
-    by = {lang: g for lang, g in found.groupby("lang")}
-    empty = found.iloc[:0]
+                at = lang, fold
+                tally[at] = _added(tally[at], found) if at in tally else found
+        for (lang, fold), (key, n) in tally.items():
+            yield {"lang": [lang] * len(key), "fold": [fold] * len(key), "key": key, "n": n}
+
+    fold = F.pmod(F.xxhash64(F.lit(6), "text"), F.lit(2)).cast("int").alias("fold")
+    drawn = known.where(hash_share("id", 5) < share).select("lang", fold, "text")
+    grams = map_rows(drawn, count, "lang string, fold int, key int, n int")
+    found = grams.groupBy("lang", "fold", "key").agg(F.sum("n").alias("n")).toPandas()
+    return drawn, [lang for lang, _ in sizes], found  # no more rows than the drawn texts have bytes
+
+
+def _trees(languages: list[str], found) -> ContextTrees:
+    by, empty = dict(list(found.groupby("lang"))), found.iloc[:0]
     return build_trees(languages, [
         (by.get(lang, empty)["key"].to_numpy(np.int64), by.get(lang, empty)["n"].to_numpy()) for lang in languages
     ])
 
 
+def _no_trees() -> ContextTrees:
+    return ContextTrees([], np.zeros(BASE, np.int32), 1, np.zeros((1, 0), np.float32))
+
+
+def learn(docs: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_col: str = "text",
+          lang_col: str = "lang") -> ContextTrees:
+    """Trees of every language met on learnable rows; beyond ``rows`` texts a hash of the id draws that many.
+
+    Returns no languages if no row can be learnt from.
+    """
+    tally = _tally(docs, rows, id_col, text_col, lang_col)
+    return _trees(*tally[1:]) if tally else _no_trees()
+
+
+def _limits(drawn: DataFrame, languages: list[str], found) -> dict[str, np.ndarray]:
+    """Of every language the highest bits per byte that its texts of at least each of ``SIZES`` bytes may need.
+
+    Each half of the drawn texts is coded by the trees of the other half. Among stretches of one size the limit is the
+    median and ``SPREAD`` times the way from there to the 99th percentile, but no more than the 8 bits of a byte left as
+    it is unless that percentile is. A size with fewer than ``LEAST_STRETCHES`` takes the limit of the next smaller one;
+    a language without any such size has no limit.
+    """
+    halves = [_trees(languages, found[found["fold"] != fold]) for fold in (0, 1)]
+    model = drawn.sparkSession.sparkContext.broadcast(halves)
+
+    def measure(slices):
+        place = {lang: l for l, lang in enumerate(languages)}
+        for part in slices:
+            tally: dict[tuple[str, int], np.ndarray] = {}
+            for lang, fold, text in zip(part["lang"], part["fold"], part["text"]):
+                if not has_letter(text):
+                    continue
+                sums = np.concatenate([[0.0], np.cumsum(model.value[fold].byte_bits(text, place[lang], SIZES[-1] * STRETCHES))])
+                for size in SIZES[SIZES < len(sums)]:
+                    ends = sums[::size][: STRETCHES + 1]
+                    bins = np.minimum(np.diff(ends) / size * BINS, 64 * BINS - 1).astype(np.int64)
+                    at = lang, int(size)
+                    tally[at] = tally.get(at, 0) + np.bincount(bins, minlength=64 * BINS)
+            for (lang, size), n in tally.items():
+                at = np.flatnonzero(n)
+                yield {"lang": [lang] * len(at), "size": [size] * len(at), "bin": at, "n": n[at]}
+
+    counted = map_rows(drawn, measure, "lang string, size int, bin int, n long")
+    stretches = counted.groupBy("lang", "size", "bin").agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
+    model.unpersist()
+    limits = {lang: np.full(len(SIZES), np.inf) for lang in languages}
+    for (lang, size), part in stretches.groupby(["lang", "size"]):
+        below = part["n"].cumsum().to_numpy()
+        if below[-1] >= LEAST_STRETCHES:
+            half, most = (part["bin"].to_numpy()[np.searchsorted(below, q * below[-1])] + 1 for q in (0.5, 0.99))
+            limits[lang][SIZES == size] = max(most, min(8 * BINS, half + SPREAD * (most - half))) / BINS
+    for found_limits in limits.values():
+        for i in range(1, len(SIZES)):
+            if np.isinf(found_limits[i]):
+                found_limits[i] = found_limits[i - 1]
+    return limits
+
+
+def learn_limits(docs: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_col: str = "text",
+                 lang_col: str = "lang") -> tuple[ContextTrees, dict[str, np.ndarray]]:
+    """The trees of ``learn`` and the limits that texts of each language keep to."""
+    tally = _tally(docs, rows, id_col, text_col, lang_col)
+    return (_trees(*tally[1:]), _limits(*tally)) if tally else (_no_trees(), {})
+
+
 def posteriors(bits: np.ndarray) -> np.ndarray:
     """Share of each language when all are equally likely beforehand."""
     p = np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000.0))
@@ -141,14 +219,26 @@ def posteriors(bits: np.ndarray) -> np.ndarray:
 
 def predict_texts(trees: ContextTrees, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Ties go to the first language by name; NULL and letterless texts are ``und`` with score 0."""
-    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    lang, score, _ = _predicted(trees, texts)
+    return lang, score
+
+
+def _predicted(trees: ContextTrees, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """Languages, scores, and the bits each text takes under its language."""
+    lang, score, taken = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     read = [i for i, t in enumerate(texts) if trees.languages and has_letter(t)]
     if read:
         bits = trees.code_lengths([texts[i] for i in read])
         share = posteriors(bits)
-        for i, best, p in zip(read, bits.argmin(1), share):
-            lang[i], score[i] = trees.languages[best], float(p[best])
-    return lang, score
+        for i, best, p, row in zip(read, bits.argmin(1), share, bits):
+            lang[i], score[i], taken[i] = trees.languages[best], float(p[best]), float(row[best])
+    return lang, score, taken
+
+
+def within_limits(limits: dict[str, np.ndarray], lang: str, text: str, bits: float) -> bool:
+    """Whether a text takes no more bits per byte than texts of its size in this language do."""
+    n = len(codes(text)) - 2
+    return bits <= limits[lang][max(0, int(np.searchsorted(SIZES, n, "right")) - 1)] * n
 
 
 def identify(docs: DataFrame, trees: ContextTrees | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -175,12 +265,18 @@ def identify(docs: DataFrame, trees: ContextTrees | None = None, id_col: str = "
 
 def keep_identified(docs: DataFrame, trees: ContextTrees | None = None, least: float = 0.5, id_col: str = "doc_id",
                     text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows of ``docs`` with a predicted language whose score is at least ``least``; odd cases as in ``identify``."""
-    trees = trees or learn(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    model = docs.sparkSession.sparkContext.broadcast(trees)
+    """Rows of ``docs`` with a predicted language that also fits them; odd cases as in ``identify``.
+
+    The score says which of the learnt languages is nearest, never that it is near: it must be at least ``least``, and
+    the bits per byte of the whole text must lie within the limits learnt for that language and size (``_limits``). A
+    language of ``trees`` that ``docs`` hold no learnable text of has no limit.
+    """
+    learnt, limits = learn_limits(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    model = docs.sparkSession.sparkContext.broadcast(trees or learnt)
 
     def wanted(texts):
-        lang, score = predict_texts(model.value, texts)
-        return [known != UNKNOWN and share >= least for known, share in zip(lang, score)]
+        lang, score, bits = _predicted(model.value, texts)
+        return [known != UNKNOWN and share >= least and (known not in limits or within_limits(limits, known, text, taken))
+                for known, share, text, taken in zip(lang, score, texts, bits)]
 
     return keep_rows(docs, text_col, wanted)

@@ -1,7 +1,9 @@
 """Quality, language and rules: held-out accuracy, plain versions of what is computed, odd rows."""
 
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -113,6 +115,30 @@ def test_language_odd_rows(odd, nothing):
     assert language.identify(nothing).count() == 0 == language.keep_identified(nothing).count()
 
 
+def test_only_texts_that_fit_a_language_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+
+    def drawn(letters, n):
+        return "".join(rng.choices(letters, k=n))
+
+    base64 = string.ascii_letters + string.digits + "+/"
+    strange = [drawn(letters, n) for letters in (base64, "0123456789abcdef", "bcdfghjklmnpqrstvwxz0123456789")
+               for n in (200, 1000, 5000) for _ in range(10)]
+    strange += [" ".join(drawn("bcdfghjklmnpqrstvwxz", rng.randint(2, 9)) for _ in range(80)) for _ in range(10)]
+    strange += [" ".join(drawn(string.ascii_lowercase, rng.randint(2, 9)) for _ in range(80)) for _ in range(10)]
+    strange += ["Съешь же ещё этих мягких французских булок, да выпей чаю. " * k for k in (1, 20)]
+    strange += ["いろはにほへと ちりぬるを わかよたれそ つねならむ" * k for k in (1, 20)]
+    more = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(strange)], docs.schema)
+    held = [r for r in docs.collect() if part(r["doc_id"]) == 1 and len(r["text"]) >= 50]
+    short = [r["text"][:n].rsplit(" ", 1)[0] for r in held for n in (25, 60, 120)]
+    less = spark.createDataFrame([(2 * 10**9 + i, t, None) for i, t in enumerate(short)], docs.schema)
+    kept = {r["doc_id"] for r in language.keep_identified(docs.union(more).union(less), least=0.0).collect()}
+    assert not {strange[i - 10**9] for i in kept if 10**9 <= i < 2 * 10**9}
+    assert {r["doc_id"] for r in held} <= kept
+    assert sum(i >= 2 * 10**9 for i in kept) >= 0.995 * len(short)
+
+
 def statistics(text):
     words = re.findall(r"[^\x20\x09-\x0d]+", text)
     windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
