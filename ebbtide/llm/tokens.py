@@ -14,29 +14,28 @@ import tiktoken
 
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json; tests hold both against each other
 END = 2
+SPECIAL = {"<|endoftext|>": 50256}  # the added tokens of byte_bpe_50k.json, found in texts too
 
 
 @functools.lru_cache(maxsize=2)
 def encoding(path: str) -> tiktoken.Encoding:
-    """The strings of special tokens are ordinary text."""
+    """As the ``.json`` form without further settings: the string of a special token is that token."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 @functools.lru_cache(maxsize=2)
 def _slow(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
 
 
 def token_ids(text: str | None, path: str, end: int | None = END) -> np.ndarray:
     """Ids of the whole text (NULL as empty) as unsigned 32-bit numbers, then the end id unless it is None."""
     try:
-        ids = encoding(path).encode_ordinary(text or "")
+        ids = encoding(path).encode(text or "", allowed_special="all")
     except ValueError:  # its pattern matcher gives up on some endless runs of white space
         ids = _slow(path).encode(text, add_special_tokens=False).ids
     return np.fromiter(itertools.chain(ids, () if end is None else (end,)), np.uint32)

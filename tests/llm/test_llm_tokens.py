@@ -1,5 +1,6 @@
 """Token output, packing and sampled pieces: exact round trips."""
 
+import functools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -36,6 +37,42 @@ def test_both_token_libraries_agree(text):
     assert tokens.token_ids(text, BPE, None).tolist() == slow
 
 
+MARK = "<|endoftext|>"
+MARKED = [
+    MARK, f"end of one.{MARK}start of two", f"{MARK}{MARK} {MARK}", f"a {MARK} b", f"a  {MARK}  b", f"a\n{MARK}\n\nb{MARK}",
+    "<|endoftext|", "<|ENDOFTEXT|>", f"x<{MARK}>y", f"it'{MARK}s 12{MARK}34 é{MARK}日本", f" {MARK}\t", "<|im_start|>user",
+]
+
+
+@pytest.mark.parametrize("text", MARKED)
+def test_special_tokens_within_texts(text):
+    want = _contract().encode(text, add_special_tokens=False).ids
+    assert tokens.token_ids(text, BPE, None).tolist() == want
+    assert tokens._slow(BPE).encode(text, add_special_tokens=False).ids == want
+    assert (50256 in want) == (MARK in text)
+
+
+@given(st.lists(st.sampled_from([MARK, " ", "\n", "a", " the", "<|", "|>", "é", "'s", "1"]), max_size=12).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_special_tokens_among_others(text):
+    assert tokens.token_ids(text, BPE, None).tolist() == _contract().encode(text, add_special_tokens=False).ids
+
+
+@functools.lru_cache(maxsize=1)
+def _contract():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_special_tokens_in_both_operators(spark):
+    text = f"end of one.{MARK}start of two"
+    want = [*_contract().encode(text, add_special_tokens=False).ids, 2]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (packed,) = packing.pack(docs, BPE).collect()
+    assert packed["length"] == len(want) and packed["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
+    (row,) = token_output.read_sequences(token_output.materialise(docs, BPE)).collect()
+    assert list(row["ids"]) == want and 50256 in want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 65, 1000])
 def test_permutation(n):
     order = token_output.Permutation(n, key=9)
