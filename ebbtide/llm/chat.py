@@ -50,44 +50,52 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def link_quotes(parsed: DataFrame, scope: str, order: str) -> DataFrame:
-    """(scope, order, parent, n_linked): the message each message answers, NULL if no passage finds an earlier one.
+    """(scope, order, tie, parent, parent_tie, n_linked): what each message answers; no row if no passage finds an
+    earlier message.
 
-    ``parsed`` has one row per (scope, order). Blank passages and texts link nothing. Of equal texts in a scope the
-    earliest message is the original.
+    ``parsed`` has one row per (scope, order, tie). Blank passages and texts link nothing. Of equal texts in a scope the
+    earliest message is the original. Messages of one order do not answer each other.
     """
-    said = parsed.select(scope, order, normalised(F.col("own")).alias("said")).where("said <> ''")
-    originals = said.groupBy(F.col(scope).alias("_scope"), F.sha2("said", 256).alias("_hash")).agg(F.min(order).alias("_origin"))
-    quoted = parsed.select(scope, order, F.inline("passages"))
+    said = parsed.select(scope, order, "tie", normalised(F.col("own")).alias("said")).where("said <> ''")
+    originals = said.groupBy(F.col(scope).alias("_scope"), F.sha2("said", 256).alias("_hash")).agg(
+        F.min(F.struct(F.col(order).alias("at"), "tie")).alias("_origin"))
+    quoted = parsed.select(scope, order, "tie", F.inline("passages"))
     quoted = quoted.withColumn("passage", normalised(F.col("passage"))).where("passage <> ''")
-    quoted = quoted.select(scope, order, "place", "level", F.sha2("passage", 256).alias("_h"))
-    match = (F.col(scope) == F.col("_scope")) & (F.col("_h") == F.col("_hash")) & (F.col("_origin") < F.col(order))
+    quoted = quoted.select(scope, order, "tie", "place", "level", F.sha2("passage", 256).alias("_h"))
+    match = (F.col(scope) == F.col("_scope")) & (F.col("_h") == F.col("_hash")) & (F.col("_origin")["at"] < F.col(order))
     linked = quoted.join(originals, match)
-    return linked.groupBy(scope, order).agg(
-        F.min(F.struct("level", "place", "_origin"))["_origin"].alias("parent"), F.count(F.lit(1)).alias("n_linked"))
+    best = linked.groupBy(scope, order, "tie").agg(
+        F.min(F.struct("level", "place", "_origin"))["_origin"].alias("_best"), F.count(F.lit(1)).alias("n_linked"))
+    return best.select(
+        scope, order, "tie", F.col("_best")["at"].alias("parent"), F.col("_best")["tie"].alias("parent_tie"), "n_linked")
 
 
 def threads(links: DataFrame, scope: str, order: str) -> DataFrame:
-    """(scope, order, thread, depth): the first message above each one and the number of replies between them.
+    """(scope, order, tie, thread, thread_tie, depth): the first message above each one and the replies between them.
 
     Every round doubles how far a message sees, so a chain of n replies takes about log2(n) rounds.
     """
     state = stage(links.select(
-        scope, order, F.col("parent").alias("up"), F.coalesce("parent", order).alias("thread"),
+        scope, order, "tie", F.col("parent").alias("up"), F.col("parent_tie").alias("up_tie"),
+        F.coalesce("parent", order).alias("thread"), F.coalesce("parent_tie", "tie").alias("thread_tie"),
         F.col("parent").isNotNull().cast("long").alias("depth")), "threads")
-    columns = [scope, order, "up", "thread", "depth"]
+    columns = [scope, order, "tie", "up", "up_tie", "thread", "thread_tie", "depth"]
     while not state.where("up is not null").isEmpty():
         above = state.select(
-            F.col(scope).alias("_scope"), F.col(order).alias("_at"), F.col("up").alias("_up"),
-            F.col("thread").alias("_thread"), F.col("depth").alias("_depth"))
+            F.col(scope).alias("_scope"), F.col(order).alias("_at"), F.col("tie").alias("_tie"), F.col("up").alias("_up"),
+            F.col("up_tie").alias("_up_tie"), F.col("thread").alias("_thread"), F.col("thread_tie").alias("_thread_tie"),
+            F.col("depth").alias("_depth"))
         climbing = state.where("up is not null")  # whoever sees the root already is not joined again
-        met = climbing.join(above, (F.col(scope) == F.col("_scope")) & (F.col("up") == F.col("_at")), "left")
+        same = (F.col(scope) == F.col("_scope")) & (F.col("up") == F.col("_at")) & (F.col("up_tie") == F.col("_tie"))
+        met = climbing.join(above, same, "left")
         met = met.select(
-            scope, order, F.col("_up").alias("up"), F.coalesce("_thread", "thread").alias("thread"),
+            scope, order, "tie", F.col("_up").alias("up"), F.col("_up_tie").alias("up_tie"),
+            F.coalesce("_thread", "thread").alias("thread"), F.coalesce("_thread_tie", "thread_tie").alias("thread_tie"),
             (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))
         further = stage(met.unionByName(state.where("up is null").select(*columns)), "threads")
         release(state)
         state = further
-    return state.drop("up")
+    return state.drop("up", "up_tie")
 
 
 def conversations(messages: DataFrame, scope: str = "conv_id", order: str = "turn", role: str = "role",
@@ -96,22 +104,25 @@ def conversations(messages: DataFrame, scope: str = "conv_id", order: str = "tur
 
     ``text`` has no quotes, ``formatted`` puts the role before it, ``position`` counts from 0 in reply order within the
     thread, where replies follow what they answer. ``parent`` and ``thread`` are values of ``order``. A message whose
-    quotes find nothing starts a thread. Rows of one (scope, order), repeated or not, are one message of which the
-    smallest (role, text) is taken, NULLs first. NULL and empty texts say and quote nothing. A NULL scope or order
-    links nothing: such a message is a thread of its own, with NULL where its order would stand. An empty table gives
-    an empty one. Other columns are not read.
+    quotes find nothing starts a thread. Rows equal in scope, order, role and text are one message; different ones of one
+    (scope, order) are all kept, and a hash of role and text decides their order. NULL and empty texts say and quote
+    nothing. A row with a NULL scope or order links nothing: each is a thread of its own, equal ones too, with NULL where
+    its order would stand. An empty table gives an empty one. Other columns are not read.
     """
     rows = messages.select(
         F.col(scope).alias("scope"), F.col(order).alias("ord"), F.col(role).alias("role"), F.col(text_col).alias("text"))
-    rows = rows.groupBy("scope", "ord").agg(F.min(F.struct("role", "text")).alias("m")).select("scope", "ord", "m.*")
-    parsed = stage(parse_quotes(rows).drop("text"), "parsed")
-    links = parsed.select("scope", "ord").join(link_quotes(parsed, "scope", "ord"), ["scope", "ord"], "left")
-    links = stage(links, "links")
-    placed = threads(links.where("scope is not null and ord is not null"), "scope", "ord")
-    placed = running_total(placed, ["scope", "thread"], ["ord"], F.lit(1).cast("long"), "position")
-    known = links.join(placed, ["scope", "ord"], "inner").select(
-        F.col("scope").alias("_scope"), F.col("ord").alias("_ord"), "parent", "thread", "depth", "position", "n_linked")
-    found = parsed.join(known, (F.col("scope") == F.col("_scope")) & (F.col("ord") == F.col("_ord")), "left")
+    lone = F.when(F.col("scope").isNull() | F.col("ord").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("_lone", lone).distinct().drop("_lone")
+    tie = F.xxhash64(F.col("role").isNull(), "role", F.col("text").isNull(), "text")  # a NULL alone leaves no mark
+    parsed = stage(parse_quotes(rows.withColumn("tie", tie)).drop("text"), "parsed")
+    key = ["scope", "ord", "tie"]
+    links = parsed.select(*key).where("scope is not null and ord is not null")
+    links = stage(links.join(link_quotes(parsed, "scope", "ord"), key, "left"), "links")
+    placed = threads(links, "scope", "ord")
+    placed = running_total(placed, ["scope", "thread", "thread_tie"], ["ord", "tie"], F.lit(1).cast("long"), "position")
+    known = links.join(placed, key, "inner").select(
+        *[F.col(k).alias(f"_{k}") for k in key], "parent", "thread", "depth", "position", "n_linked")
+    found = parsed.join(known, [F.col(k) == F.col(f"_{k}") for k in key], "left")
     return found.select(
         F.col("scope").alias(scope), F.col("ord").alias(order), F.col("role").alias(role), "parent",
         F.coalesce("thread", "ord").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"),

@@ -122,6 +122,27 @@ def test_messages_odd_rows(spark):
     assert chat.conversations(frame.limit(0)).count() == 0
 
 
+def test_every_message_stays(spark):
+    rows = [
+        (1, None, "a", "x"), (1, None, "a", "y"), (1, None, None, None), (1, None, "a", "x"), (None, None, "a", "x"),
+        (None, None, None, "x"), (None, 3, "a", "x"), (None, 3, "b", "x"), (2, 1, None, "one"), (2, 1, "a", None),
+        (2, 1, "a", "one"), (2, 1, "a", "two"), (2, 1, "a", "two"), (2, 1, "b", "two"), (2, 2, "a", "r\n> two"),
+        (2, 2, "a", "s\n> one"), (2, 3, "b", "t\n> r"), (2, 3, "b", "u\n> s"), (2, 3, "b", "v\n> t"),
+        (2, 4, "one", None), (2, 4, None, "one"), (2, 5, "a", "w\n> s\n>> two"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.conversations(frame.repartition(5)).collect()
+    own = [(c, t, r, "\n".join(x for x in (text or "").split("\n") if x[:1] != ">")) for c, t, r, text in rows]
+    own.remove((2, 1, "a", "two"))
+    by = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(((r["conv_id"], r["turn"], r["role"], r["text"]) for r in found), key=by) == sorted(own, key=by)
+    said = {r["text"]: (r["parent"], r["thread"], r["depth"]) for r in found if r["conv_id"] == 2 and r["turn"] in (2, 3, 5)}
+    assert said == {"r": (1, 1, 1), "s": (1, 1, 1), "t": (2, 1, 2), "u": (2, 1, 2), "v": (None, 3, 0), "w": (2, 1, 2)}
+    assert all((r["parent"], r["depth"], r["position"]) == (None, 0, 0) for r in found if r["conv_id"] != 2)
+    places = [(r["thread"], r["position"]) for r in found if r["conv_id"] == 2 and r["text"] in ("r", "t", "s", "u", "w")]
+    assert sorted(p for _, p in places) == [1, 1, 2, 2, 3]
+
+
 def test_linking_runs_without_python(spark, sf):
     plan = QUERIES["op7_quotation_linking"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|ExistingRDD", plan)
