@@ -1,9 +1,10 @@
 """Conversations from quoting messages, in DataFrame operations throughout.
 
 The lines of a message are cut into runs of equal quote level. What a message says itself are its lines of level 0; a
-run of level 1 or more is a quoted passage. Passages and the messages' own texts are normalised and hashed, and an
-equi-join finds the message a passage quotes: the earliest one of the same scope with that text. The parent of a
-message is what its shallowest linked passage quotes; roots and depths follow by pointer doubling.
+run of level 1 or more is a quoted passage. Passages and the messages' own texts, whole and in parts (runs, paragraphs,
+lines), are normalised and hashed, and an equi-join finds the message a part quotes: the earliest one of the same scope
+that says just that, else the earliest one with such a part. The parent of a message is what the longest linked part of
+its shallowest linked level quotes; roots and depths follow by pointer doubling.
 """
 
 from __future__ import annotations
@@ -22,12 +23,23 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def _parts(text: Column) -> Column:
+    """The normalised text, its paragraphs and its lines, each once and in this order; the first may be blank."""
+    lines = F.regexp_replace(F.regexp_replace(F.lower(text), r"[ \t\x0B\f\r]+", " "), " ?\n ?", "\n")
+    paragraphs = F.transform(F.split(lines, "\n\n+"), lambda p: F.trim(F.translate(p, "\n", " ")))
+    each = F.transform(F.split(lines, "\n"), F.trim)
+    whole = normalised(text)
+    several = F.array_distinct(F.concat(F.array(whole), paragraphs, each))
+    return F.when(F.instr(text, "\n") > 0, several).otherwise(F.array(whole))
+
+
 def _level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, PREFIX, 0), "[^>]", ""))
 
 
 def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``own`` (the text of level 0) and ``passages``, an array of (place, level, passage) in reading order."""
+    """Adds ``own`` (the text of level 0), ``own_runs`` (its runs, if more than one) and ``passages``, an array of
+    (place, level, passage) in reading order."""
     lines = F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda line: F.struct(
         _level(line).alias("level"), F.regexp_replace(line, PREFIX + "[ \t]?", "").alias("body")))
     rows = messages.withColumn("_lines", lines)
@@ -46,26 +58,37 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
             k.alias("place"), F.get(run, F.lit(0))["level"].alias("level"), joined(run).alias("passage"))),
         lambda p: p["level"] > 0)
     own = joined(F.filter("_lines", lambda line: line["level"] == 0))
-    return rows.withColumns({"own": own, "passages": passages}).drop("_lines", "_starts", "_runs")
+    said = F.transform(F.filter("_runs", lambda run: F.get(run, F.lit(0))["level"] == 0), joined)
+    said = F.when(F.size(said) > 1, said).otherwise(F.array().cast("array<string>"))
+    return rows.withColumns({"own": own, "own_runs": said, "passages": passages}).drop("_lines", "_starts", "_runs")
 
 
 def link_quotes(parsed: DataFrame, scope: str, order: str) -> DataFrame:
     """(scope, order, tie, parent, parent_tie, n_linked): what each message answers; no row if no passage finds an
     earlier message.
 
-    ``parsed`` has one row per (scope, order, tie). Blank passages and texts link nothing. Of equal texts in a scope the
-    earliest message is the original. Messages of one order do not answer each other.
+    ``parsed`` has one row per (scope, order, tie). Whole passages, their paragraphs and their lines are looked for among
+    whole texts, their runs, paragraphs and lines; blank ones link nothing. The original is the earliest message whose
+    whole text is that part if that one is earlier, else the earliest message with the part. ``n_linked`` counts passages
+    of which any part is found. Messages of one order do not answer each other.
     """
-    said = parsed.select(scope, order, "tie", normalised(F.col("own")).alias("said")).where("said <> ''")
-    originals = said.groupBy(F.col(scope).alias("_scope"), F.sha2("said", 256).alias("_hash")).agg(
-        F.min(F.struct(F.col(order).alias("at"), "tie")).alias("_origin"))
+    said = parsed.select(scope, order, "tie", F.posexplode(F.concat(F.array("own"), "own_runs")).alias("_run", "said"))
+    said = said.select(scope, order, "tie", "_run", F.posexplode(_parts(F.col("said"))).alias("_nth", "part"))
+    said = said.where("part <> ''").select(
+        F.col(scope).alias("_scope"), F.sha2("part", 256).alias("_hash"), F.struct(F.col(order).alias("at"), "tie").alias("_at"),
+        ((F.col("_run") == 0) & (F.col("_nth") == 0)).alias("_whole"))
+    originals = said.groupBy("_scope", "_hash").agg(
+        F.min("_at").alias("_first"), F.min(F.when(F.col("_whole"), F.col("_at"))).alias("_just"))
     quoted = parsed.select(scope, order, "tie", F.inline("passages"))
-    quoted = quoted.withColumn("passage", normalised(F.col("passage"))).where("passage <> ''")
-    quoted = quoted.select(scope, order, "tie", "place", "level", F.sha2("passage", 256).alias("_h"))
-    match = (F.col(scope) == F.col("_scope")) & (F.col("_h") == F.col("_hash")) & (F.col("_origin")["at"] < F.col(order))
-    linked = quoted.join(originals, match)
+    quoted = quoted.select(scope, order, "tie", "place", "level", F.explode(_parts(F.col("passage"))).alias("part"))
+    quoted = quoted.where("part <> ''").select(
+        scope, order, "tie", "place", "level", F.length("part").alias("_size"), F.sha2("part", 256).alias("_h"))
+    match = (F.col(scope) == F.col("_scope")) & (F.col("_h") == F.col("_hash")) & (F.col("_first")["at"] < F.col(order))
+    origin = F.when(F.col("_just")["at"] < F.col(order), F.col("_just")).otherwise(F.col("_first"))
+    linked = quoted.join(originals, match).withColumn("_origin", origin)
     best = linked.groupBy(scope, order, "tie").agg(
-        F.min(F.struct("level", "place", "_origin"))["_origin"].alias("_best"), F.count(F.lit(1)).alias("n_linked"))
+        F.min(F.struct("level", (-F.col("_size")).alias("_size"), "place", "_origin"))["_origin"].alias("_best"),
+        F.size(F.collect_set("place")).cast("long").alias("n_linked"))
     return best.select(
         scope, order, "tie", F.col("_best")["at"].alias("parent"), F.col("_best")["tie"].alias("parent_tie"), "n_linked")
 

@@ -122,6 +122,31 @@ def test_messages_odd_rows(spark):
     assert chat.conversations(frame.limit(0)).count() == 0
 
 
+def test_partial_and_interleaved_quotes(spark):
+    rows = [
+        (1, "Where do we meet?\nAnd when?\n\nI could bring\nsome cake.\n\nBest"),
+        (2, "> And  when?\nAt noon."),  # one line
+        (3, "> I could bring some cake.\nPlease do."),  # a paragraph, wrapped otherwise
+        (4, "> Where do we meet?\nAt the bridge.\n> and when?\nAt one.\n> I could bring\n> some cake.\nNo need."),
+        (5, "> At the bridge.\n> At one.\n> No need.\nFine."),  # all of an interleaved reply in one run
+        (6, "> At one.\nLate!\n> > And when?"),  # one part of an interleaved reply, and an older line deeper
+        (7, "Fine."),
+        (8, "> Late!\n> nobody said this\nOh"),
+        (9, "> Best\n> At the bridge.\nok"),  # the longest part decides
+        (10, "Best"),
+        (11, "> best\nyes"),  # who says just that comes before who says it among other things
+        (12, "> nobody said this either\nhm\n> \n"),
+    ]
+    frame = spark.createDataFrame([("c", n, "user", text) for n, text in rows], "conv_id string, turn long, role string, text string")
+    found = {r["turn"]: r for r in chat.conversations(frame).collect()}
+    parents = {1: None, 2: 1, 3: 1, 4: 1, 5: 4, 6: 4, 7: None, 8: 6, 9: 4, 10: None, 11: 10, 12: None}
+    assert {n: r["parent"] for n, r in found.items()} == parents
+    assert {n: r["n_linked"] for n, r in found.items()} == {
+        1: 0, 2: 1, 3: 1, 4: 3, 5: 1, 6: 2, 7: 0, 8: 1, 9: 1, 10: 0, 11: 1, 12: 0}
+    assert {n: r["thread"] for n, r in found.items()} == {
+        1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7, 8: 1, 9: 1, 10: 10, 11: 10, 12: 12}
+
+
 def test_every_message_stays(spark):
     rows = [
         (1, None, "a", "x"), (1, None, "a", "y"), (1, None, None, None), (1, None, "a", "x"), (None, None, "a", "x"),
