@@ -19,8 +19,10 @@ from ebbtide.llm.common import map_rows
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
-UNSEEN = frozenset("""head script style title template noscript noembed noframes iframe object audio video canvas svg math
+UNSEEN = frozenset("""head script style title template noscript noembed noframes iframe object audio video canvas
 datalist textarea select area base col colgroup link meta param source track""".split())
+UNSEEN_FOREIGN = frozenset("annotation annotation-xml defs metadata desc title".split())  # inside svg and math
+FOREIGN_LINES = frozenset("text mtr mlabeledtr".split())  # labels and rows that stand on lines of their own
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset form".split())
 BLOCKS = PARAGRAPHS | frozenset("""html body div section article aside nav header footer main address li dt dd tr td th
 caption thead tbody tfoot figcaption details summary legend center dialog menu option hgroup search""".split())
@@ -48,7 +50,9 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HINTS = ("hidden", "style", "open", "start", "value", "colspan")
+_PLACED = re.compile(r"(?:^|\s)(?:x|y|dy)\s*=")
+_BARE_END = re.compile(r"=\s*[^\s\"'>]+$")
+_HINTS = ("hidden", "style", "open", "start", "value", "colspan", "display", "visib")
 
 
 class _Block:
@@ -195,14 +199,22 @@ def visible_text(page: str | None) -> str:
         if found[1]:
             _end_tag(stack, tag)
         else:
+            lone = _foreign(stack) and found[3].endswith("/") and not _BARE_END.search(found[3])
             _start_tag(stack, tag, found[3])
-            if tag in RAW:
+            if lone and tag not in VOID:
+                _close(stack, tag)
+            elif tag in RAW:
                 raw = tag
     while len(stack) > 1:
         _close(stack, stack[-1].tag)
     return "\n".join(root.block.done())
 
 
+def _foreign(stack: _Stack) -> bool:
+    """Inside svg or math, where a tag may also end itself."""
+    return stack.has("svg") or stack.has("math")
+
+
 def _say(stack: _Stack, data: str):
     top = stack[-1]
     if top.shown and top.inner and top.seen:
@@ -234,6 +246,10 @@ def _start_tag(stack: _Stack, tag: str, rest: str):
     shown = above.shown and (above.inner or tag == "summary") and tag not in UNSEEN
     shown = shown and "hidden" not in attributes and style.get("display") != "none"
     shown = shown and not (tag == "dialog" and "open" not in attributes)
+    foreign = tag in ("svg", "math") or _foreign(stack)
+    if foreign:
+        shown = shown and not (tag in UNSEEN_FOREIGN or attributes.get("display") == "none")
+        style.setdefault("visibility", attributes.get("visibility"))
     seen = {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility"), above.seen)
     entry = _Open(tag, shown, seen, not (tag == "details" and "open" not in attributes), above.pre or tag == "pre")
     if shown:
@@ -243,6 +259,10 @@ def _start_tag(stack: _Stack, tag: str, rest: str):
         elif tag in BLOCKS and tag not in ("td", "th"):
             nested = tag in ("ul", "ol", "menu") and stack.has("li")
             block.end(2 if tag in PARAGRAPHS and not nested else 1)
+        elif foreign and (tag in FOREIGN_LINES or tag == "tspan" and _PLACED.search(rest)):
+            block.end(1)
+        elif foreign and tag == "mtd":
+            block.space = True
         _indent(stack, entry, block, attributes)
         if tag == "table":
             entry.rows = []
@@ -316,6 +336,8 @@ def _close(stack: _Stack, tag: str):
         block.margin = entry.margin
         if tag == "li":
             block.marker = ""
+    if entry.tag in FOREIGN_LINES and _foreign(stack):
+        block.end(1)
     if entry.tag in BLOCKS and entry.tag not in ("td", "th"):
         nested = entry.tag in ("ul", "ol", "menu") and stack.has("li")
         block.end(2 if entry.tag in PARAGRAPHS and not nested else 1)

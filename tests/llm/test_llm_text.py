@@ -36,6 +36,24 @@ def test_rendering(page):
     assert html_text.visible_text(page) == CASES[page]
 
 
+FOREIGN = {
+    "so <math><mi>x</mi><mo>+</mo><mn>1</mn></math> holds": "so x+1 holds",
+    "<math><semantics><mi>y</mi><annotation>no</annotation><annotation-xml><mi>no</mi></annotation-xml></semantics></math>!": "y!",
+    "<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3</mtd><mtd>4</mtd></mtr></mtable></math>": "1 2\n3 4",
+    "<p>Plan<svg viewBox='0 0 1 1'><title>no</title><desc>no</desc><metadata>no</metadata><defs><text>no</text></defs>"
+    "<rect width=1 /><text x=1>North</text><text x=2>South</text></svg>end": "Plan\nNorth\nSouth\nend",
+    "<svg><defs/><desc/><title/><style/><path d='M0'/><text>a<tspan>b</tspan><tspan x='0' dy='1em'>c</tspan></text></svg>d": "ab\nc\nd",
+    "<svg><style>text{}</style><script>no</script><text display='none'>no</text><text visibility=hidden>no</text></svg>z": "z",
+    "<svg hidden><text>no</text></svg><svg><foreignObject><p>yes</p></foreignObject></svg>": "yes",
+    "<desc>yes</desc> <text>a</text><text>b</text>": "yes ab",
+}
+
+
+@pytest.mark.parametrize("page", FOREIGN)
+def test_formulas_and_drawings(page):
+    assert html_text.visible_text(page) == FOREIGN[page]
+
+
 def test_odd_pages():
     assert html_text.visible_text(None) == ""
     for page in ("<div>" * 30_000 + "x", "<p><b>" * 20_000 + "x", "<a href='" * 20_000 + "x", "<" * 50_000, "<ul><li>" * 3_000 + "x"):
