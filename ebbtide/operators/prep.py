@@ -90,6 +90,26 @@ def category_counts(df: DataFrame, columns: list[str]) -> dict[str, dict[str, in
     return found
 
 
+def feature_slots(df: DataFrame, exclude=()) -> DataFrame:
+    """(column, value, n, slot): the features that ``fit_features`` makes of ``df``, in vector order, as a stage table.
+
+    A number column has one row with a NULL value, a text column one per category; ``n`` counts the rows that hold it.
+    Nothing but one count per number column reaches the driver.
+    """
+    numeric, texts = _feature_columns(df, exclude)
+    stats = moments(df, numeric)
+    numeric = [c for c in numeric if stats[c].present]
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(None).cast("string").alias("value"),
+                      F.lit(stats[c].present).cast("long").alias("n")) for c in numeric]
+    rows = df.sparkSession.range(1).select(F.inline(F.array(*cells).cast("array<struct<column:string,value:string,n:bigint>>")))
+    if texts:
+        found = cell_counts(df, texts).where(F.col("value").isNotNull())
+        rows = rows.unionByName(found.select("column", "value", F.col("n").cast("long").alias("n")))
+    place = F.array_position(F.array(*[F.lit(c) for c in [*numeric, *texts]]).cast("array<string>"), F.col("column"))
+    ranked = running_total(rows.withColumn("_place", place), [], ["_place", "value"], F.lit(1).cast("long"), "slot")
+    return stage(ranked.drop("_place"), "slots")
+
+
 # --- table operators --------------------------------------------------------------------------------
 
 

@@ -138,10 +138,10 @@ def feature_names(spark, folder):
   UNION ALL SELECT DISTINCT 2, 'c_name_' || c_name FROM customer)
 SELECT CAST(row_number() OVER (ORDER BY block, feature) - 1 AS INTEGER) AS position, feature FROM n""")
 def feature_names_wide(spark, folder):
-    """A text column with a category per customer is encoded like any other."""
+    """A text column with a category per customer has a slot for each like any other; the names stay in the cluster."""
     rows = read_table(spark, folder, "customer", ["c_custkey", "c_acctbal", "c_mktsegment", "c_name"])
-    names = prep.feature_names(prep.fit_features(rows, exclude=("c_custkey",)).pipeline(rows).transform(rows))
-    return spark.createDataFrame(list(enumerate(names)), "position int, feature string")
+    slots = prep.feature_slots(rows, exclude=("c_custkey",))
+    return slots.select(F.col("slot").cast("int").alias("position"), F.concat_ws("_", "column", "value").alias("feature"))
 
 
 @query("onehot_orders", """SELECT o_orderkey, 'customer_' || o_custkey AS feature, CAST(1 AS DOUBLE) AS value FROM orders

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ebbtide.functions import ranking, roles
 from ebbtide.functions.shaping import long_numbers
 from ebbtide.operators import cohort, label, metrics, prep, profile, quantiles, roi, rules, segments
+from ebbtide.plans import model_queries
 from ebbtide.sources import csv
 
 
@@ -481,3 +482,25 @@ def test_booleans_are_features(spark):
     assert spec.numeric == ["active"] and spec.fill == {"active": 0.0}
     rows = spec.pipeline(df).transform(df).orderBy("id").collect()
     assert rows[0]["features"][0] > 0 and rows[1]["features"][0] == rows[2]["features"][0] < 0
+
+
+def test_slots_are_the_encoder_s(spark):
+    rows = [(1, 1.5, "b", "x_y", None), (2, None, "a", None, None), (3, 2.0, "B", "é", None), (4, 2.0, "a", "Z", None)]
+    df = frame(spark, rows, "id int, x double, t string, u string, void double")
+    encoded = prep.fit_features(df, exclude=("id",)).pipeline(df).transform(df)
+    slots = sorted(prep.feature_slots(df, exclude=("id",)).collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in slots] == list(range(len(slots)))
+    assert ["_".join(filter(lambda v: v is not None, r[:2])) for r in slots] == prep.feature_names(encoded)
+    assert [r["n"] for r in slots] == [3, 1, 2, 1, 1, 1, 1]
+    assert prep.feature_slots(df.select("id", "t"), exclude=("id",)).count() == 3
+    assert prep.feature_slots(df.select("id", "x"), exclude=("id",)).count() == 1
+
+
+def test_wide_names_stay_off_the_driver(spark, monkeypatch):
+    def refuse(*_args, **_kwargs):
+        raise AssertionError("names on the driver")
+
+    monkeypatch.setattr(prep, "category_counts", refuse)
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    found = model_queries.feature_names_wide(spark, "/root/testdata/sf0.001")
+    assert found.where("feature like 'c_name_%'").count() > 0
