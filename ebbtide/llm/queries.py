@@ -125,4 +125,4 @@ def op9_visible_text(spark, folder):
 
 @query("op10_sampled_pieces")
 def op10_sampled_pieces(spark, folder):
-    return pieces.encode(table(spark, folder, "documents"), public_tokenizers.path(pieces.MODEL), with_ids=False)
+    return pieces.encode(table(spark, folder, "documents"), public_tokenizers.path(pieces.MODEL))

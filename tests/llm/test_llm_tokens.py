@@ -224,3 +224,13 @@ def test_samples_do_not_depend_on_partitions(spark, sf):
     assert other != rows[0]
     back = pieces.decode(pieces.encode(docs, PIECES), PIECES).join(docs.withColumnRenamed("text", "original"), "doc_id")
     assert back.where("text = original").count() == docs.count()
+
+
+def test_registered_query_gives_the_ids(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = QUERIES["op10_sampled_pieces"](spark, folder)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    back = pieces.decode(rows, PIECES).collect()
+    assert {r["doc_id"]: r["text"] for r in back} == texts
+    for r in back:
+        assert r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
