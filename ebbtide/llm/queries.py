@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm import (
-    chat, exact_dedup, html_text, language, near_dedup, packing, pieces, quality, rules, token_output, tokens,
+    chat, exact_dedup, html_text, language, lattice_dedup, near_dedup, packing, pieces, quality, repair, rules, token_output,
+    tokens, whitening,
 )
 from ebbtide.llm.common import table
 
@@ -126,3 +127,32 @@ def op9_visible_text(spark, folder):
 @query("op10_sampled_pieces")
 def op10_sampled_pieces(spark, folder):
     return pieces.encode(table(spark, folder, "documents"), public_tokenizers.path(pieces.MODEL))
+
+
+@query("op11_suffix_dawg_repair")
+def op11_suffix_dawg_repair(spark, folder):
+    return repair.audited(table(spark, folder, "conversations"))
+
+
+@query("op12_lattice_near_dedup", r"""WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+fit AS (
+  SELECT * FROM vectors WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(v, lambda c: c <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM vectors
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least_id AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, l.component_id, v.vec_id = l.component_id AS kept
+FROM vectors v JOIN least_id l ON l.a = v.vec_id LEFT JOIN counts c ON c.a = v.vec_id""")
+def op12_lattice_near_dedup(spark, folder):
+    return lattice_dedup.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op13_chebyshev_whitening")
+def op13_chebyshev_whitening(spark, folder):
+    return whitening.long_rows(whitening.whiten(table(spark, folder, "embeddings")))
