@@ -8,12 +8,12 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.operators.models import Classifier
 from ebbtide.operators.prep import feature_names
 from ebbtide.operators.profile import quartile_columns
 from ebbtide.operators.quantiles import exact_quantiles
@@ -50,9 +50,9 @@ def linear_attributions(df: DataFrame, key: str, coefficients: dict[str, float],
     return _long(df, key, columns, F.array(*values), F.array(*shap), F.lit(base))
 
 
-def shap_linear(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
+def shap_linear(model: Classifier, df: DataFrame, key: str) -> DataFrame:
     """Attributions of a logistic model on the margin scale; attributions plus base add up to the margin."""
-    learner, encoded = model.stages[-1], PipelineModel(model.stages[:-1]).transform(df)
+    learner, encoded = model.stages[-1], model.stages[0].transform(df)
     names = feature_names(encoded)
     means = encoded.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
     weights = learner.coefficients.toArray()
@@ -168,7 +168,7 @@ def _tree_shap_udf(leaves: list[_Leaf]):
     return attribute
 
 
-def shap_tree(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
+def shap_tree(model: Classifier, df: DataFrame, key: str) -> DataFrame:
     """Path-dependent tree attributions of a boosted model on the margin scale (twice the boosted sum).
 
     Executors apply the leaf table, whose size is set by the model, to Arrow batches of encoded rows.
@@ -180,7 +180,7 @@ def shap_tree(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
         found, mean = _leaves(nodes[tree], 2.0 * weight)
         leaves += found
         base += mean
-    encoded = PipelineModel(model.stages[:-1]).transform(df)
+    encoded = model.stages[0].transform(df)
     names = feature_names(encoded)
     rows = encoded.select(key, vector_to_array("features").alias("x"))
     rows = rows.withColumn("s", _tree_shap_udf(leaves)("x"))

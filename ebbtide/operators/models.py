@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, fields
+from functools import cached_property
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ebbtide.operators.metrics import classification_metrics
-from ebbtide.operators.prep import FeatureSpec, feature_names, fit_features
+from ebbtide.operators.prep import Encoder, FeatureSpec, fit_features
 from ebbtide.session import stage, stage_root
 
 
@@ -44,32 +44,46 @@ class Prepared:
     """Fitted preparation and the training rows as a stage table (key, label, features)."""
 
     spec: FeatureSpec
-    pipeline: PipelineModel
+    pipeline: Encoder
     train: DataFrame
-    names: list[str]
     label: str
 
+    @cached_property
+    def names(self) -> list[str]:
+        """Feature names on the driver, in vector order; ``spec.names`` leaves them in the cluster."""
+        return [r["feature"] for r in self.spec.names().orderBy("slot").collect()]
+
+
+@dataclass(frozen=True)
+class Classifier:
+    """A fitted preparation and the learner fitted to its vectors."""
+
+    stages: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for part in self.stages:
+            df = part.transform(df)
+        return df
+
 
 def prepare(train: DataFrame, key: str, label: str, exclude=()) -> Prepared:
     """Fit the preparation once and write the encoded training rows, which both learners then iterate over."""
     rows = train.where(F.col(label).isNotNull())
     spec = fit_features(rows, exclude=(key, label, *exclude))
     pipeline = spec.pipeline(rows)
-    encoded = pipeline.transform(rows)
-    names = feature_names(encoded)
-    return Prepared(spec, pipeline, stage(encoded.select(key, label, "features"), "train"), names, label)
+    return Prepared(spec, pipeline, stage(pipeline.transform(rows).select(key, label, "features"), "train"), label)
 
 
-def train_logistic(prepared: Prepared, params: LogisticParams = LogisticParams()) -> PipelineModel:
+def train_logistic(prepared: Prepared, params: LogisticParams = LogisticParams()) -> Classifier:
     """L2 logistic regression. The penalty is 1/(c * rows) because Spark averages the loss over rows."""
     learner = LogisticRegression(
         labelCol=prepared.label, regParam=1.0 / (params.c * prepared.train.count()), elasticNetParam=0.0,
         standardization=False, maxIter=params.max_iter, tol=params.tol,
     )
-    return PipelineModel([prepared.pipeline, learner.fit(prepared.train)])
+    return Classifier([prepared.pipeline, learner.fit(prepared.train)])
 
 
-def train_boosted(prepared: Prepared, params: BoostedParams = BoostedParams()) -> PipelineModel:
+def train_boosted(prepared: Prepared, params: BoostedParams = BoostedParams()) -> Classifier:
     """Gradient-boosted trees with logistic loss."""
     stage_root(prepared.train.sparkSession)  # names the checkpoint folder that cuts the boosting lineage
     learner = GBTClassifier(
@@ -77,18 +91,35 @@ def train_boosted(prepared: Prepared, params: BoostedParams = BoostedParams()) -
         subsamplingRate=params.row_share, featureSubsetStrategy=str(params.column_share),
         minInfoGain=params.min_gain, seed=params.seed, maxBins=params.bins,
     )
-    return PipelineModel([prepared.pipeline, learner.fit(prepared.train)])
+    return Classifier([prepared.pipeline, learner.fit(prepared.train)])
+
+
+LEARNERS = {"logistic": LogisticRegressionModel, "boosted": GBTClassificationModel}
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Classifier, path: str) -> None:
+    """The learner, the slot table and the numbers per column, each in a folder of its own below ``path``."""
+    encoder, learner = model.stages
+    kind = next(k for k, c in LEARNERS.items() if isinstance(learner, c))
+    learner.write().overwrite().save(f"{path}/learner")
+    spec = encoder.spec
+    spec.slots.write.mode("overwrite").parquet(f"{path}/slots")
+    numbers = {f.name: getattr(spec, f.name) for f in fields(spec) if f.name not in ("slots", "path")}
+    spark = spec.slots.sparkSession
+    spark.createDataFrame([(json.dumps({"kind": kind, **numbers}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> Classifier:
+    spark = SparkSession.active()
+    numbers = json.loads(spark.read.text(f"{path}/spec").first()["value"])
+    learner = LEARNERS[numbers.pop("kind")].load(f"{path}/learner")
+    numbers["literals"] = {c: [tuple(x) for x in found] for c, found in numbers["literals"].items()}
+    numbers["scale"] = {c: tuple(x) for c, x in numbers["scale"].items()}
+    spec = FeatureSpec(**numbers, slots=spark.read.parquet(f"{path}/slots"), path=f"{path}/slots")
+    return Classifier([Encoder(spec), learner])
 
 
-def score(model: PipelineModel, df: DataFrame, key: str, label: str, name: str) -> DataFrame:
+def score(model: Classifier, df: DataFrame, key: str, label: str, name: str) -> DataFrame:
     """(key, label, model, p): probability of churn per row."""
     p = F.get(vector_to_array("probability"), F.lit(1))
     return model.transform(df).select(key, label, F.lit(name).alias("model"), p.alias("p"))
@@ -104,19 +135,25 @@ def evaluate(scores: DataFrame, label: str) -> DataFrame:
     return classification_metrics(scores, label, "p", by="model")
 
 
-def _importance_table(spark, names: list[str], values) -> DataFrame:
-    if len(names) != len(values):
-        raise ValueError(f"{len(names)} feature names for {len(values)} importances")
-    schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())])
-    rows = [(n, float(v)) for n, v in zip(names, values)]
-    return spark.createDataFrame(rows, schema).orderBy(F.desc("importance"), "feature")
+def _importance_table(spark, names: list[str] | DataFrame, values) -> DataFrame:
+    """(feature, importance). The values are as many as the model's own vectors; names in a (slot, feature) table join
+    them there."""
+    listed = isinstance(names, list)
+    size = len(names) if listed else names.count()
+    if size != len(values):
+        raise ValueError(f"{size} feature names for {len(values)} importances")
+    if listed:
+        rows = [(n, float(v)) for n, v in zip(names, values)]
+        return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    sized = spark.createDataFrame(list(enumerate(map(float, values))), "slot long, importance double")
+    return names.join(sized, "slot").select("feature", "importance").orderBy(F.desc("importance"), "feature")
 
 
-def feature_importance(model: PipelineModel, prepared: Prepared) -> DataFrame:
+def feature_importance(model: Classifier, prepared: Prepared) -> DataFrame:
     """(feature, importance), most important first: absolute coefficients, or gains that sum to one."""
     spark, learner = prepared.train.sparkSession, model.stages[-1]
     if hasattr(learner, "coefficients"):
-        return _importance_table(spark, prepared.names, [abs(c) for c in learner.coefficients.toArray()])
+        return _importance_table(spark, prepared.spec.names(), [abs(c) for c in learner.coefficients.toArray()])
     if hasattr(learner, "featureImportances"):
-        return _importance_table(spark, prepared.names, learner.featureImportances.toArray())
+        return _importance_table(spark, prepared.spec.names(), learner.featureImportances.toArray())
     raise TypeError(f"no importances for {type(learner).__name__}")

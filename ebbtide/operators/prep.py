@@ -1,25 +1,25 @@
 """Feature preparation: imputation, scaling, one-hot encoding and the train/test split.
 
-Fitting collects one number per column or category, nothing that grows with rows; applying is a plain
-projection with those numbers as literals, so it needs neither a join nor a second look at the table.
+Fitting collects a few numbers per column. The categories, of which a column may have as many as the table has rows,
+stay in a stage table that gives each its place in the feature vector; encoding joins that table. Only the categories of
+columns with a handful of them are literals in the plan, which then is a plain projection.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide.functions import roles
 from ebbtide.functions.hashing import unit_hash, wide_hash
 from ebbtide.functions.ranking import running_total
-from ebbtide.functions.shaping import long_numbers, long_texts, number_cells, present
+from ebbtide.functions.shaping import long_numbers, long_texts, number_cells, present, text_cells
 from ebbtide.operators.profile import cell_counts, top_values
 from ebbtide.operators.quantiles import column_quantiles
 from ebbtide.session import stage
@@ -27,6 +27,8 @@ from ebbtide.session import stage
 # Share of rows held out.
 TEST_SIZE = 0.25
 
+LITERALS = 64  # categories of a column that may stand in a plan; columns with more are joined
+
 
 def feature_projection(df: DataFrame, key: str, features: list[str], label: str) -> DataFrame:
     return df.select(key, *features, label)
@@ -80,16 +82,27 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return {r["column"]: r["value"] for r in top_values(df, columns, 1).collect()}
 
 
-def category_counts(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
-    """Rows per category of each column. As many numbers reach the driver as the encoded rows have features, which
-    is what a model fitted to them holds per feature anyway."""
-    found: dict[str, dict[str, int]] = {c: {} for c in columns}
-    if columns:
-        for r in cell_counts(df, columns).where(F.col("value").isNotNull()).toLocalIterator():
-            found[r["column"]][r["value"]] = r["n"]
+def category_counts(slots: DataFrame) -> dict[str, dict[str, int]]:
+    """Rows per category of each text column of a slot table, for whoever wants them on the driver."""
+    found: dict[str, dict[str, int]] = {}
+    for r in slots.where(F.col("value").isNotNull()).orderBy("slot").collect():
+        found.setdefault(r["column"], {})[r["value"]] = r["n"]
     return found
 
 
+def _slots(df: DataFrame, numeric: dict[str, int], texts: list[str], weight: Column) -> DataFrame:
+    """Stage table (column, value, n, weight, slot) for number columns with their present rows, and text columns."""
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(None).cast("string").alias("value"), F.lit(n).cast("long").alias("n"))
+             for c, n in numeric.items()]
+    rows = df.sparkSession.range(1).select(F.inline(F.array(*cells).cast("array<struct<column:string,value:string,n:bigint>>")))
+    if texts:
+        found = cell_counts(df, texts).where(F.col("value").isNotNull())
+        rows = rows.unionByName(found.select("column", "value", F.col("n").cast("long").alias("n")))
+    place = F.array_position(F.array(*[F.lit(c) for c in [*numeric, *texts]]).cast("array<string>"), F.col("column"))
+    ranked = running_total(rows.withColumn("_place", place), [], ["_place", "value"], F.lit(1).cast("long"), "slot")
+    return stage(ranked.select("column", "value", "n", F.when(F.col("value").isNotNull(), weight).alias("weight"), "slot"), "slots")
+
+
 def feature_slots(df: DataFrame, exclude=()) -> DataFrame:
     """(column, value, n, slot): the features that ``fit_features`` makes of ``df``, in vector order, as a stage table.
 
@@ -98,16 +111,8 @@ def feature_slots(df: DataFrame, exclude=()) -> DataFrame:
     """
     numeric, texts = _feature_columns(df, exclude)
     stats = moments(df, numeric)
-    numeric = [c for c in numeric if stats[c].present]
-    cells = [F.struct(F.lit(c).alias("column"), F.lit(None).cast("string").alias("value"),
-                      F.lit(stats[c].present).cast("long").alias("n")) for c in numeric]
-    rows = df.sparkSession.range(1).select(F.inline(F.array(*cells).cast("array<struct<column:string,value:string,n:bigint>>")))
-    if texts:
-        found = cell_counts(df, texts).where(F.col("value").isNotNull())
-        rows = rows.unionByName(found.select("column", "value", F.col("n").cast("long").alias("n")))
-    place = F.array_position(F.array(*[F.lit(c) for c in [*numeric, *texts]]).cast("array<string>"), F.col("column"))
-    ranked = running_total(rows.withColumn("_place", place), [], ["_place", "value"], F.lit(1).cast("long"), "slot")
-    return stage(ranked.drop("_place"), "slots")
+    counted = {c: stats[c].present for c in numeric if stats[c].present}
+    return _slots(df, counted, texts, F.lit(1.0)).drop("weight")
 
 
 # --- table operators --------------------------------------------------------------------------------
@@ -192,15 +197,16 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = TES
     (class, hash, key), so no class is ever in one task and ties need nothing special. Rows without a label have no
     split.
     """
-    hashed = df.withColumn("_h", wide_hash(F.col(key), salt)).withColumn("_class", F.col(label).cast("string"))
-    narrow = hashed.where(F.col("_class").isNotNull()).select("_class", "_h", F.col(key).alias("_key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # so that no column of the table can clash
+    hashed = df.select(row.alias("row"), wide_hash(F.col(key), salt).alias("_h"), F.col(label).cast("string").alias("_class"), F.col(key).alias("_key"))
+    narrow = hashed.where(F.col("_class").isNotNull()).select("_class", "_h", "_key")
     ranked = stage(running_total(narrow, ["_class"], ["_h", "_key"], F.lit(1).cast("long"), "_rank"), "ranked")
     last = ranked.join(_quotas(ranked, test_size), "_class").where(F.col("_rank") == F.col("quota") - 1)
     last = last.select("_class", F.col("_h").alias("_cut"), F.col("_key").alias("_last"))
     placed = hashed.join(last, "_class", "left")
-    first = (F.col("_h") < F.col("_cut")) | ((F.col("_h") == F.col("_cut")) & (F.col(key) <= F.col("_last")))
+    first = (F.col("_h") < F.col("_cut")) | ((F.col("_h") == F.col("_cut")) & (F.col("_key") <= F.col("_last")))
     split = F.when(F.col("_class").isNotNull(), F.when(first, "test").otherwise("train"))
-    return placed.withColumn("split", split).select(*df.columns, "split")
+    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], split.alias("split"))
 
 
 def _quotas(ranked: DataFrame, test_size: float) -> DataFrame:
@@ -243,64 +249,96 @@ def split_integrity(whole: DataFrame, train: DataFrame, test: DataFrame, key: st
 
 @dataclass(frozen=True)
 class FeatureSpec:
-    """What fitting learned. ``pipeline`` turns it into a saveable model that adds a ``features`` vector."""
+    """What fitting learned: a few numbers per column, and the slot table with every category."""
 
     numeric: list[str]
     fill: dict[str, float]
     scale: dict[str, tuple[float, float]]
-    categories: dict[str, list[str]]
+    texts: list[str]
     category_fill: dict[str, str]
-    category_weight: dict[str, list[float]] = field(default_factory=dict)
-
-    def pipeline(self, df: DataFrame) -> PipelineModel:
-        exprs = []
-        for c in self.numeric:
-            mean, std = self.scale[c]
-            fill = _literal(self.fill[c])
-            x = f"nanvl(coalesce(CAST(`{c}` AS DOUBLE), {fill}), {fill})"
-            exprs.append(f"({x} - {_literal(mean)}) / {_literal(std or 1.0)} AS `num__{c}`")
-        texts = list(self.categories)
-        for c in texts:
-            fill = self.category_fill.get(c)
-            x = f"`{c}`" if fill is None else f"coalesce(`{c}`, {_quoted(fill)})"
-            exprs.append(f"{x} AS `cat__{c}`")
-        stages = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")]
-        parts = [f"num__{c}" for c in self.numeric]
-        scratch = list(parts)
-        if texts:
-            indexed, coded = [f"idx__{c}" for c in texts], [f"hot__{c}" for c in texts]
-            # one indexer per column: label arrays of unequal length in one would be padded with NULL labels
-            indexers = [
-                StringIndexerModel.from_labels(self.categories[c], f"cat__{c}", i, handleInvalid="keep")
-                for c, i in zip(texts, indexed)
-            ]
-            # an unseen or missing value takes the slot after the last label, which is the one dropped
-            encoder = OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True)
-            empty = df.limit(0)
-            for stage in (*stages, *indexers):
-                empty = stage.transform(empty)
-            stages += [*indexers, encoder.fit(empty)]
-            parts += coded
-            scratch += [f"cat__{c}" for c in texts] + indexed + coded
-        weighted = bool(self.category_weight)
-        stages.append(VectorAssembler(inputCols=parts, outputCol="unweighted" if weighted else "features"))
-        if weighted:
-            weights = [1.0] * len(self.numeric) + [w for c in texts for w in self.category_weight[c]]
-            stages.append(ElementwiseProduct(
-                scalingVec=Vectors.dense(weights), inputCol="unweighted", outputCol="features"
-            ))
-            scratch.append("unweighted")
-        dropped = ", ".join(f"`{c}`" for c in scratch)
-        stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({dropped}) FROM __THIS__"))
-        return PipelineModel(stages)
-
-
-def _literal(x: float) -> str:
-    return f"{float(x)!r}D"
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    counts: dict[str, int]  # categories per text column
+    literals: dict[str, list[tuple[str, int, float]]]  # (value, slot, weight) of columns with few categories
+    slots: DataFrame
+    path: str
+
+    @property
+    def size(self) -> int:
+        return len(self.numeric) + sum(self.counts.values())
+
+    @cached_property
+    def categories(self) -> dict[str, list[str]]:
+        """All categories on the driver; no operator of this library asks for them."""
+        return {c: list(n) for c, n in category_counts(self.slots).items()}
+
+    def names(self) -> DataFrame:
+        """(slot, feature) in the cluster."""
+        return self.slots.select("slot", F.concat_ws("_", "column", "value").alias("feature"))
+
+    def pipeline(self, df: DataFrame) -> Encoder:
+        missing = [c for c in [*self.numeric, *self.texts] if c not in df.columns]
+        if missing:
+            raise ValueError(f"no columns {', '.join(missing)}")
+        return Encoder(self)
+
+
+@dataclass(frozen=True)
+class Encoder:
+    """Turns rows into their non-zero features."""
+
+    spec: FeatureSpec
+
+    def _joined(self, df: DataFrame) -> tuple[DataFrame, Column, list[str]]:
+        """The rows beside their dictionary entries, an array of (slot, value) in slot order, and the added columns.
+
+        A column with few categories looks them up among literals. Any other one joins its part of the slot table, which
+        Spark broadcasts or shuffles by its size; a category that a third of the rows share is split by the skew join.
+        An unseen category, or a missing one without fill, has no slot.
+        """
+        spec, prefix = self.spec, "_e"
+        while any(c.startswith(prefix) for c in df.columns):
+            prefix += "_"
+        numbers = []
+        for i, c in enumerate(spec.numeric):
+            mean, std = spec.scale[c]
+            x = F.coalesce(present(df, c).cast("double"), F.lit(float(spec.fill[c])))
+            numbers.append(F.struct(F.lit(i).alias("slot"), ((x - mean) / (std or 1.0)).alias("value")))
+        hits, added, rows = [], [], df
+        for i, c in enumerate(spec.texts):
+            cell = text_cells(df, [c])[0]
+            if c in spec.category_fill:
+                cell = F.coalesce(cell, F.lit(spec.category_fill[c]))
+            if c in spec.literals:
+                values, slots, weights = (F.array(*[F.lit(x[k]) for x in spec.literals[c]]) for k in range(3))
+                at = F.nullif(F.array_position(values, cell), F.lit(0).cast("long")).cast("int") - 1
+                slot, weight = F.get(slots, at), F.get(weights, at)
+            else:
+                value, slot, weight = (f"{prefix}{kind}{i}" for kind in ("v", "s", "w"))
+                own = spec.slots.where((F.col("column") == c) & F.col("value").isNotNull())
+                own = own.select(F.col("value").alias(value), F.col("slot").cast("int").alias(slot), F.col("weight").alias(weight))
+                rows = rows.join(own, cell == F.col(value), "left")
+                added += [value, slot, weight]
+                slot, weight = F.col(slot), F.col(weight)
+            hits.append(F.when(slot.isNotNull(), F.struct(slot.alias("slot"), weight.alias("value"))))
+        kind = "array<struct<slot:int,value:double>>"
+        return rows, F.concat(F.array(*numbers).cast(kind), F.array_compact(F.array(*hits)).cast(kind)), added
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with a sparse ``features`` vector; which slot is which feature is in the slot table it names."""
+        rows, cells, added = self._joined(df)
+        parts = F.struct(
+            F.lit(0).cast("tinyint").alias("type"), F.lit(self.spec.size).alias("size"),
+            cells["slot"].alias("indices"), cells["value"].alias("values"),
+        )
+        vector = T.StructType([T.StructField("features", VectorUDT())])
+        # a vector is this struct to Spark, but no cast leads there; its JSON reader does
+        built = F.from_json(F.to_json(F.struct(parts.alias("features"))), vector)["features"]
+        found = rows.withColumn("features", built).drop(*added)
+        return found.withMetadata("features", {"ml_attr": {"num_attrs": self.spec.size}, "slots": self.spec.path})
+
+    def cells(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, slot, value): the encoded matrix without its zeros, one row per cell."""
+        rows, cells, _ = self._joined(df)
+        return rows.select(key, F.inline(cells)).where(F.col("value") != 0)
 
 
 def _feature_columns(df: DataFrame, exclude) -> tuple[list[str], list[str]]:
@@ -311,20 +349,34 @@ def _feature_columns(df: DataFrame, exclude) -> tuple[list[str], list[str]]:
     return numeric, roles.categorical_columns(df, exclude)
 
 
+def _spec(slots: DataFrame, numeric, fill, scale, texts, fill_mode: bool) -> FeatureSpec:
+    """Reads a few numbers per text column off the slot table, and the categories of those with few."""
+    entry = F.when(F.col("value").isNotNull(), F.struct("slot", "value", "weight"))
+    columns = slots.where(F.col("value").isNotNull()).groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"), F.min("slot").alias("low"))
+    found = {r["column"]: r for r in columns.collect()}
+    few = [c for c, r in found.items() if r["n"] <= LITERALS]
+    literals: dict[str, list] = {c: [] for c in few}
+    if few:
+        held = slots.where(F.col("column").isin(few)).select("column", entry.alias("e")).where(F.col("e").isNotNull())
+        for r in held.orderBy("e").collect():  # at most LITERALS per column
+            literals[r["column"]].append((r["e"]["value"], r["e"]["slot"], r["e"]["weight"]))
+    texts = [c for c in texts if c in found]
+    path = slots.inputFiles()[0].rsplit("/", 1)[0]
+    return FeatureSpec(
+        numeric=numeric, fill=fill, scale=scale, texts=texts, counts={c: found[c]["n"] for c in texts},
+        category_fill={c: found[c]["mode"] for c in texts} if fill_mode else {}, literals=literals, slots=slots, path=path,
+    )
+
+
 def fit_features(train: DataFrame, exclude=()) -> FeatureSpec:
     """Median fill and scaling for numbers, mode fill and one-hot for texts, learned from the training rows."""
     numeric, texts = _feature_columns(train, exclude)
-    counts = category_counts(train, texts)
     stats = moments(train, numeric)
     numeric = [c for c in numeric if stats[c].present]  # a column without any value has nothing to learn
     fill = medians(train, numeric)
-    return FeatureSpec(
-        numeric=numeric,
-        fill=fill,
-        scale={c: stats[c].filled(fill[c]) for c in numeric},
-        categories={c: sorted(n) for c, n in counts.items() if n},
-        category_fill={c: min(n, key=lambda v: (-n[v], v)) for c, n in counts.items() if n},
-    )
+    slots = _slots(train, {c: stats[c].present for c in numeric}, texts, F.lit(1.0))
+    return _spec(slots, numeric, fill, {c: stats[c].filled(fill[c]) for c in numeric}, texts, fill_mode=True)
 
 
 def fit_segment_features(df: DataFrame, features: list[str]) -> FeatureSpec:
@@ -334,25 +386,23 @@ def fit_segment_features(df: DataFrame, features: list[str]) -> FeatureSpec:
     """
     chosen = df.select(*features)
     numeric, texts = _feature_columns(chosen, ())
-    counts = category_counts(chosen, texts)
     stats = moments(chosen, numeric)
     numeric = [c for c in numeric if stats[c].present]
-    rows = chosen.count() if counts else 0
-    categories = {c: sorted(n) for c, n in counts.items() if n}
-    weights = {}
-    for c, values in categories.items():
-        shares = [counts[c][v] / rows for v in values]
-        weights[c] = [1.0 / math.sqrt(p * (1 - p)) if 0 < p < 1 else 1.0 for p in shares]
-    return FeatureSpec(
-        numeric=numeric, fill={c: stats[c].mean for c in numeric},
-        scale={c: stats[c].filled(stats[c].mean) for c in numeric}, categories=categories, category_fill={},
-        category_weight=weights,
-    )
+    share = F.col("n") / F.lit(chosen.count() if texts else 1)
+    weight = F.when(share < 1, 1 / F.sqrt(share * (1 - share))).otherwise(1.0)
+    slots = _slots(chosen, {c: stats[c].present for c in numeric}, texts, weight)
+    means = {c: stats[c].mean for c in numeric}
+    return _spec(slots, numeric, means, {c: stats[c].filled(means[c]) for c in numeric}, texts, fill_mode=False)
 
 
 def feature_names(df: DataFrame, column: str = "features") -> list[str]:
-    """Encoded feature names, in vector order, from the column's ML attributes."""
-    attributes = df.schema[column].metadata.get("ml_attr", {})
+    """Encoded feature names, in vector order, as a list: from the slot table that the column names, else from its ML
+    attributes. ``FeatureSpec.names`` leaves them in the cluster."""
+    metadata = df.schema[column].metadata
+    if "slots" in metadata:
+        slots = df.sparkSession.read.parquet(metadata["slots"]).orderBy("slot")
+        return [r[0] for r in slots.select(F.concat_ws("_", "column", "value")).collect()]
+    attributes = metadata.get("ml_attr", {})
     slots = [a for group in attributes.get("attrs", {}).values() for a in group]
     names = {a["idx"]: a.get("name") for a in slots}
     size = attributes.get("num_attrs", len(names))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +23,8 @@ FIXED_INTERCEPT = 0.25
 @dataclass(frozen=True)
 class Trained:
     prepared: models.Prepared
-    logistic: PipelineModel
-    boosted: PipelineModel
+    logistic: models.Classifier
+    boosted: models.Classifier
     scores: DataFrame
     test: DataFrame
 
@@ -110,14 +109,11 @@ FROM base, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m FROM base)"""
 {" UNION ALL ".join(_scaled_sql(c) for c in _PREP_NUMBERS)} UNION ALL {_hot_sql('base', TEXTS, True)})
 WHERE value <> 0""")
 def preprocess(spark, folder):
-    """Non-zero cells of the encoded matrix, read back from the feature vectors."""
+    """Non-zero cells of the encoded matrix."""
     rows = base(spark, folder).select(KEY, *_PREP_NUMBERS, *TEXTS)
     spec = prep.fit_features(rows, exclude=(KEY,))
-    encoded = spec.pipeline(rows).transform(rows)
-    names = F.array(*[F.lit(n) for n in prep.feature_names(encoded)])
-    cells = encoded.select(KEY, F.posexplode(models.vector_to_array("features")).alias("i", "value"))
-    long = cells.select(KEY, F.get(names, F.col("i")).alias("feature"), F.round("value", 6).alias("value"))
-    return long.where(F.col("value") != 0)
+    cells = spec.pipeline(rows).cells(rows, KEY).join(spec.names(), "slot")
+    return cells.select(KEY, "feature", F.round("value", 6).alias("value")).where(F.col("value") != 0)
 
 
 @query("feature_names", f"""WITH {PLANTED}, train AS (SELECT * FROM planted WHERE split = 'train'),
@@ -129,8 +125,7 @@ SELECT CAST(row_number() OVER (ORDER BY block, feature) - 1 AS INTEGER) AS posit
 def feature_names(spark, folder):
     rows = planted(spark, folder).where(F.col("split") == "train")
     spec = prep.fit_features(rows, exclude=(KEY, "churn", *NOT_FEATURES))
-    names = prep.feature_names(spec.pipeline(rows).transform(rows))
-    return spark.createDataFrame(list(enumerate(names)), "position int, feature string")
+    return spec.names().select(F.col("slot").cast("int").alias("position"), "feature")
 
 
 @query("feature_names_wide", """WITH n AS (SELECT 0 AS block, 'c_acctbal' AS feature
