@@ -17,19 +17,21 @@ def running_total(df: DataFrame, group: list[str], order: list[str], weight: Col
     Rows are range-partitioned by group and order, so a hot group lies in many partitions. Totals run inside each
     (group, partition) and start at the sum of the group's earlier partitions, of which there are few.
     """
-    keys = [*group, *order]
-    dealt = df.withColumn("_w", weight).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    rows = stage(dealt, "dealt")
-    inside = W.partitionBy(*group, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    sums = rows.groupBy(*group, "_part").agg(F.sum("_w").alias("_w"))
-    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(
-        *[F.col(g).alias(f"_{i}") for i, g in enumerate(group)], F.col("_part").alias("_at"),
-        F.sum("_w").over(earlier).alias("_start"),
+    held = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),  # so that no column can clash with the names below
+        weight.alias("w"), *[F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(group)],
+        *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)],
     )
+    groups, orders = [f"g{i}" for i in range(len(group))], [f"o{i}" for i in range(len(order))]
+    rows = stage(held.repartitionByRange(*groups, *orders).withColumn("part", F.spark_partition_id()), "dealt")
+    inside = W.partitionBy(*groups, "part").orderBy(*orders).rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(*groups, "part").agg(F.sum("w").alias("w"))
+    earlier = W.partitionBy(*groups).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(
+        *[F.col(g).alias(f"of_{g}") for g in groups], F.col("part").alias("at"), F.sum("w").over(earlier).alias("start"))
     same = reduce(
-        Column.__and__, [F.col(g).eqNullSafe(F.col(f"_{i}")) for i, g in enumerate(group)], F.col("_part") == F.col("_at")
-    )
-    local = F.coalesce(F.sum("_w").over(inside), F.lit(0))
-    found = rows.withColumn("_local", local).join(starts, same)
-    return found.select(*df.columns, (F.col("_local") + F.coalesce("_start", F.lit(0))).alias(name))
+        Column.__and__, [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups], F.col("part") == F.col("at"))
+    local = F.coalesce(F.sum("w").over(inside), F.lit(0))
+    found = rows.withColumn("local", local).join(starts, same)
+    total = (F.col("local") + F.coalesce("start", F.lit(0))).alias(name)
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], total)

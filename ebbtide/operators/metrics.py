@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.ranking import running_total
 from ebbtide.functions.shaping import fan_out, number_cells, present, unfold
-from ebbtide.operators.quantiles import at_rank, value_runs
+from ebbtide.operators.quantiles import at_rank, bracketed_runs
 from ebbtide.session import stage
 
 # Decision threshold, class names and the share of customers to reach first.
@@ -164,5 +164,5 @@ def high_risk_customers(scores: DataFrame, score: str, share: float = RISK_SHARE
     """Rows at or above the score that cuts off the given share; the cut is exact and nothing is sorted."""
     long = unfold(scores, number_cells(scores, [score]))
     rank = F.greatest(F.lit(0), F.ceil(F.round((1.0 - share) * F.col("total"), 6)) - 1)
-    cut = at_rank(value_runs(long, key="slot"), rank).select("value").scalar()
+    cut = at_rank(bracketed_runs(long, [1.0 - share], key="slot"), rank).select("value").scalar()
     return scores.where(present(scores, score) >= cut)

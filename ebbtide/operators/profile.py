@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from ebbtide.functions import roles
 from ebbtide.functions.shaping import fan_out, named, number_cells, present, text_cells, unfold
-from ebbtide.operators.quantiles import column_quantiles, quantiles_of, value_runs
+from ebbtide.operators.quantiles import column_quantiles, exact_quantiles
 from ebbtide.session import stage
 
 # Sizes of the report.
@@ -146,7 +146,8 @@ def missing_columns(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: rows, rows that repeat an earlier one in every column (NULL equals NULL), and their share."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    named_apart = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    groups = named_apart.groupBy(*named_apart.columns).agg(F.count(F.lit(1)).alias("_copies"))
     copies = groups.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates"),
@@ -239,24 +240,23 @@ def histogram(df: DataFrame, column: str, by: str | None = None, bins: int = HIS
 def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     """Per group: quartiles (linear), whiskers at the last values within 1.5 interquartile ranges, outliers.
 
-    Whiskers and outliers come from the counted values that the quartiles are found in, not from the rows again.
+    Once the quartiles are known, one aggregate over the rows finds whiskers and outliers.
     """
     long = df.select(F.col(by).cast("string").alias("group"), present(df, column).cast("double").alias("value"))
     long = long.where(F.col("group").isNotNull() & F.col("value").isNotNull())
-    runs = stage(value_runs(long, key="group"), "runs")  # read for the quartiles, then for the whiskers
-    quartiles = quartile_columns(quantiles_of(runs, QUARTILES, key="group"), "group")
+    quartiles = quartile_columns(exact_quantiles(long, QUARTILES, key="group"), "group")
     reach = WHISKER * (F.col("q75") - F.col("q25"))
-    fenced = quartiles.withColumn("low_fence", F.col("q25") - reach).withColumn("high_fence", F.col("q75") + reach)
+    fenced = stage(quartiles.withColumn("low_fence", F.col("q25") - reach).withColumn("high_fence", F.col("q75") + reach), "fences")
     x = F.col("value")
     within = (x >= F.col("low_fence")) & (x <= F.col("high_fence"))
     return (
-        runs.join(fenced, "group")
+        long.join(fenced, "group")
         .groupBy("group", "q25", "q50", "q75")
         .agg(
-            F.sum("n").alias("n"),
+            F.count(F.lit(1)).alias("n"),
             F.min(F.when(within, x)).alias("low_whisker"),
             F.max(F.when(within, x)).alias("high_whisker"),
-            F.coalesce(F.sum(F.when(~within, F.col("n"))), F.lit(0)).alias("outliers"),
+            F.count_if(~within).alias("outliers"),
         )
     )
 

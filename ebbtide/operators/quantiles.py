@@ -1,12 +1,15 @@
 """Exact order statistics and interpolated quantiles for tables of any size and any number of keys.
 
-Equal values are counted first, so a value that a third of all rows share is one row. The counted values are dealt by
-range of (key, value) and their running totals found partition by partition (:mod:`ebbtide.functions.ranking`): no task
-needs a whole column, the source is read once, and nothing depends on how many rows or keys there are.
+A first read sketches every key's values; the sketch's error is bounded, so two of its values enclose each wanted rank
+for sure. A second read counts the rows below each bracket, which every task sends as one number, and the equal values
+inside, a thousandth of all or so. Running totals over these few (:mod:`ebbtide.functions.ranking`) find the value at
+each rank. No task needs a whole column, and what is shuffled does not grow with the number of distinct values.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +17,40 @@ from ebbtide.functions.ranking import running_total
 from ebbtide.functions.shaping import named, number_cells, unfold
 from ebbtide.session import stage
 
+ACCURACY = 4_000  # a sketched rank is off by one in so many at most
+# With this many values or fewer a bracket of twice the error would be narrower than a few ranks: all are counted.
+FEW = 2 * ACCURACY
+
 
-def value_runs(long: DataFrame, key: str = "column", value: str = "value") -> DataFrame:
-    """(key, value, n, before, total): each distinct value with its rows, the rows below it and those of its key.
+def bracketed_runs(long: DataFrame, probabilities: list[float], key: str = "column", value: str = "value") -> DataFrame:
+    """(key, value, n, before, total): distinct values near the wanted ranks with their rows, the rows below them and all
+    rows of their key. Every value whose rank is within two of ``p * total`` is there.
 
-    Missing values are left out; a NULL key is a key.
+    Missing values are left out, NaN among them; a NULL key is a key.
     """
-    present = long.select(key, F.col(value).alias("value")).where(F.col("value").isNotNull())
-    counted = stage(present.groupBy(key, "value").agg(F.count(F.lit(1)).alias("n")), "counted")
-    runs = running_total(counted, [key], ["value"], F.col("n"))
-    totals = counted.groupBy(F.col(key).alias("_key")).agg(F.sum("n").alias("total"))
-    return runs.join(totals, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    x = F.col(value).cast("double")
+    present = long.select(F.col(key).alias("_key"), F.nanvl(x, F.lit(None)).alias("_x")).where(F.col("_x").isNotNull())
+    wide = 2 / ACCURACY
+    ends = sorted({min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-wide, wide)})
+    sketched = present.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("total"), F.percentile_approx("_x", ends, ACCURACY).alias("at"))
+    few = F.col("total") <= FEW
+    brackets = []
+    for i, p in enumerate(probabilities):
+        low, high = (F.get("at", F.lit(ends.index(min(max(p + d, 0.0), 1.0)))) for d in (-wide, wide))
+        brackets += [F.when(few, float("-inf")).otherwise(low).alias(f"low{i}"), F.when(few, float("inf")).otherwise(high).alias(f"high{i}")]
+    found = stage(sketched.select(F.col("_key").alias("_of"), "total", *brackets), "brackets")
+
+    each = present.join(found, F.col("_key").eqNullSafe(F.col("_of")))  # a row per key, broadcast if Spark finds it small
+    numbers = range(len(probabilities))
+    inside = reduce(Column.__or__, [F.col("_x").between(F.col(f"low{i}"), F.col(f"high{i}")) for i in numbers])
+    # rows outside count where the next bracket begins; beyond the last bracket nobody asks for them
+    later = [F.when(F.col(f"low{i}") > F.col("_x"), F.col(f"low{i}")) for i in numbers]
+    following = F.least(*later) if len(later) > 1 else later[0]
+    counted = each.select("_key", "total", inside.alias("inside"), F.when(inside, F.col("_x")).otherwise(following).alias("edge"))
+    counted = counted.where(F.col("edge").isNotNull()).groupBy("_key", "total", "edge", "inside").agg(F.count(F.lit(1)).alias("n"))
+    runs = running_total(stage(counted, "counted"), ["_key"], ["edge", "inside"], F.col("n"))
+    return runs.where("inside").select(F.col("_key").alias(key), F.col("edge").alias("value"), "n", "before", "total")
 
 
 def at_rank(runs: DataFrame, rank: Column) -> DataFrame:
@@ -52,7 +78,7 @@ def quantiles_of(runs: DataFrame, probabilities: list[float], key: str = "column
 
 def exact_quantiles(long: DataFrame, probabilities: list[float], key: str = "column", value: str = "value") -> DataFrame:
     """(key, q, value) of a (key, value) table."""
-    return quantiles_of(value_runs(long, key, value), probabilities, key)
+    return quantiles_of(bracketed_runs(long, probabilities, key, value), probabilities, key)
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:

@@ -116,6 +116,41 @@ def preprocess(spark, folder):
     return cells.select(KEY, "feature", F.round("value", 6).alias("value")).where(F.col("value") != 0)
 
 
+_WIDE = ["c_custkey", "c_acctbal", "c_mktsegment", "c_name"]
+
+
+@query("preprocess_wide", """SELECT * FROM (
+SELECT c_custkey, 'c_acctbal' AS feature,
+  round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) + 0.0 AS value FROM customer
+UNION ALL SELECT c_custkey, 'c_mktsegment_' || c_mktsegment, 1 FROM customer
+UNION ALL SELECT c_custkey, 'c_name_' || c_name, 1 FROM customer) WHERE value <> 0""")
+def preprocess_wide(spark, folder):
+    """As ``preprocess``, with a category for every customer."""
+    rows = read_table(spark, folder, "customer", _WIDE)
+    spec = prep.fit_features(rows, exclude=("c_custkey",))
+    cells = spec.pipeline(rows).cells(rows, "c_custkey").join(spec.names(), "slot")
+    return cells.select("c_custkey", "feature", F.round("value", 6).alias("value")).where(F.col("value") != 0)
+
+
+@query("train_wide_check", """SELECT 'c_acctbal' AS feature, true AS stationary
+UNION ALL SELECT DISTINCT 'c_mktsegment_' || c_mktsegment, true FROM customer
+UNION ALL SELECT DISTINCT 'c_name_' || c_name, true FROM customer""")
+def train_wide_check(spark, folder):
+    """The linear model learns with a category for every customer: the gradient of its penalised mean loss is next to
+    zero in every coefficient. Label: an odd nation."""
+    rows = read_table(spark, folder, "customer", [*_WIDE, "c_nationkey"]).withColumn("y", (F.col("c_nationkey") % 2).cast("int"))
+    prepared = models.prepare(rows, "c_custkey", "y", exclude=("c_nationkey",))
+    learner = models.train_logistic(prepared).stages[-1]
+    weights = spark.createDataFrame(list(enumerate(map(float, learner.coefficients))), "slot int, weight double")
+    cells = stage(prepared.pipeline.cells(rows, "c_custkey"), "cells")
+    margin = cells.join(weights, "slot").groupBy("c_custkey").agg((F.sum(F.col("value") * F.col("weight")) + learner.intercept).alias("margin"))
+    slope = rows.select("c_custkey", "y").join(margin, "c_custkey").select("c_custkey", (1 / (1 + F.exp(-F.col("margin"))) - F.col("y")).alias("d"))
+    pulls = cells.join(slope, "c_custkey").groupBy("slot").agg((F.sum(F.col("value") * F.col("d")) / prepared.train.count()).alias("g"))
+    named = prepared.spec.names().join(weights, "slot").join(pulls, "slot", "left")
+    still = F.abs(F.coalesce("g", F.lit(0.0)) + learner.getOrDefault("regParam") * F.col("weight")) < 1e-4
+    return named.select("feature", still.alias("stationary"))
+
+
 @query("feature_names", f"""WITH {PLANTED}, train AS (SELECT * FROM planted WHERE split = 'train'),
 names AS (
   SELECT 0 AS block, 'order_count' AS feature UNION ALL SELECT 1, 'acct_balance_raw' UNION ALL SELECT 2, 'is_machinery'
