@@ -3,13 +3,16 @@
 Tags drive a stack of open elements with the implied end and start tags that pages leave out. Every element knows
 whether it is displayed and visible; text of visible ones flows into the block around it. Blocks start on new lines,
 paragraph-like ones behind a blank line, list items carry their marker and depth, and a table's cells are written into
-columns once the table ends. Nesting is a list, not recursion, so its depth does not matter.
+columns once the table ends. Nesting is a list, not recursion, so its depth does not matter: the nearest open element of
+a tag is looked up, not searched, and a tag without an end is recognised without reading the rest of the page again, so
+time grows with the length of a page whatever is wrong with it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,14 +47,20 @@ CLOSES = {
 IN_HEAD = frozenset("title meta link style script base noscript template".split())
 SCOPES = frozenset("table td th caption button".split())
 PAD = 60  # cells wider than this are written whole, but do not widen their column
+INDENT = 40  # levels that are indented; deeper ones stand at the same margin
+NEAR = 512  # characters within which nearly all tags end
 
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.DOTALL)
+LISTS = frozenset("ul ol menu table".split())
+
+_OTHER = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?", re.DOTALL)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>")
+_ENDS = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _PLACED = re.compile(r"(?:^|\s)(?:x|y|dy)\s*=")
-_BARE_END = re.compile(r"=\s*[^\s\"'>]+$")
+_BARE = re.compile(r"[^\s\"'>]*")
 _HINTS = ("hidden", "style", "open", "start", "value", "colspan", "display", "visib")
 
 
@@ -133,16 +142,18 @@ class _Open:
 
 
 class _Stack(list):
-    """Open elements, with how many there are of each tag, and of ``p`` since the last barrier."""
+    """Open elements, with the places of each tag, the open lists, and the number of ``p`` since the last barrier."""
 
     def __init__(self, root: _Open):
         super().__init__([root])
-        self.count: dict[str, int] = {}
-        self.blocks, self.tables, self.paragraphs = [root.block], [], [0]
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.tables, self.lists, self.paragraphs = [root.block], [], [], [0]
 
     def open(self, entry: _Open):
+        self.places.setdefault(entry.tag, []).append(len(self))
         self.append(entry)
-        self.count[entry.tag] = self.count.get(entry.tag, 0) + 1
+        if entry.tag in LISTS:
+            self.lists.append(entry)
         if entry.block is not None:
             self.blocks.append(entry.block)
         if entry.rows is not None:
@@ -154,7 +165,9 @@ class _Stack(list):
 
     def shut(self) -> _Open:
         entry = self.pop()
-        self.count[entry.tag] -= 1
+        self.places[entry.tag].pop()
+        if entry.tag in LISTS:
+            self.lists.pop()
         if entry.block is not None:
             self.blocks.pop()
         if entry.rows is not None:
@@ -166,7 +179,44 @@ class _Stack(list):
         return entry
 
     def has(self, tag: str) -> bool:
-        return self.count.get(tag, 0) > 0
+        return bool(self.places.get(tag))
+
+    def nearest(self, tags) -> int:
+        """Place of the innermost open element of these tags, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
+class _Tags:
+    """Ends of tags. A scan that ran to the end of the page in vain is remembered by the places it went through, so that
+    no later one follows it."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.marks = self.failed = None
+
+    def end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` is closed, behind the ``>``; -1 if nowhere. Quotes that are not
+        closed stand for themselves."""
+        if at > self.last:
+            return -1
+        near = _REST.match(self.page, at, at + NEAR)
+        if near:
+            return near.end()
+        if self.marks is None:
+            self.marks, self.failed = [m.start() for m in _ENDS.finditer(self.page)], set()
+            self.quotes = {q: [i for i in self.marks if self.page[i] == q] for q in "\"'"}
+        passed = []
+        i = bisect_left(self.marks, at)
+        while i < len(self.marks) and i not in self.failed:
+            passed.append(i)
+            mark = self.page[self.marks[i]]
+            if mark == ">":
+                return self.marks[i] + 1
+            same = self.quotes[mark]
+            closing = bisect_left(same, self.marks[i] + 1)
+            i = bisect_left(self.marks, same[closing]) + 1 if closing < len(same) else i + 1
+        self.failed.update(passed)
+        return -1
 
 
 def visible_text(page: str | None) -> str:
@@ -175,6 +225,7 @@ def visible_text(page: str | None) -> str:
     root.block = _Block()
     stack, at, raw = _Stack(root), 0, None
     page = page or ""
+    tags = _Tags(page)
     while at < len(page):
         if raw:
             found = re.compile(rf"</{re.escape(raw)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
@@ -186,21 +237,28 @@ def visible_text(page: str | None) -> str:
             start = len(page)
         if start > at:
             _say(stack, page[at:start])
-        found = _TAG.match(page, start) if start < len(page) else None
-        if found is None:
-            if start < len(page):
-                _say(stack, "<")
-            at = start + 1
+        if start == len(page):
+            break
+        other = _OTHER.match(page, start)
+        if other:
+            at = other.end()
             continue
-        at = found.end()
-        if not found[2]:
+        if start > tags.last:  # no tag ends any more: all is text up to a comment or declaration
+            at = min((i for i in (page.find("<!", start), page.find("<?", start)) if i >= 0), default=len(page))
+            _say(stack, page[start:at])
             continue
-        tag = found[2].lower()
-        if found[1]:
+        name = _NAME.match(page, start)
+        end = tags.end(name.end()) if name else -1
+        if end < 0:
+            _say(stack, "<")
+            at = start + 1
+            continue
+        at, rest, tag = end, page[name.end() : end - 1], name[2].lower()
+        if name[1]:
             _end_tag(stack, tag)
         else:
-            lone = _foreign(stack) and found[3].endswith("/") and not _BARE_END.search(found[3])
-            _start_tag(stack, tag, found[3])
+            lone = _foreign(stack) and rest.endswith("/") and not _ends_bare(rest)
+            _start_tag(stack, tag, rest)
             if lone and tag not in VOID:
                 _close(stack, tag)
             elif tag in RAW:
@@ -215,6 +273,12 @@ def _foreign(stack: _Stack) -> bool:
     return stack.has("svg") or stack.has("math")
 
 
+def _ends_bare(rest: str) -> bool:
+    """Whether the tag ends in an attribute value without quotes, which then owns the last slash."""
+    run = _BARE.match(rest[::-1]).end()
+    return run > 0 and ("=" in rest[len(rest) - run : -1] or rest[: len(rest) - run].rstrip().endswith("="))
+
+
 def _say(stack: _Stack, data: str):
     top = stack[-1]
     if top.shown and top.inner and top.seen:
@@ -279,11 +343,11 @@ def _indent(stack: _Stack, entry: _Open, block: _Block, attributes: dict[str, st
     if entry.tag in ("ul", "ol", "menu", "dd", "blockquote"):
         entry.margin = block.margin
         if entry.tag in ("dd", "blockquote") or stack.has("li"):
-            block.margin += "  "
+            block.margin += "  " if len(block.margin) < 2 * INDENT else ""
         entry.count = _number(attributes.get("start"), 1) if entry.tag == "ol" else None
     elif entry.tag == "li":
         entry.margin = block.margin
-        holder = next((e for e in reversed(stack) if e.tag in ("ul", "ol", "menu", "table")), None)
+        holder = stack.lists[-1] if stack.lists else None
         if holder is not None and holder.count is not None:
             holder.count = _number(attributes.get("value"), holder.count)
             block.marker = f"{holder.count}. "
@@ -293,16 +357,10 @@ def _indent(stack: _Stack, entry: _Open, block: _Block, attributes: dict[str, st
 
 
 def _close_near(stack: _Stack, tags, barriers):
-    if not any(map(stack.has, tags)):
-        return
-    for entry in reversed(stack):
-        if entry.tag in tags:
-            while stack[-1] is not entry:
-                _close(stack, stack[-1].tag)
-            _close(stack, entry.tag)
-            return
-        if entry.tag in barriers:
-            return
+    at = stack.nearest(tags)
+    if at and at >= stack.nearest(barriers):
+        while len(stack) > at:
+            _close(stack, stack[-1].tag)
 
 
 def _end_tag(stack: _Stack, tag: str):

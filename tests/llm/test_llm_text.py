@@ -1,6 +1,7 @@
 """Rendering of pages and linking of quotes."""
 
 import re
+import time
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -189,3 +190,40 @@ def test_every_message_stays(spark):
 def test_linking_runs_without_python(spark, sf):
     plan = QUERIES["op7_quotation_linking"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|ExistingRDD", plan)
+
+
+HOSTILE = {
+    "tags without end": lambda n: "<a " * n,
+    "open quotes": lambda n: "<i x='" * n,
+    "ends in quotes": lambda n: "<a x='>'" * n,
+    "items below many elements": lambda n: "<div>" * n + "<li>x</li>" * n,
+    "end tags behind a barrier": lambda n: "<b><table><tr><td>" + "<div>" * n + "</b>" * n,
+    "deep quotations": lambda n: "<blockquote>x" * n,
+    "equals signs": lambda n: "<svg><a " + "=" * n + '"/>',
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_grows_with_the_page(name):
+    def seconds(n):
+        taken = []
+        for _ in range(3):
+            start = time.process_time()
+            html_text.visible_text(HOSTILE[name](n))
+            taken.append(time.process_time() - start)
+        return min(taken)
+
+    assert seconds(40_000) < 3 * seconds(20_000) + 0.05  # the square would be fourfold
+
+
+def test_a_megabyte_of_open_tags():
+    start = time.process_time()
+    assert html_text.visible_text("<a " * 350_000) == ("<a " * 350_000).strip()
+    assert time.process_time() - start < 1
+
+
+def test_tags_end_where_quotes_let_them():
+    cases = {"<a x='>'>b": "b", "<a x='>b": "b", '<a x=">" y=\'>c': "c", "<a <b>c": "c", "1 <a x='>' y": "1 <a x='>' y", "<a x='> <b>' y<p>z": "z"}
+    long = "y" * 2 * html_text.NEAR
+    cases |= {f"<a x='{long}>'>b": "b", f"<a {long}>b": "b", f"<a x='{long}>b": "b"}
+    assert {k: html_text.visible_text(k) for k in cases} == cases
