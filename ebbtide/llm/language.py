@@ -9,10 +9,10 @@ language is a sum of table entries over the whole text. The shortest code wins.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ LEAST_STRETCHES = 20
 SPREAD = 5.0
 BINS = 32  # per bit, of the histograms that limits are read from
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def codes(text: str) -> np.ndarray:

@@ -249,4 +249,4 @@ def drop_near(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, id_co
     """Rows of ``docs`` whose document is kept; an id goes if none of its rows is kept. Odd cases as in ``near_classes``."""
     classes = near_classes(docs, words, similar, id_col, text_col, rows, miss)
     dropped = classes.groupBy(F.col(id_col).alias("_dropped")).agg(F.max("kept").alias("kept")).where(~F.col("kept"))
-    return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")

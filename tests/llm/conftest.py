@@ -6,7 +6,7 @@ def sf():
     return "/root/testdata/sf0.01"
 
 
-CLASHING = "id long, norm string, prefix string, h long, n long, row string, kept string, text string, lang string, doc_id long, component string, score string, label string"
+CLASHING = "id long, norm string, prefix string, h long, n long, row string, kept string, text string, lang string, doc_id long, component string, score string, label string, _dropped string"
 
 
 def odd_rows():
@@ -18,7 +18,7 @@ def odd_rows():
         (8, "one  two"), (9, long), (None, plain), (None, None), (10, "1234 5678 !!!"), (11, "日本語 текст ▁   é🎉"),
         (12, plain), (13, "one"),
     ]
-    return [(7, "x", "y", 1, None, "r", "k", t, None if i is None or i % 5 == 0 else "en", i, "c", "s", "l") for i, t in texts]
+    return [(7, "x", "y", 1, None, "r", "k", t, None if i is None or i % 5 == 0 else "en", i, "c", "s", "l", "d") for i, t in texts]
 
 
 @pytest.fixture(scope="session")

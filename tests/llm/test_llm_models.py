@@ -208,3 +208,9 @@ def test_rules_odd_rows(spark, odd, nothing, some_labels):
     assert rules.judge(nothing, some_labels).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["kept"] != r["base_failed"] for r in rules.judge(odd, none).collect())
+
+
+def test_numbers_are_no_letters():
+    from ebbtide.llm import language
+
+    assert not any(map(language.has_letter, ["½ ²", "①", "Ⅷ", "٣ 12", "_", "", None, "😀"])) and all(map(language.has_letter, ["a", "²é", "語"]))
