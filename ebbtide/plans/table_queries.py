@@ -108,6 +108,17 @@ def dirty_files(spark, folder) -> str:
     return path
 
 
+@query("csv_quoted_breaks", """SELECT c_custkey, c_name || chr(10) || '"' || c_mktsegment || '",' || chr(10) || chr(10) || c_acctbal AS note,
+  c_acctbal FROM customer""")
+def csv_quoted_breaks(spark, folder):
+    """Line breaks, quotes and commas inside cells; the files are split among tasks like any other."""
+    rows = tables.read_table(spark, folder, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
+    note = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('",\n\n'), F.col("c_acctbal").cast("string"))
+    path = stage_path(spark, "csv")
+    csv.write_csv(rows.select("c_custkey", note.alias("note"), "c_acctbal"), path)
+    return csv.read_csv(spark, path, multi_line=True)
+
+
 @query("csv_rows", f"""WITH {BASE}, t AS (SELECT * REPLACE (
   CASE WHEN customer_id % 19 = 0 THEN CAST(signup_date AS VARCHAR) || 'x' ELSE CAST(signup_date AS VARCHAR) END AS signup_date) FROM base)
 SELECT {_CSV_ROWS} FROM t""")

@@ -13,6 +13,7 @@ from ebbtide.functions.roles import target_column
 from ebbtide.operators.label import label_check
 from ebbtide.operators.profile import validate_table
 from ebbtide.session import stage
+from ebbtide.sources.records import records
 
 # Texts read as a missing value.
 MISSING = (
@@ -25,7 +26,7 @@ BOOLEANS = ("true", "false")
 WHOLE = r"^[+-]?\d+$"
 DECIMAL = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
 
-CORRUPT = "_corrupt_record"
+CORRUPT, FILE = "_corrupt_record", "_file"
 BIT_WHOLE, BIT_DECIMAL, BIT_BOOLEAN, BIT_TEXT = 1, 2, 4, 8
 
 
@@ -42,13 +43,14 @@ def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
 
 def _names(header: str) -> list[str]:
     names = [n.replace(".", "_") for n in next(csv.reader([header.lstrip("\ufeff")]))]  # a dot would read as a struct field
-    if len(set(names)) < len(names) or CORRUPT in names:
+    if len(set(names)) < len(names) or CORRUPT in names or FILE in names:
         raise ValueError(f"column names repeat: {', '.join(names)}")
     return names
 
 
 def _text_rows(spark: SparkSession, path: str, multi_line: bool, mode: str = "PERMISSIVE") -> DataFrame:
-    """All cells as text, by column name whatever their order in a file.
+    """All cells as text, by column name whatever their order in a file. With ``multi_line``, records are cut by
+    :func:`records`, so a file with line breaks inside quotes is still split among tasks.
 
     ``mode`` says what becomes of malformed lines: PERMISSIVE puts them into CORRUPT, DROPMALFORMED leaves them out,
     FAILFAST fails.
@@ -57,7 +59,10 @@ def _text_rows(spark: SparkSession, path: str, multi_line: bool, mode: str = "PE
     for header, files in _headers(spark, path).items():
         names = [*_names(header), *([CORRUPT] if mode == "PERMISSIVE" else [])]
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line)
+        if multi_line:
+            parts.append(_parsed(records(spark, files), schema, mode))
+            continue
+        reader = spark.read.schema(schema).option("header", True).option("escape", '"')
         reader = reader.option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT)
         # with pruning on, the parser would not see how many fields a line has
         parts.append(reader.option("enforceSchema", True).option("columnPruning", False).csv(files))
@@ -70,6 +75,18 @@ def _text_rows(spark: SparkSession, path: str, multi_line: bool, mode: str = "PE
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def _parsed(found: DataFrame, schema: T.StructType, mode: str) -> DataFrame:
+    """The cells of each record; FILE, where it is wanted, is kept beside them."""
+    reading = {"escape": '"', "mode": "FAILFAST" if mode == "FAILFAST" else "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "maxCharsPerColumn": "-1"}
+    whole = schema if mode != "DROPMALFORMED" else T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    ddl = ", ".join(f"`{f.name}` string" for f in whole.fields)
+    cells = found.select("file", F.from_csv("record", ddl, reading).alias("c"))
+    if mode == "DROPMALFORMED":
+        cells = cells.where(F.col(f"c.{CORRUPT}").isNull())
+    kept = [F.col(f"c.`{f.name}`").alias(f.name) for f in schema.fields]
+    return cells.select(*kept, *([F.col("file").alias(FILE)] if mode == "PERMISSIVE" else []))
+
+
 def _value(name: str) -> Column:
     """The cell with missing-value texts as NULL."""
     return F.when(~F.col(f"`{name}`").isin(*MISSING), F.col(f"`{name}`"))
@@ -98,7 +115,7 @@ def survey(text: DataFrame) -> tuple[dict[str, T.DataType], int]:
 
     One pass over all rows, one result row: a sample could miss the one text that makes a column a text column.
     """
-    names = [c for c in text.columns if c != CORRUPT]
+    names = [c for c in text.columns if c not in (CORRUPT, FILE)]
     whole = F.col(CORRUPT).isNull()
     row = text.agg(F.count(CORRUPT).alias("malformed"), *[
         F.bit_or(F.when(whole, _kind(c)).otherwise(0)).alias(f"k{i}") for i, c in enumerate(names)
@@ -124,7 +141,7 @@ def read_csv(spark: SparkSession, path: str, types: dict[str, T.DataType] | None
     """Typed customer rows of one file or all files below a folder; malformed lines are an error.
 
     Give ``types`` to pin the schema: then a malformed line fails the job that meets it, and no pass is needed to find
-    types. ``multi_line`` allows line breaks inside quotes; such a file cannot be split among tasks.
+    types. ``multi_line`` allows line breaks inside quotes, at the price of reading the files twice more.
     """
     if types:
         return _typed(_text_rows(spark, path, multi_line, "FAILFAST"), types)
@@ -137,8 +154,9 @@ def read_csv(spark: SparkSession, path: str, types: dict[str, T.DataType] | None
 def bad_lines(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """(file, line) of the lines with too few or too many fields."""
     text = _text_rows(spark, path, multi_line)
-    kept = stage(text.where(F.col(CORRUPT).isNotNull()).withColumn("_file", F.input_file_name()), "bad")
-    return kept.select(F.col("_file").alias("file"), F.col(CORRUPT).alias("line"))
+    text = text if FILE in text.columns else text.withColumn(FILE, F.input_file_name())
+    kept = stage(text.where(F.col(CORRUPT).isNotNull()), "bad")
+    return kept.select(F.col(FILE).alias("file"), F.col(CORRUPT).alias("line"))
 
 
 def ingest_csv(spark: SparkSession, path: str, types: dict[str, T.DataType] | None = None,
