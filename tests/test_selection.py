@@ -106,3 +106,13 @@ def test_fitting_collects_no_category(spark, monkeypatch):
     model = models.train_logistic(prepared, models.LogisticParams(max_iter=5))
     assert max(sizes) < 100 and model.stages[-1].numFeatures == 3_001 and prepared.spec.size == 3_001
     assert models.feature_importance(model, prepared).count() == 3_001
+
+
+@pytest.mark.parametrize("forced", [False, True])
+def test_duplicates_are_compared_in_full(spark, monkeypatch, forced):
+    if forced:
+        monkeypatch.setattr(profile, "_fingerprint", lambda columns: [F.lit(0), F.lit(0)])
+    rows = [(1, None, 0.0), (None, 1, 0.0), (1, None, -0.0), (2, 2, math.nan), (2, 2, math.nan), (2, 2, None), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "a int, b int, x double").repartition(3)
+    assert tuple(profile.duplicate_rows(df).first()) == (8, 3, 37.5)
+    assert tuple(profile.duplicate_rows(df.limit(0)).first()) == (0, 0, None)
