@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.operators.boosting import BoostedTrees
 from ebbtide.operators.models import Classifier
 from ebbtide.operators.prep import feature_names
 from ebbtide.operators.profile import quartile_columns
@@ -84,6 +85,19 @@ def _tree_nodes(spark: SparkSession, learner) -> dict[int, dict]:
     return nodes
 
 
+def _second_order_nodes(learner: BoostedTrees) -> dict[int, dict]:
+    """The same fields as a saved model's nodes have; the root is node 0."""
+    nodes: dict[int, dict] = {}
+    for x in learner.nodes:
+        split = x.slot is not None
+        nodes.setdefault(x.tree, {})[x.node - 1] = {
+            "leftChild": 2 * x.node - 1 if split else -1, "rightChild": 2 * x.node if split else -1,
+            "prediction": x.value, "rawCount": x.curvature,
+            "split": {"featureIndex": x.slot, "leftCategoriesOrThreshold": [x.cut], "numCategories": -1},
+        }
+    return nodes
+
+
 def _passes(test, x: np.ndarray) -> np.ndarray:
     kind, *args = test
     if kind == "between":
@@ -169,15 +183,19 @@ def _tree_shap_udf(leaves: list[_Leaf]):
 
 
 def shap_tree(model: Classifier, df: DataFrame, key: str) -> DataFrame:
-    """Path-dependent tree attributions of a boosted model on the margin scale (twice the boosted sum).
+    """Path-dependent tree attributions of a boosted model on the margin scale: twice the boosted sum of first-order trees;
+    those of second order add up to the margin themselves, and a node's share of the rows is its share of the curvature.
 
     Executors apply the leaf table, whose size is set by the model, to Arrow batches of encoded rows.
     """
     learner = model.stages[-1]
-    nodes = _tree_nodes(df.sparkSession, learner)
-    leaves, base = [], 0.0
-    for tree, weight in enumerate(learner.treeWeights):
-        found, mean = _leaves(nodes[tree], 2.0 * weight)
+    if isinstance(learner, BoostedTrees):
+        nodes, weights, base = _second_order_nodes(learner), [1.0] * learner.params.trees, learner.base
+    else:
+        nodes, weights, base = _tree_nodes(df.sparkSession, learner), [2.0 * w for w in learner.treeWeights], 0.0
+    leaves = []
+    for tree, weight in enumerate(weights):
+        found, mean = _leaves(nodes[tree], weight)
         leaves += found
         base += mean
     encoded = model.stages[0].transform(df)

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.operators.boosting import BoostedTrees, SecondOrderParams, fit_trees
 from ebbtide.operators.metrics import classification_metrics
 from ebbtide.operators.prep import Encoder, FeatureSpec, fit_features
 from ebbtide.session import stage, stage_root
@@ -94,14 +95,23 @@ def train_boosted(prepared: Prepared, params: BoostedParams = BoostedParams()) -
     return Classifier([prepared.pipeline, learner.fit(prepared.train)])
 
 
-LEARNERS = {"logistic": LogisticRegressionModel, "boosted": GBTClassificationModel}
+def train_second_order(prepared: Prepared, key: str, params: SecondOrderParams = SecondOrderParams()) -> Classifier:
+    """Boosted trees by gradient and curvature, with penalised leaf weights and a column sample per tree."""
+    learner = fit_trees(prepared.train, key, prepared.label, prepared.spec, params)
+    return Classifier([prepared.pipeline, learner])
+
+
+LEARNERS = {"logistic": LogisticRegressionModel, "boosted": GBTClassificationModel, "second_order": BoostedTrees}
 
 
 def save_model(model: Classifier, path: str) -> None:
     """The learner, the slot table and the numbers per column, each in a folder of its own below ``path``."""
     encoder, learner = model.stages
     kind = next(k for k, c in LEARNERS.items() if isinstance(learner, c))
-    learner.write().overwrite().save(f"{path}/learner")
+    if kind == "second_order":
+        learner.save(f"{path}/learner")
+    else:
+        learner.write().overwrite().save(f"{path}/learner")
     spec = encoder.spec
     spec.slots.write.mode("overwrite").parquet(f"{path}/slots")
     numbers = {f.name: getattr(spec, f.name) for f in fields(spec) if f.name not in ("slots", "path")}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ebbtide.plans import (  # noqa: F401
-    advice_queries, check_queries, cohort_queries, flow_queries, model_queries, segment_queries, table_queries,
+    advice_queries, boosting_queries, check_queries, cohort_queries, flow_queries, model_queries, segment_queries, table_queries,
 )
 from ebbtide.plans.registry import ORACLES, QUERIES
 
