@@ -27,7 +27,6 @@ PER_SHARD = 512
 KEY = 20_240_229
 ROUNDS = 8
 PAD = 0
-RECORD = np.dtype("<u2")  # the vocabulary has fewer than 65,536 ids
 
 
 @dataclass(frozen=True)
@@ -65,13 +64,18 @@ class Permutation:
         return self._walk(slot, True)
 
 
+def _record(id_bytes: int) -> np.dtype:
+    return np.dtype(f"<u{id_bytes}")
+
+
 def sequences(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """Stage table (id, piece, length, ids, part, local): every document's ids and the end id, in pieces.
 
-    Pieces but the first have ``size`` ids. NULL and empty texts are just the end id. ``local`` counts within ``part``.
+    Pieces but the first have ``size`` ids, each of as many bytes as the vocabulary's largest id needs. NULL and empty
+    texts are just the end id. ``local`` counts within ``part``.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, record = docs.schema[id_col].dataType.simpleString(), _record(tokens.id_bytes(vocabulary))
 
     def cut(slices):
         part, local = TaskContext.get().partitionId(), 0
@@ -80,7 +84,7 @@ def sequences(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str =
             for doc, text in zip(rows["id"], rows["text"]):
                 for i, (_, ids) in enumerate(tokens.pieces(tokens.token_ids(text, vocabulary), size)):
                     for name, value in (("id", doc), ("piece", i), ("length", len(ids)), ("part", part),
-                                        ("ids", ids.astype(RECORD).tobytes()), ("local", local)):
+                                        ("ids", ids.astype(record).tobytes()), ("local", local)):
                         out[name].append(value)
                     local += 1
             yield out
@@ -105,28 +109,28 @@ def in_training_order(rows: DataFrame, key: int = KEY) -> DataFrame:
     return rows.mapInArrow(place, StructType([*rows.schema.fields, StructField("slot", LongType())]))
 
 
-def shards(ordered: DataFrame, size: int = SIZE, per_shard: int = PER_SHARD) -> DataFrame:
+def shards(ordered: DataFrame, size: int = SIZE, per_shard: int = PER_SHARD, id_bytes: int = 2) -> DataFrame:
     """One row per shard, range-partitioned and sorted by shard.
 
-    (shard, first_slot, n_sequences, stride, ids, pieces, lengths, payload): the arrays name each record's document,
-    piece and number of ids; records are padded to the stride. A task holds one shard at a time.
+    (shard, first_slot, n_sequences, stride, id_bytes, doc_ids, pieces, lengths, payload): the arrays name each record's
+    document, piece and number of ids; records are padded to the stride. A task holds one shard at a time.
     """
     kind = ordered.schema["id"].dataType.simpleString()
-    schema = (f"shard long, first_slot long, n_sequences int, stride int, doc_ids array<{kind}>, pieces array<int>, "
+    schema = (f"shard long, first_slot long, n_sequences int, stride int, id_bytes int, doc_ids array<{kind}>, pieces array<int>, "
               "lengths array<int>, payload binary")
     rows = ordered.withColumn("shard", F.floor(F.col("slot") / per_shard))
     dealt = rows.repartitionByRange("shard").sortWithinPartitions("shard", "slot")
-    stride, fields = size * RECORD.itemsize, arrow_schema(schema)
+    stride, kept, fields = size * id_bytes, _record(id_bytes), arrow_schema(schema)
 
     def write(batches):
         shard, held = None, []
 
         def packed():
             doc_ids, pieces, lengths, ids = zip(*held)
-            record = np.full((len(held), size), PAD, RECORD)
+            record = np.full((len(held), size), PAD, kept)
             for i, data in enumerate(ids):
-                record[i, : lengths[i]] = np.frombuffer(data, RECORD)
-            values = [shard, shard * per_shard, len(held), stride, list(doc_ids), list(pieces), list(lengths), record.tobytes()]
+                record[i, : lengths[i]] = np.frombuffer(data, kept)
+            values = [shard, shard * per_shard, len(held), stride, id_bytes, list(doc_ids), list(pieces), list(lengths), record.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, fields)], schema=fields)
 
         for batch in batches:
@@ -151,7 +155,7 @@ def materialise(docs: DataFrame, vocabulary: str, key: int = KEY, size: int = SI
     and how the input is split into tasks. An empty table gives no shard. Other columns are not read.
     """
     rows = sequences(docs, vocabulary, size, id_col, text_col)
-    return shards(in_training_order(rows, key), size, per_shard)
+    return shards(in_training_order(rows, key), size, per_shard, tokens.id_bytes(vocabulary))
 
 
 def read_sequences(written: DataFrame, first_slot: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
@@ -161,10 +165,10 @@ def read_sequences(written: DataFrame, first_slot: int = 0, per_shard: int = PER
     def read(slices):
         for rows in slices:
             out = {"slot": [], "doc_id": [], "piece": [], "ids": []}
-            for first, stride, docs, pieces, lengths, data in zip(
-                rows["first_slot"], rows["stride"], rows["doc_ids"], rows["pieces"], rows["lengths"], rows["payload"]
+            for first, stride, width, docs, pieces, lengths, data in zip(
+                rows["first_slot"], rows["stride"], rows["id_bytes"], rows["doc_ids"], rows["pieces"], rows["lengths"], rows["payload"]
             ):
-                record = np.frombuffer(data, RECORD).reshape(len(docs), stride // RECORD.itemsize)
+                record = np.frombuffer(data, _record(width)).reshape(len(docs), stride // width)
                 for i in range(max(0, first_slot - first), len(docs)):
                     out["slot"].append(first + i)
                     out["doc_id"].append(docs[i])

@@ -25,6 +25,11 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+def id_bytes(path: str) -> int:
+    """Bytes that hold every id of the vocabulary: 2 or 4."""
+    return 2 if max(encoding(path).max_token_value, END) < 2 ** 16 else 4
+
+
 @functools.lru_cache(maxsize=2)
 def _slow(path: str):
     from tokenizers import Tokenizer

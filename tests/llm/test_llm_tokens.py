@@ -1,5 +1,6 @@
 """Token output, packing and sampled pieces: exact round trips."""
 
+import base64
 import functools
 import math
 import zlib
@@ -73,6 +74,20 @@ def test_special_tokens_in_both_operators(spark):
     assert list(row["ids"]) == want and 50256 in want
 
 
+def test_ids_beyond_two_bytes_are_kept(spark, tmp_path):
+    """A vocabulary whose byte b has the id 70,000 + b: records take four bytes an id."""
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(bytes([b])) + b" %d\n" % (70_000 + b) for b in range(256)))
+    docs = spark.createDataFrame([(1, "hi"), (2, "longer text"), (3, None)], "doc_id long, text string")
+    written = token_output.materialise(docs, str(path), size=4, per_shard=2)
+    assert {(r["id_bytes"], r["stride"]) for r in written.collect()} == {(4, 16)}
+    found = defaultdict(list)
+    for r in sorted(token_output.read_sequences(written, per_shard=2).collect(), key=lambda r: (r["doc_id"], r["piece"])):
+        found[r["doc_id"]] += r["ids"]
+    assert found == {i: [*(70_000 + b for b in text), 2] for i, text in ((1, b"hi"), (2, b"longer text"), (3, b""))}
+    assert tokens.id_bytes(BPE) == 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 65, 1000])
 def test_permutation(n):
     order = token_output.Permutation(n, key=9)
