@@ -19,17 +19,49 @@ CRITICAL_PERIODS = 2
 PATTERN_BAND = 1.2
 
 
-def month_cohort(df: DataFrame, date_column: str, out: str = "cohort") -> DataFrame:
-    """Month of the date as text; a missing or unreadable date gives NULL."""
+# Patterns of date texts, tried after ISO; among equals the first wins, so months come before days.
+DATE_PATTERNS = (
+    "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "M/d/yy", "d/M/yy", "d.M.yy", "yyyyMMdd",
+    "d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy",
+)
+CLOCK = "[ H:m[:s]]"
+
+
+def _read_date(text: Column, pattern: str | None) -> Column:
+    """Timestamp of a date text, NULL where it does not fit. No pattern: ISO."""
+    return F.try_to_timestamp(text) if pattern is None else F.try_to_timestamp(F.trim(text), F.lit(pattern + CLOCK))
+
+
+def date_votes(df: DataFrame, date_column: str) -> DataFrame:
+    """(place, pattern, n): texts that each pattern reads, in one pass; no pattern is ISO.
+
+    A value over 12 is a day only, so a column that holds some is read by one of two patterns that differ in the order of
+    day and month, and by the other only in part.
+    """
+    patterns = [None, *DATE_PATTERNS]
+    text = F.col(date_column).cast("string")
+    counted = df.agg(*[F.count(_read_date(text, p)).alias(f"n{i}") for i, p in enumerate(patterns)])
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(p).cast("string").alias("pattern"), F.col(f"n{i}").alias("n")) for i, p in enumerate(patterns)]
+    return counted.select(F.inline(F.array(*rows)))
+
+
+def date_pattern(df: DataFrame, date_column: str) -> str | None:
+    """The pattern that reads most texts of the column; a text column is read once for it."""
+    return date_votes(df, date_column).orderBy(F.desc("n"), "place").first()["pattern"]
+
+
+def month_cohort(df: DataFrame, date_column: str, out: str = "cohort", pattern: str | None = None) -> DataFrame:
+    """Month of the date as text; a missing or unreadable date gives NULL. Texts are read by ``pattern``, by default the
+    one that reads most of them."""
     day = F.col(date_column)
     if isinstance(df.schema[date_column].dataType, T.StringType):
-        day = F.try_to_timestamp(day)
+        day = _read_date(day, pattern or date_pattern(df, date_column))
     return df.withColumn(out, F.date_format(day.cast("date"), "yyyy-MM"))
 
 
-def date_check(df: DataFrame, date_column: str) -> DataFrame:
-    """One row: rows, missing dates, and texts that are no date."""
-    found = month_cohort(df, date_column, "_month")
+def date_check(df: DataFrame, date_column: str, pattern: str | None = None) -> DataFrame:
+    """One row: rows, missing dates, and texts that are no date, or none by the pattern that reads most."""
+    found = month_cohort(df, date_column, "_month", pattern)
     return found.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col(date_column).isNull()).alias("missing"),

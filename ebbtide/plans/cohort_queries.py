@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.operators import cohort
@@ -47,6 +50,41 @@ def unreadable_dates(spark, folder):
     return cohort.date_check(_text_dates(spark, folder), "signup_date")
 
 
+# columns of date texts by pattern: what Spark writes them with, and the pattern that has to win
+_WRITTEN = {"month_first": "MM/dd/yyyy", "day_first": "dd/MM/yyyy HH:mm", "dotted": "d.M.yyyy", "named": "dd MMM yyyy"}
+_WON = {"month_first": "M/d/yyyy", "day_first": "d/M/yyyy", "dotted": "d.M.yyyy", "named": "d MMM yyyy"}
+_BAD_DATE = {"month_first": 7, "day_first": 11, "dotted": 13, "named": 17}
+
+
+def _written_dates(spark, folder):
+    rows = base(spark, folder)
+    texts = [F.when(F.col("customer_id") % _BAD_DATE[c] == 0, "unknown").otherwise(F.date_format("signup_date", p)).alias(c)
+             for c, p in _WRITTEN.items()]
+    return rows.select("customer_id", *texts)
+
+
+@query("month_cohort_formats", f"WITH {BASE} SELECT customer_id, " + ", ".join(
+    f"CASE WHEN customer_id % {n} <> 0 THEN strftime(signup_date, '%Y-%m') END AS {c}" for c, n in _BAD_DATE.items()) + " FROM base")
+def month_cohort_formats(spark, folder):
+    """Months of date texts in four formats, each found by the vote of its column."""
+    rows = _written_dates(spark, folder)
+    for c in _WRITTEN:
+        rows = cohort.month_cohort(rows, c, c)
+    return rows
+
+
+@query("date_formats", f"WITH {BASE} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS date_column, '{_WON[c]}' AS pattern, count(*) AS n_rows, count(*) FILTER (WHERE customer_id % {n} = 0) AS unreadable FROM base"
+    for c, n in _BAD_DATE.items()))
+def date_formats(spark, folder):
+    """The pattern that reads most of each column, and the texts it leaves."""
+    rows, found = _written_dates(spark, folder), []
+    for c in _WRITTEN:
+        pattern = cohort.date_pattern(rows, c)
+        found.append(cohort.date_check(rows, c, pattern).select(F.lit(c).alias("date_column"), F.lit(pattern).alias("pattern"), "n_rows", "unreadable"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query("cohort_choice", f"""WITH {BASE} SELECT customer_id, region AS existing, {_TEXT_MONTH} AS by_date,
   CAST(order_count AS VARCHAR) AS custom FROM base""")
 def cohort_choice(spark, folder):
