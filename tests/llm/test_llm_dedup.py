@@ -63,6 +63,47 @@ def test_near_copies_against_all_pairs(spark):
         assert all(r["kept"] == (i == expected[i]) for i, r in found.items())
 
 
+def test_edges_beyond_the_broadcast_bound(spark, monkeypatch):
+    many = spark.range(3000).selectExpr("id as doc_id", "case when id % 2 = 0 then 'a b' else string(id) end as text")
+
+    def found():
+        return sorted(map(tuple, exact_dedup.content_sort(many).collect()))
+
+    plain = found()
+    monkeypatch.setattr(exact_dedup, "BROADCAST_EDGES", 0)
+    assert found() == plain and sum(r[3] for r in plain) == 1501
+
+
+def template_texts(texts, own, width=200):
+    """Texts of one template, each with ``own`` words of its own at the end."""
+    common = [f"t{i}" for i in range(width - own)]
+    return {i: " ".join(common + [f"own{i}x{j}" for j in range(own)]) for i in range(texts)}
+
+
+def test_template_texts_below_the_threshold_meet_nowhere(spark):
+    texts = template_texts(60, 22)  # pairwise about 0.80
+    texts |= {100 + i: t + f" end{i}" for i, t in template_texts(20, 22).items()}  # each a near copy of an earlier one
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_classes(docs, 3, 85).collect()}
+    assert found == linked_groups(texts, 3, 85) == {i: i % 100 for i in texts}
+    rows = [(i, i % 100, near_dedup.shingle_set(t, 3).view(np.int64).tolist()) for i, t in texts.items()]
+    sets = spark.createDataFrame(rows, "id long, component long, shingles array<long>")
+    assert near_dedup._across(sets.select("id", "component"), sets.drop("component"), 85).isEmpty()
+
+
+def test_prefixes_lose_no_pair(spark):
+    rng = random.Random(11)
+    sets = {i: {rng.randrange(30) for _ in range(rng.randrange(4, 26))} for i in range(150)}
+    sets |= {200 + i: sets[i] | {100 + j for j in range(i % 4)} for i in range(60)}  # near and equal copies
+    rows = [(i, i, sorted(s)) for i, s in sets.items()]
+    table = spark.createDataFrame(rows + rows[:40], "id long, component long, shingles array<long>")  # repeated rows too
+    chosen = table.select("id", "component").distinct()
+    for similar in (50, 80, 85, 100):
+        found = {tuple(r) for r in near_dedup._across(chosen, table.drop("component"), similar).collect()}
+        wanted = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])}
+        assert wanted and wanted <= found and all(a < b for a, b in found)
+
+
 def test_near_odd_rows(odd, nothing):
     rows = near_dedup.near_classes(odd).collect()
     assert len(rows) == 16
