@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ebbtide.session import stage
 
+BROADCAST_EDGES = 100_000  # rows of about 100 bytes
 PREFIX = 64  # characters of the text that splitters hold; the sort and the comparison see all of it
 
 
@@ -58,7 +59,12 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.min("keep_id").alias("edge_keep"), F.sum(F.when(F.col("first"), F.col("n"))).alias("edge_n"),
              F.min("part").alias("edge_part"))
     )
-    whole = runs.join(F.broadcast(edges), "sha", "left")  # at most two rows per partition of the sort
+    edges = stage(edges, "edges")  # at most two rows per partition of the sort
+    if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:
+        whole = runs.join(F.broadcast(edges), "sha", "left")
+    else:  # only the rows of edge runs are shuffled
+        inner = runs.where(~F.col("edge"))
+        whole = runs.where("edge").join(edges.hint("merge"), "sha").unionByName(inner, allowMissingColumns=True)
     return whole.select(
         F.col("id").alias(id_col),
         F.coalesce("edge_keep", "keep_id").alias("keep_id"),
