@@ -5,9 +5,9 @@ signature values for one hash evaluation, each agreeing with the Jaccard similar
 signature values become bucket keys; the number of bands follows from the threshold and the chance of a miss that is
 allowed. Equal sets are one representative from the start. Inside a bucket every member is held against the bucket's
 smallest one, on full sets, and confirmed links are joined to components. Members of a bucket that are then still in
-different components go on to a join on the rarest shingles of their full sets, which loses no pair that is similar
-enough, so every pair that shares a bucket is either confirmed, refuted, or already connected. No bucket is cut and no
-member is left out. Before full sets are compared, one bit per minimum and
+different components are held against each other if the rarest shingles of their full sets let them have a partner
+in another component, so every pair that shares a bucket is either confirmed, refuted, or already connected. No bucket
+is cut and no member is left out. Before full sets are compared, one bit per minimum and
 maximum of further permutations estimates the similarity; a pair goes on unless its estimate lies so far below the
 threshold that chance explains it less than once in millions.
 """
@@ -166,13 +166,14 @@ def _size_fits(n: Column, m: Column, similar: int) -> Column:
     return 100 * F.least(n, m) >= similar * F.greatest(n, m)
 
 
-def _across(open_: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """(a, b) of at least all pairs of ``open_`` (id, component) in different components that are similar enough.
+def _reachable(open_: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(id, larger, smaller) of the rows of ``open_`` (id, component) that can have a partner in another component.
 
     Shingles are put in one order: those of a single component, which no wanted pair shares, then rare before frequent.
     Sets with an overlap of o share one of the first |set| - o + 1 in that order, and o is at least similar / 100 of the
-    larger set and, seen from the smaller, 2 * similar / (100 + similar) of it. Texts of one template whose own parts
-    are larger than that meet at no shingle, however many they are.
+    larger set and, seen from the smaller, 2 * similar / (100 + similar) of it. So the larger text of a pair shares a
+    shingle of its longer prefix with another component's shorter prefix, and the smaller one the other way round.
+    Texts of one template whose own parts are larger than that reach nobody, however many they are. No pairs are formed.
     """
     chosen = open_.join(sets, "id").select("id", "component", "shingles", F.size("shingles").alias("n"))
     chosen = stage(chosen.withColumn("row", F.monotonically_increasing_id()), "chosen")  # an id may have several rows
@@ -187,13 +188,17 @@ def _across(open_: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
         "id", "component", "n", "shingle", F.row_number().over(own.orderBy("held", "shingle")).alias("place"),
         F.count(F.lit(1)).over(own).alias("common"))
     # the n - common shingles of a single component come first and need no row
-    larger = F.col("common") - F.ceil(similar * F.col("n") / 100) + 1
-    smaller = F.col("common") - F.ceil(2 * similar * F.col("n") / (100 + similar)) + 1
-    ranked = stage(ranked.where(F.col("place") <= larger).withColumn("first", F.col("place") <= smaller), "prefixes")
-    x = ranked.select("shingle", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    y = ranked.where("first").select("shingle", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
-    met = x.join(y, "shingle").where((F.col("cx") != F.col("cy")) & (F.col("ny") <= F.col("nx")) & _size_fits(F.col("nx"), F.col("ny"), similar))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    longer = F.col("common") - F.ceil(similar * F.col("n") / 100) + 1
+    shorter = F.col("common") - F.ceil(2 * similar * F.col("n") / (100 + similar)) + 1
+    ranked = ranked.where(F.col("place") <= longer)
+    ranked = stage(ranked.select("id", "component", "shingle", (F.col("place") <= shorter).alias("short")), "prefixes")
+    short = F.when(F.col("short"), F.col("component"))
+    met = ranked.groupBy("shingle").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(short).alias("short_lo"), F.max(short).alias("short_hi"))
+    larger = F.coalesce((F.col("short_lo") != F.col("component")) | (F.col("short_hi") != F.col("component")), F.lit(False))
+    smaller = F.col("short") & (F.col("lo") != F.col("hi"))
+    found = ranked.join(met, "shingle").groupBy("id").agg(F.max(larger).alias("larger"), F.max(smaller).alias("smaller"))
+    return found.where("larger or smaller")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -253,10 +258,20 @@ def near_classes(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, id
     placed = stage(placed.withColumn("component", F.coalesce("component", "id")).where("id <> pivot"), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_ = placed.join(mixed_keys.where("lo <> hi").select("key"), "key", "left_semi").select("id", "component").distinct()
-    pairs = _across(open_, sets, similar)
-    pairs = pairs.join(outline.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-    pairs = pairs.join(outline.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
-    pairs = pairs.where(_sketch_fits("x", "y", similar)).select("a", "b").distinct()
+    # every pair once, in the first bucket that both are in; an id has as many buckets as there are bands
+    reach = stage(_reachable(open_, sets, similar), "reachable")
+    open_ = placed.join(reach, "id").select("key", "id", "component", "larger", "smaller")
+    mixed_keys = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    open_ = open_.join(mixed_keys.where("lo <> hi").select("key"), "key", "left_semi")
+    own = open_.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    open_ = open_.join(outline, "id").join(own, "id").select("key", "id", "component", "larger", "smaller", "size", "sketch", "keys")
+    x = open_.toDF("key", "a", "ca", "la", "sa", "n", "x", "p")
+    y = open_.toDF("key", "b", "cb", "lb", "sb", "m", "y", "q")
+    roles = (F.col("la") & F.col("sb") & (F.col("n") >= F.col("m"))) | (F.col("lb") & F.col("sa") & (F.col("m") >= F.col("n")))
+    pairs = x.join(y, "key").where(
+        (F.col("ca") < F.col("cb")) & roles & _size_fits(F.col("n"), F.col("m"), similar)
+        & _sketch_fits("x", "y", similar) & (F.array_min(F.array_intersect("p", "q")) == F.col("key")))
+    pairs = pairs.select("a", "b").distinct()
     more = stage(_confirmed(pairs, sets, similar), "confirmed")
     if not more.isEmpty():
         found = components(links.union(more))

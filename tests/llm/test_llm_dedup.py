@@ -80,7 +80,7 @@ def template_texts(texts, own, width=200):
     return {i: " ".join(common + [f"own{i}x{j}" for j in range(own)]) for i in range(texts)}
 
 
-def test_template_texts_below_the_threshold_meet_nowhere(spark):
+def test_template_texts_below_the_threshold_reach_nobody(spark):
     texts = template_texts(60, 22)  # pairwise about 0.80
     texts |= {100 + i: t + f" end{i}" for i, t in template_texts(20, 22).items()}  # each a near copy of an earlier one
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
@@ -88,7 +88,7 @@ def test_template_texts_below_the_threshold_meet_nowhere(spark):
     assert found == linked_groups(texts, 3, 85) == {i: i % 100 for i in texts}
     rows = [(i, i % 100, near_dedup.shingle_set(t, 3).view(np.int64).tolist()) for i, t in texts.items()]
     sets = spark.createDataFrame(rows, "id long, component long, shingles array<long>")
-    assert near_dedup._across(sets.select("id", "component"), sets.drop("component"), 85).isEmpty()
+    assert near_dedup._reachable(sets.select("id", "component"), sets.drop("component"), 85).isEmpty()
 
 
 def test_prefixes_lose_no_pair(spark):
@@ -99,9 +99,10 @@ def test_prefixes_lose_no_pair(spark):
     table = spark.createDataFrame(rows + rows[:40], "id long, component long, shingles array<long>")  # repeated rows too
     chosen = table.select("id", "component").distinct()
     for similar in (50, 80, 85, 100):
-        found = {tuple(r) for r in near_dedup._across(chosen, table.drop("component"), similar).collect()}
-        wanted = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])}
-        assert wanted and wanted <= found and all(a < b for a, b in found)
+        found = {r["id"]: r for r in near_dedup._reachable(chosen, table.drop("component"), similar).collect()}
+        pairs = [(a, b) for a in sets for b in sets if a != b and len(sets[a]) >= len(sets[b])
+                 and 100 * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])]
+        assert pairs and all(a in found and b in found and found[a]["larger"] and found[b]["smaller"] for a, b in pairs)
 
 
 def test_near_odd_rows(odd, nothing):
