@@ -42,6 +42,24 @@ def test_preferences_are_ranked():
     assert s[y == 1].min() > np.quantile(s[y == 0], 0.9)
 
 
+def test_all_pairs_of_all_rows_are_learnt_from(spark):
+    """The gradient of the loss over every good-bad pair is next to zero, and the threshold is that of all rows."""
+    rng = np.random.default_rng(5)
+    n, width = 600, len(quality.FEATURES)
+    x, ids = rng.normal(size=(n, width)), [i for i in range(3 * n) if part(i) != 1][:n]
+    y = (x[:, 0] - x[:, 4] + rng.normal(size=n) > 0.5).astype(int)
+    features = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id long, x array<double>").repartition(5)
+    labels = spark.createDataFrame(list(zip(ids, y.tolist())), "doc_id long, quality int")
+    model = quality.learn(features, labels)
+    z = (x - x.mean(0)) / x.std(0)
+    gaps = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, width)
+    wrong = 1 / (1 + np.exp(gaps @ model.weights))
+    assert np.abs(quality.PENALTY * model.weights - gaps.T @ wrong / len(gaps)).max() < 2e-4
+    said = z @ model.weights >= model.threshold
+    balances = [(z @ model.weights >= t)[y == 1].mean() - (z @ model.weights >= t)[y == 0].mean() for t in z @ model.weights]
+    assert said[y == 1].mean() - said[y == 0].mean() > max(balances) - 0.02
+
+
 def test_quality_odd_rows(spark, odd, nothing, some_labels):
     rows = quality.score_quality(odd, some_labels).collect()
     assert len(rows) == 16 and all(0 <= r["score"] <= 1 for r in rows)
