@@ -16,14 +16,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import hash_share, held_out, keep_rows, learnable, map_rows
+from ebbtide.llm.common import held_out, keep_rows, learnable, map_rows
 
-LEARN_ROWS = 3_000  # texts per language that the counts may see, in expectation; drawn by a hash of the id
 UNKNOWN = "und"
 START, BASE = 256, 257  # code of the places before the first byte; number of codes
-CHUNK = 1 << 22
+CHUNK = 1 << 22  # bytes handled at a time; a multiple of all ``SIZES``
 SIZES = 2 ** np.arange(2, 13)  # bytes of the stretches that limits are learnt on
-STRETCHES = 8  # of one size from the start of a text
 LEAST_STRETCHES = 20
 SPREAD = 5.0
 BINS = 32  # per bit, of the histograms that limits are read from
@@ -57,10 +55,12 @@ class ContextTrees:
     size: int
     bits: np.ndarray
 
-    def byte_bits(self, text: str, language: int, most: int) -> np.ndarray:
-        """Bits of each of the first ``most`` bytes of a text under one language."""
-        c = self.lookup[codes(text)[: most + 2]]
-        return self.bits[(c[:-2] * self.size + c[1:-1]) * self.size + c[2:], language].astype(np.float64)
+    def byte_bits(self, text: str, language: int):
+        """Bits of each byte of a text under one language, in parts of ``CHUNK`` bytes."""
+        c = self.lookup[codes(text)]
+        for at in range(0, len(c) - 2, CHUNK):
+            part = c[at : at + CHUNK + 2]
+            yield self.bits[(part[:-2] * self.size + part[1:-1]) * self.size + part[2:], language].astype(np.float64)
 
     def code_lengths(self, texts: list[str]) -> np.ndarray:
         """Bits of every text under every language, over the whole text."""
@@ -107,36 +107,45 @@ def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -
     return key, np.bincount(place, np.concatenate([a[1], b[1]])).astype(np.int64)
 
 
-def _tally(docs: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str):
-    """(drawn texts with their fold, sorted languages, counts of three bytes by (lang, fold)); None without rows.
+def _tally(docs: DataFrame, id_col: str, text_col: str, lang_col: str):
+    """(learnable texts with their fold, sorted languages, counts of three bytes by (lang, fold)); None without rows.
 
     The fold is a bit of a hash of the text, so copies of a text share one.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(learnable("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = sorted((r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
-    if not sizes:
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    if not languages:
         return None
-    share = F.lit(0.0)
-    for lang, n in sizes:
-        share = F.when(F.col("lang") == lang, min(1.0, rows / n)).otherwise(share)
 
     def count(slices):
         tally: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[tuple[str, int], list[np.ndarray]] = {}
+        size = 0
+
+        def settle():
+            for at, keys in waiting.items():
+                found = np.unique(np.concatenate(keys), return_counts=True)
+                tally[at] = _added(tally[at], found) if at in tally else found
+            waiting.clear()
+
         for part in slices:
             for lang, fold, text in zip(part["lang"], part["fold"], part["text"]):
-                c = codes(text).astype(np.int64)
-                found = np.unique((c[:-2] * BASE + c[1:-1]) * BASE + c[2:], return_counts=True)
-                at = lang, fold
-                tally[at] = _added(tally[at], found) if at in tally else found
+                c = codes(text)
+                waiting.setdefault((lang, fold), []).append((c[:-2] * BASE + c[1:-1]) * BASE + c[2:])
+                size += len(c)
+                if size > CHUNK:
+                    settle()
+                    size = 0
+        settle()
         for (lang, fold), (key, n) in tally.items():
             yield {"lang": [lang] * len(key), "fold": [fold] * len(key), "key": key, "n": n}
 
     fold = F.pmod(F.xxhash64(F.lit(6), "text"), F.lit(2)).cast("int").alias("fold")
-    drawn = known.where(hash_share("id", 5) < share).select("lang", fold, "text")
-    grams = map_rows(drawn, count, "lang string, fold int, key int, n int")
+    texts = known.select("lang", fold, "text")
+    grams = map_rows(texts, count, "lang string, fold int, key int, n long")
     found = grams.groupBy("lang", "fold", "key").agg(F.sum("n").alias("n")).toPandas()
-    return drawn, [lang for lang, _ in sizes], found  # no more rows than the drawn texts have bytes
+    return texts, languages, found  # no more rows than there are sequences of three bytes, by language and fold
 
 
 def _trees(languages: list[str], found) -> ContextTrees:
@@ -150,26 +159,25 @@ def _no_trees() -> ContextTrees:
     return ContextTrees([], np.zeros(BASE, np.int32), 1, np.zeros((1, 0), np.float32))
 
 
-def learn(docs: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str = "lang") -> ContextTrees:
-    """Trees of every language met on learnable rows; beyond ``rows`` texts a hash of the id draws that many.
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ContextTrees:
+    """Trees of every language met on learnable rows, from all of their texts.
 
     Returns no languages if no row can be learnt from.
     """
-    tally = _tally(docs, rows, id_col, text_col, lang_col)
+    tally = _tally(docs, id_col, text_col, lang_col)
     return _trees(*tally[1:]) if tally else _no_trees()
 
 
-def _limits(drawn: DataFrame, languages: list[str], found) -> dict[str, np.ndarray]:
+def _limits(texts: DataFrame, languages: list[str], found) -> dict[str, np.ndarray]:
     """Of every language the highest bits per byte that its texts of at least each of ``SIZES`` bytes may need.
 
-    Each half of the drawn texts is coded by the trees of the other half. Among stretches of one size the limit is the
+    Each half of the texts is coded by the trees of the other half. Among all stretches of one size the limit is the
     median and ``SPREAD`` times the way from there to the 99th percentile, but no more than the 8 bits of a byte left as
     it is unless that percentile is. A size with fewer than ``LEAST_STRETCHES`` takes the limit of the next smaller one;
     a language without any such size has no limit.
     """
     halves = [_trees(languages, found[found["fold"] != fold]) for fold in (0, 1)]
-    model = drawn.sparkSession.sparkContext.broadcast(halves)
+    model = texts.sparkSession.sparkContext.broadcast(halves)
 
     def measure(slices):
         place = {lang: l for l, lang in enumerate(languages)}
@@ -178,17 +186,17 @@ def _limits(drawn: DataFrame, languages: list[str], found) -> dict[str, np.ndarr
             for lang, fold, text in zip(part["lang"], part["fold"], part["text"]):
                 if not has_letter(text):
                     continue
-                sums = np.concatenate([[0.0], np.cumsum(model.value[fold].byte_bits(text, place[lang], SIZES[-1] * STRETCHES))])
-                for size in SIZES[SIZES < len(sums)]:
-                    ends = sums[::size][: STRETCHES + 1]
-                    bins = np.minimum(np.diff(ends) / size * BINS, 64 * BINS - 1).astype(np.int64)
-                    at = lang, int(size)
-                    tally[at] = tally.get(at, 0) + np.bincount(bins, minlength=64 * BINS)
+                for bits in model.value[fold].byte_bits(text, place[lang]):
+                    sums = np.concatenate([[0.0], np.cumsum(bits)])
+                    for size in SIZES[SIZES < len(sums)]:
+                        bins = np.minimum(np.diff(sums[::size]) / size * BINS, 64 * BINS - 1).astype(np.int64)
+                        at = lang, int(size)
+                        tally[at] = tally.get(at, 0) + np.bincount(bins, minlength=64 * BINS)
             for (lang, size), n in tally.items():
                 at = np.flatnonzero(n)
                 yield {"lang": [lang] * len(at), "size": [size] * len(at), "bin": at, "n": n[at]}
 
-    counted = map_rows(drawn, measure, "lang string, size int, bin int, n long")
+    counted = map_rows(texts, measure, "lang string, size int, bin int, n long")
     stretches = counted.groupBy("lang", "size", "bin").agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
     model.unpersist()
     limits = {lang: np.full(len(SIZES), np.inf) for lang in languages}
@@ -204,10 +212,10 @@ def _limits(drawn: DataFrame, languages: list[str], found) -> dict[str, np.ndarr
     return limits
 
 
-def learn_limits(docs: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_col: str = "text",
+def learn_limits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  lang_col: str = "lang") -> tuple[ContextTrees, dict[str, np.ndarray]]:
     """The trees of ``learn`` and the limits that texts of each language keep to."""
-    tally = _tally(docs, rows, id_col, text_col, lang_col)
+    tally = _tally(docs, id_col, text_col, lang_col)
     return (_trees(*tally[1:]), _limits(*tally)) if tally else (_no_trees(), {})
 
 

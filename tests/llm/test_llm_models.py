@@ -114,6 +114,29 @@ def test_code_lengths(spark):
             assert bits == pytest.approx(plain_code_length(text, used[lang], alphabet), rel=1e-4)
 
 
+def test_every_learnable_text_is_counted(spark):
+    ids = [i for i in range(7500) if part(i) != 1]
+    rows = [(i, f"t{i:x}", "aa") for i in ids] + [(-i, f"u{i}", "bb") for i in range(1, 30) if part(-i) != 1]
+    trees = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    used = {lang: [t for _, t, l in rows if l == lang] for lang in ("aa", "bb")}
+    alphabet = set("".join(t for _, t, _ in rows).encode())
+    assert len(ids) > 4500
+    for text in ("t1f", "u12", "0"):
+        for bits, lang in zip(trees.code_lengths([text])[0], trees.languages):
+            assert bits == pytest.approx(plain_code_length(text, used[lang], alphabet), rel=1e-5)
+
+
+def test_limits_see_the_ends_of_texts(spark):
+    """Texts that are plain at first and dense at the end: their last parts count among the stretches."""
+    rng = random.Random(4)
+    ids = [i for i in range(300) if part(i) != 1]
+    dense = ["".join(rng.choices(string.ascii_lowercase, k=600)) for _ in ids]
+    docs = [spark.createDataFrame([(i, "ab" * 200 + t, "aa") for i, t in zip(ids, ts)], "doc_id long, text string, lang string")
+            for ts in (dense, [""] * len(ids))]
+    limits = [language.learn_limits(d)[1]["aa"][1] for d in docs]
+    assert limits[0] > limits[1] + 2
+
+
 def test_language_on_held_out_rows(spark, sf):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = QUERIES["op5_ppm_language"](spark, sf).collect()
