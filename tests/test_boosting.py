@@ -79,6 +79,17 @@ def test_same_trees_after_any_partitioning(spark):
     assert any(n.rows < 400 for n in a.nodes if n.node == 1)
 
 
+def test_rows_are_staged_in_blocks(spark):
+    """A pass reads a row per block, not a row per row."""
+    rows, p = table(spark), WHOLE
+    prepared = models.prepare(rows, "id", "y")
+    cuts = boosting.numeric_cuts(prepared.train, prepared.spec, p.bins)
+    binned = boosting._binned(prepared.train.coalesce(1), "y", "id", cuts, 0.5)
+    blocks = list(boosting._opened([binned.toArrow().combine_chunks().to_batches()[0]]))
+    assert binned.count() == 1 and len(blocks) == 1 and len(blocks[0][0]) == 400
+    assert (blocks[0][1] == 0.5).all() and blocks[0][3].reshape(400, len(cuts)).max() < p.bins and blocks[0][4].sum() == len(blocks[0][5])
+
+
 def test_attributions_and_saved_model(spark, tmp_path):
     rows = table(spark)
     prepared = models.prepare(rows, "id", "y")
