@@ -166,6 +166,13 @@ def _size_fits(n: Column, m: Column, similar: int) -> Column:
     return 100 * F.least(n, m) >= similar * F.greatest(n, m)
 
 
+def _in_mixed(placed: DataFrame) -> DataFrame:
+    """(key, id, component) of ``placed`` (id, component, keys) in the buckets that hold more than one component."""
+    members = placed.select(F.explode("keys").alias("key"), "id", "component")
+    mixed_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return members.join(mixed_keys.where("lo <> hi").select("key"), "key", "left_semi")
+
+
 def _reachable(open_: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """(id, larger, smaller) of the rows of ``open_`` (id, component) that can have a partner in another component.
 
@@ -253,22 +260,22 @@ def near_classes(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, id
     links = stage(_confirmed(stars, sets, similar), "confirmed")
     found = components(links)
 
-    # Members of one bucket in different components; pairs with the pivot were checked.
-    placed = shared.join(found.withColumnRenamed("node", "id"), "id", "left")
-    placed = stage(placed.withColumn("component", F.coalesce("component", "id")).where("id <> pivot"), "placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = placed.join(mixed_keys.where("lo <> hi").select("key"), "key", "left_semi").select("id", "component").distinct()
+    # Members of one bucket in different components; pairs with the pivot were checked. Tables by id hold a text's
+    # buckets as one array, so joining them makes one row per text, not one per text and bucket.
+    within = shared.where("id <> pivot").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    placed = within.join(found.withColumnRenamed("node", "id"), "id", "left")
+    placed = stage(placed.withColumn("component", F.coalesce("component", "id")), "placed")
+    reach = stage(_reachable(_in_mixed(placed).select("id", "component").distinct(), sets, similar), "reachable")
+    reached = placed.join(reach, "id")
     # every pair once, in the first bucket that both are in; an id has as many buckets as there are bands
-    reach = stage(_reachable(open_, sets, similar), "reachable")
-    open_ = placed.join(reach, "id").select("key", "id", "component", "larger", "smaller")
-    mixed_keys = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = open_.join(mixed_keys.where("lo <> hi").select("key"), "key", "left_semi")
-    own = open_.groupBy("id").agg(F.collect_list("key").alias("keys"))
-    open_ = open_.join(outline, "id").join(own, "id").select("key", "id", "component", "larger", "smaller", "size", "sketch", "keys")
+    own = _in_mixed(reached).groupBy("id").agg(F.collect_list("key").alias("keys"))
+    open_ = stage(reached.drop("keys").join(own, "id").join(outline, "id"), "open")
+    open_ = open_.select(F.explode("keys").alias("key"), "id", "component", "larger", "smaller", "size", "sketch", "keys")
     x = open_.toDF("key", "a", "ca", "la", "sa", "n", "x", "p")
     y = open_.toDF("key", "b", "cb", "lb", "sb", "m", "y", "q")
     roles = (F.col("la") & F.col("sb") & (F.col("n") >= F.col("m"))) | (F.col("lb") & F.col("sa") & (F.col("m") >= F.col("n")))
-    pairs = x.join(y, "key").where(
+    # the planner takes unfolded rows for as small as the folded ones and would broadcast them
+    pairs = x.join(y.hint("merge"), "key").where(
         (F.col("ca") < F.col("cb")) & roles & _size_fits(F.col("n"), F.col("m"), similar)
         & _sketch_fits("x", "y", similar) & (F.array_min(F.array_intersect("p", "q")) == F.col("key")))
     pairs = pairs.select("a", "b").distinct()

@@ -91,6 +91,23 @@ def test_template_texts_below_the_threshold_reach_nobody(spark):
     assert near_dedup._reachable(sets.select("id", "component"), sets.drop("component"), 85).isEmpty()
 
 
+def test_tables_by_id_have_a_row_per_text(spark, monkeypatch):
+    """Joins by id are as large as their tables, which held a row per text and bucket."""
+    rng = random.Random(3)
+    common = [f"t{i}" for i in range(90)]
+    texts = {i: " ".join([*common[: 40 + i], *(f"own{i}x{j}" for j in range(3)), *common[40 + i :]]) for i in range(30)}
+    texts |= {100 + i: " ".join(rng.sample(common, 80)) for i in range(3)}
+    docs = spark.createDataFrame([*texts.items(), (7, texts[7])], "doc_id long, text string").repartition(3)
+    staged = {}
+    monkeypatch.setattr(near_dedup, "stage", lambda df, name, plain=near_dedup.stage: staged.setdefault(name, plain(df, name)) if name in ("placed", "open") else plain(df, name))
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_classes(docs, 3, 85).collect()}
+    assert found == linked_groups(texts, 3, 85)
+    placed = [r["id"] for r in staged["placed"].collect()]
+    assert len(placed) > 5 and len(placed) == len(set(placed))
+    opened = [r["id"] for r in staged["open"].collect()]
+    assert len(opened) == len(set(opened))
+
+
 def test_prefixes_lose_no_pair(spark):
     rng = random.Random(11)
     sets = {i: {rng.randrange(30) for _ in range(rng.randrange(4, 26))} for i in range(150)}
