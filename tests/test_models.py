@@ -31,6 +31,22 @@ def test_penalty_is_spread_over_rows(trained):
     assert learner.getOrDefault("regParam") == pytest.approx(1.0 / trained.prepared.train.count())
 
 
+def test_training_rows_in_one_file_are_spread_over_tasks(spark, monkeypatch):
+    rows = [(i, i % 2, None if i % 7 == 0 else i / 3, "abc"[i % 3]) for i in range(400)] + [(None, 1, 0.5, None), (3, 0, 0.5, "a")]
+    table = spark.createDataFrame(rows, "id long, y int, x double, t string").coalesce(1)
+
+    def prepared():
+        train = models.prepare(table, "id", "y").train
+        found = train.collect()
+        return train.rdd.getNumPartitions(), sorted((str(r["id"]), r["y"], str(r["features"])) for r in found), train.schema["features"].metadata["ml_attr"]
+
+    few = prepared()
+    assert few[0] == 1  # a small table stays as it is
+    monkeypatch.setattr(models, "TASK_ROWS", 10)
+    many = prepared()
+    assert many[0] > spark.sparkContext.defaultParallelism / 2 and many[1:] == few[1:] and len(many[1]) == 402
+
+
 def test_importances(trained):
     boosted = models.feature_importance(trained.boosted, trained.prepared).collect()
     assert sum(r["importance"] for r in boosted) == pytest.approx(1.0)
